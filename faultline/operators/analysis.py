@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from faultline import fixed_values as fv
 from faultline.functions import documents as doc
 from faultline.functions import keys
+from faultline.functions.once import with_computed
 from faultline.functions.text import is_empty, truncate_head, truncate_tail
 
 ANALYSIS_SCHEMA = (
@@ -127,14 +128,13 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
     shape = ANALYSIS_SCHEMA.replace("incident_id string, ", "")
     shape = "struct<" + ",".join(part.replace(" ", ":", 1) for part in shape.split(", ")) + ">"
-    staged = (
-        responses.withColumn("_sealed", doc.sealed_document(F.col("response")))
-        .withColumn("_document", doc.unsealed_document(F.col("_sealed"), F.col("response")))
-        .withColumn("_fields", doc.object_fields(F.col("_document")))
-        .withColumn("valid", F.coalesce(valid, F.lit(False)))
-        .withColumn("a", F.when(F.col("valid"), F.try_variant_get("_document", "$", shape)))
+    opened = responses.withColumn("_sealed", doc.sealed_document(F.col("response"))).withColumn(
+        "_document", doc.unsealed_document(F.col("_sealed"), F.col("response"))
     )
-    return staged.select("incident_id", "valid", "a.*")
+    opened = with_computed(opened, doc.object_fields(F.col("_document")).alias("_fields"))
+    judged = with_computed(opened, F.coalesce(valid, F.lit(False)).alias("valid"))
+    typed = F.when(F.col("valid"), F.try_variant_get("_document", "$", shape))
+    return with_computed(judged, typed.alias("a")).select("incident_id", "valid", "a.*")
 
 
 def valid_analyses(parsed: DataFrame) -> DataFrame:

@@ -60,12 +60,13 @@ def _is_taken(stock: Column, quantity: Column) -> Column:
     return F.when(quantity >= fv.BULK_QUANTITY, stock >= quantity).otherwise(stock > quantity)
 
 
-def _candidates(valid: DataFrame, spread: int) -> DataFrame:
+def _candidates(valid: DataFrame, spread: int, most_stock: int) -> DataFrame:
     """The orders that can be accepted at all, few per product however many ask.
 
     Stock only falls, so once an order of a quantity is refused all later ones
     of that quantity are: the accepted ones are the first ``stock / quantity``
-    at most. Ranked in salted groups first, then once more over what is left.
+    at most. The constant bound lets Spark cut each group before the shuffle;
+    the salt keeps groups small where stocks are too large for that.
     """
     most = F.floor(F.col("stock") / F.col("quantity"))
     salted = Window.partitionBy("product_id", "quantity", "_salt").orderBy("seq")
@@ -74,9 +75,9 @@ def _candidates(valid: DataFrame, spread: int) -> DataFrame:
         valid.filter(F.col("quantity") <= F.col("stock"))
         .withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(spread)))
         .withColumn("_rank", F.row_number().over(salted))
-        .filter(F.col("_rank") <= most)
+        .filter((F.col("_rank") <= most) & (F.col("_rank") <= most_stock))
         .withColumn("_rank", F.row_number().over(whole))
-        .filter(F.col("_rank") <= most)
+        .filter((F.col("_rank") <= most) & (F.col("_rank") <= most_stock))
     )
 
 
@@ -84,12 +85,13 @@ def accepted_orders(requests: DataFrame, catalog: DataFrame, spread: int = SPREA
     """Orders that went through, each with the stock before and after it.
 
     The greedy pass over a product runs on its candidates only, whose number
-    the catalog's stock bounds.
+    the catalog's stock bounds. Reads the largest stock when called.
     """
+    most_stock = catalog.agg(F.max("stock")).first()[0] or 0
     valid = _with_catalog(requests.filter(is_valid_request()), catalog).filter("_known")
     seq_type = requests.schema["seq"].dataType.simpleString()
     step = f"struct<seq:{seq_type},quantity:bigint,before:bigint>"
-    per_product = _candidates(valid, spread).groupBy("product_id").agg(
+    per_product = _candidates(valid, spread, int(most_stock)).groupBy("product_id").agg(
         F.sort_array(F.collect_list(F.struct("seq", F.col("quantity").cast("bigint").alias("quantity")))).alias("orders"),
         F.first("stock").cast("bigint").alias("stock"),
         F.first("unit_price").alias("unit_price"),

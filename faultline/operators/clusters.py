@@ -12,22 +12,21 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.functions import keys
+from faultline.functions.once import with_computed
 from faultline.functions.text import message_template, or_unknown, top_frame
 from faultline.operators.running import Running, arrival_block, with_running
 
 
 def with_signature(events: DataFrame) -> DataFrame:
     """Add ``signature`` to typed events that do not come from ``ingest``."""
-    return events.withColumn(
-        "signature",
-        F.when(
-            keys.is_clustered(F.col("severity")),
-            keys.error_signature(
-                F.col("environment"), F.col("service"), F.col("error_type"),
-                F.col("stack_trace"), F.col("message"), F.col("endpoint"),
-            ),
+    signature = F.when(
+        keys.is_clustered(F.col("severity")),
+        keys.error_signature(
+            F.col("environment"), F.col("service"), F.col("error_type"),
+            F.col("stack_trace"), F.col("message"), F.col("endpoint"),
         ),
     )
+    return with_computed(events, signature.alias("signature"))
 
 
 def signature_parts() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.functions import documents as doc
+from faultline.functions.once import with_computed
 from faultline.operators.analysis import is_confidence
 
 _TEXT_FIELDS = (
@@ -105,9 +106,9 @@ def check_packages(documents: DataFrame, column: str = "package") -> DataFrame:
     opened = (
         documents.withColumn("_sealed", doc.sealed_document(F.col(column)))
         .withColumn("_document", doc.unsealed_document(F.col("_sealed"), F.col(column)))
-        .withColumn("_fields", doc.object_fields(F.col("_document")))
     )
+    opened = with_computed(opened, doc.object_fields(F.col("_document")).alias("_fields"))
     checked = F.when(F.col("_fields").isNull(), F.array(F.lit("not a JSON object"))).otherwise(
         violations(F.col("_fields"))
     )
-    return opened.withColumn("violations", checked).drop("_sealed", "_document", "_fields")
+    return with_computed(opened, checked.alias("violations")).drop("_sealed", "_document", "_fields")

@@ -15,6 +15,7 @@ from faultline import fixed_values as fv
 from faultline.functions import documents as doc
 from faultline.functions import keys
 from faultline.functions import timestamps as tm
+from faultline.functions.once import with_computed
 
 OK = "ok"
 DUPLICATE = "duplicate"
@@ -93,25 +94,27 @@ def _disposition() -> tuple[Column, Column]:
 def parse(raw: DataFrame) -> DataFrame:
     """Add ``document`` (VARIANT) and ``fields`` (MAP, NULL unless an object)."""
     sealed = raw.withColumn("sealed", doc.sealed_document(F.col("payload")))
-    opened = sealed.withColumn(
-        "document", doc.unsealed_document(F.col("sealed"), F.col("payload"))
-    ).drop("sealed")
-    return opened.withColumn("fields", doc.object_fields(F.col("document")))
+    opened = sealed.withColumn("_document", doc.unsealed_document(F.col("sealed"), F.col("payload")))
+    return with_computed(
+        opened.drop("sealed"),
+        F.col("_document").alias("document"), doc.object_fields(F.col("_document")).alias("fields"),
+    ).drop("_document")
 
 
 def validate(parsed: DataFrame) -> DataFrame:
     """Add ``status`` and ``error`` of each parsed row, plus its parsed time."""
     fields = F.col("fields")
-    checked = (
-        parsed.withColumn("time_text", doc.text_of(fields["timestamp"]))
-        .withColumn("severity_text", doc.text_of(fields["severity"]))
-        .withColumn("time", tm.canonical_timestamp(F.col("time_text")))
-        .withColumn("event_ts", tm.instant(F.col("time")))
-        .withColumn("missing", _missing_fields())
-        .withColumn("wrong", _wrong_types())
+    texts = with_computed(
+        parsed,
+        doc.text_of(fields["timestamp"]).alias("time_text"),
+        doc.text_of(fields["severity"]).alias("severity_text"),
+        _missing_fields().alias("missing"),
+        _wrong_types().alias("wrong"),
     )
+    timed = with_computed(texts, tm.canonical_timestamp(F.col("time_text")).alias("time"))
+    timed = timed.withColumn("event_ts", tm.instant(F.col("time")))
     status, error = _disposition()
-    return checked.withColumn("status", status).withColumn("error", error)
+    return with_computed(timed, status.alias("status"), error.alias("error"))
 
 
 def sanitized_metadata(fields: Column, deep: bool = False) -> Column:
@@ -141,36 +144,32 @@ def normalize(checked: DataFrame, deep: bool = False) -> DataFrame:
     def text(name: str) -> Column:
         return F.when(good, F.try_variant_get(fields[name], "$", "string")).alias(name)
 
-    staged = checked.select(
-        *[c for c in checked.columns if c not in ("document", "missing", "wrong", "severity_text")],
+    kept = [c for c in checked.columns if c not in ("document", "missing", "wrong", "severity_text")]
+    staged = with_computed(
+        checked.select(*kept),
         F.when(good, keys.event_identity(fields)).alias("event_id"),
         F.when(good, F.col("event_ts")).alias("ts"),
         F.when(good, tm.iso_text(F.col("time"))).alias("ts_iso"),
         *[text(name) for name in ("severity", "service", "message", *fv.OPTIONAL_TEXT_FIELDS)],
         F.when(good, F.try_variant_get(fields["raw_ref"], "$", "string")).alias("reference"),
         F.when(good, sanitized_metadata(fields, deep)).alias("metadata"),
-    )
-    shaped = staged.withColumn(
-        "raw_ref", F.when(F.col("reference") != "", F.col("reference")).otherwise(F.col("event_id"))
-    ).withColumn("endpoint_text", doc.text_of(F.col("metadata")["endpoint"])).withColumn(
-        "signature",
-        F.when(
-            keys.is_clustered(F.col("severity")),
-            keys.error_signature(
-                F.col("environment"), F.col("service"), F.col("error_type"),
-                F.col("stack_trace"), F.col("message"), F.col("endpoint_text"),
-            ),
+    ).withColumn("endpoint_text", doc.text_of(F.col("metadata")["endpoint"]))
+    signature = F.when(
+        keys.is_clustered(F.col("severity")),
+        keys.error_signature(
+            F.col("environment"), F.col("service"), F.col("error_type"),
+            F.col("stack_trace"), F.col("message"), F.col("endpoint_text"),
         ),
     )
     null = F.lit(None).cast("string")
-    shaped = shaped.withColumn(
-        "endpoint",
-        F.when(F.is_variant_null(F.col("metadata")["endpoint"]), null).otherwise(F.col("endpoint_text")),
-    ).withColumn(
-        "http_status",
-        F.when(F.is_variant_null(F.col("metadata")["http_status"]), null).otherwise(
-            doc.text_of(F.col("metadata")["http_status"])
-        ),
+    shaped = with_computed(
+        staged,
+        F.when(F.col("reference") != "", F.col("reference")).otherwise(F.col("event_id")).alias("raw_ref"),
+        F.when(F.is_variant_null(F.col("metadata")["endpoint"]), null)
+        .otherwise(F.col("endpoint_text")).alias("endpoint"),
+        F.when(F.is_variant_null(F.col("metadata")["http_status"]), null)
+        .otherwise(doc.text_of(F.col("metadata")["http_status"])).alias("http_status"),
+        signature.alias("signature"),
     )
     return shaped.select("seq", "payload", "status", "error", *EVENT_COLUMNS)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import documents as doc
+from faultline.functions.once import with_computed
 from faultline.operators.conformance import check_packages
 from faultline.operators.gate import CONFIDENCE_FIELD, result_schema, result_violations
 
@@ -32,8 +33,8 @@ def read_results(
         read_texts(spark, path, per_file)
         .withColumn("_sealed", doc.sealed_document(F.col("text")))
         .withColumn("_document", doc.unsealed_document(F.col("_sealed"), F.col("text")))
-        .withColumn("_row", F.try_variant_get("_document", "$", f"struct<{columns}>"))
     )
+    texts = with_computed(texts, F.try_variant_get("_document", "$", f"struct<{columns}>").alias("_row"))
     rows = texts.select("file", "text", F.col("_row").isNull().alias("_bad"), "_row.*")
     found = F.when(F.col("_bad"), F.array(F.lit("not a result object"))).otherwise(
         result_violations(confidence_field)
