@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
+from faultline.functions.text import top_frame
 from faultline.operators.running import Running, arrival_block, with_running
 
 
@@ -142,3 +143,20 @@ def _follow_up_id() -> Column:
     day = F.date_format("deployed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     basis = F.concat(F.col("incident_id"), F.lit("|"), F.col("outcome"), F.lit("|"), day)
     return F.substring(F.sha2(basis, 256), 1, 16)
+
+
+def signature_spans(events: DataFrame) -> DataFrame:
+    """``signature, service, frame, first_seen, last_seen`` of error events."""
+    head = F.min_by(F.struct("service", "stack_trace"), "seq").alias("head")
+    grouped = events.filter(F.col("signature").isNotNull()).groupBy("signature").agg(
+        head, F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
+    )
+    return grouped.select(
+        "signature", F.col("head.service").alias("service"),
+        top_frame(F.col("head.stack_trace")).alias("frame"), "first_seen", "last_seen",
+    )
+
+
+def service_traffic(events: DataFrame) -> DataFrame:
+    """``service, last_ts``: how far each service was observed."""
+    return events.groupBy("service").agg(F.max("ts").alias("last_ts"))

@@ -1 +1,242 @@
-QUERIES = {}
+"""Registered queries: prompts, analyses, packages, reports, conformance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultline.operators import analysis as ana
+from faultline.operators import incidents as inc
+from faultline.operators import packages as pk
+from faultline.operators.conformance import check_packages
+from faultline.plans import log_view as lv
+
+
+def _incidents(spark, sf_dir):
+    return inc.incidents(lv.kept(spark, sf_dir))
+
+
+def _has_analysis():
+    return F.substring("incident_id", 1, 1) < "8"
+
+
+def analyses(incidents):
+    """Synthetic analysis rows for about half of the incidents."""
+    count = F.col("error_cluster.count")
+
+    def hypothesis(name, confidence):
+        return F.struct(F.lit(name).alias("statement"), confidence.cast("double").alias("confidence"))
+
+    return incidents.filter(_has_analysis()).select(
+        "incident_id",
+        F.concat(F.lit("Summary of "), "incident_id").alias("summary"),
+        F.concat(F.lit("Impact on "), "service").alias("impact_description"),
+        F.array(F.lit("errors"), F.col("severity")).alias("symptoms"),
+        F.array(F.lit("seen")).alias("observed_facts"),
+        F.array(
+            hypothesis("first", (count % 10) / 10), hypothesis("second", (count * 3 % 10) / 10),
+            hypothesis("third", F.lit(0.5)),
+        ).alias("hypotheses"),
+        F.array(F.lit("check deploys"), F.lit("check inputs")).alias("recommended_investigation"),
+    )
+
+
+ANALYSES_SQL = lv.INCIDENTS_SQL + """,
+a as (select *, substr(incident_id, 1, 1) < '8' as analyzed, (count % 10) / 10.0::double as c1, (count * 3 % 10) / 10.0::double as c2 from i),
+p as (select *, case when analyzed then case when c1 >= c2 and c1 >= 0.5 then 'first' when c2 >= 0.5 then 'second' else 'third' end end as cause,
+  case when analyzed then greatest(c1, c2, 0.5::double) else 0.0::double end as confidence,
+  service || ' ' || coalesce(nullif(trim(affected_component, '/'), '') || ' ', '') || 'requests are failing with ' ||
+    coalesce(error_type, 'an unspecified error') || '.' || case when analyzed then ' Summary of ' || incident_id else '' end as summary,
+  regexp_replace(first_seen_iso, '\\+00:00$', 'Z') as first_z, regexp_replace(last_seen_iso, '\\+00:00$', 'Z') as last_z,
+  regexp_replace(detected_at_iso, '\\+00:00$', 'Z') as detected_z from a)""".replace("\\\\", "\\")
+
+
+def _packages(spark, sf_dir):
+    rows = _incidents(spark, sf_dir)
+    return pk.build_packages(rows, analyses(rows))
+
+
+def package_summary(spark, sf_dir):
+    """P-06..P-08, P-12, P-13: one row per package, degraded ones included."""
+    return _packages(spark, sf_dir).select(
+        "incident_id", "schema_version", "severity", "detected_at", "summary",
+        F.col("impact.metric").alias("metric"), F.col("impact.value").alias("value"),
+        F.col("impact.description").alias("impact_description"),
+        "suspected_root_cause", "confidence_overall",
+        F.col("deployment_information.version").alias("version"),
+        F.array_join("log_references", ",").alias("log_references"),
+        F.array_join("symptoms", ",").alias("symptoms"),
+        F.size("hypotheses").cast("bigint").alias("hypotheses"),
+        (F.size("correlated_events") + F.size("related_incident_ids") + F.size("relevant_files")
+         + F.size("documentation_context")).cast("bigint").alias("left_empty"),
+    )
+
+
+SUMMARY = "with " + ANALYSES_SQL + """
+select incident_id, '1.1' as schema_version, severity, detected_z as detected_at, summary, 'occurrence_count' as metric,
+  cast(count as varchar) as value, case when analyzed then 'Impact on ' || service end as impact_description,
+  cause as suspected_root_cause, confidence as confidence_overall, version, raw_ref as log_references,
+  case when analyzed then 'errors,' || severity else '' end as symptoms, cast(case when analyzed then 3 else 0 end as bigint) as hypotheses,
+  cast(0 as bigint) as left_empty from p"""
+
+
+def package_clusters(spark, sf_dir):
+    """P-09, P-16 (latest): the cluster inside each package."""
+    rows = _packages(spark, sf_dir).select("incident_id", F.explode("error_clusters").alias("c"))
+    return rows.select("incident_id", "c.signature", "c.count", "c.first_seen", "c.last_seen", "c.sample_message", "c.severity")
+
+
+def package_facts(spark, sf_dir):
+    """P-10: facts in order, each with its evidence."""
+    rows = _packages(spark, sf_dir).select("incident_id", F.posexplode("observed_facts").alias("pos", "fact"))
+    first = F.col("fact.evidence")[0]
+    return rows.select(
+        "incident_id", F.col("pos").cast("bigint").alias("pos"), F.col("fact.statement").alias("statement"),
+        F.size("fact.evidence").cast("bigint").alias("evidence"),
+        first["log_query_or_reference"].alias("reference"), first["timestamp"].alias("at"), first["count"].alias("count"),
+    )
+
+
+FACTS = "with " + ANALYSES_SQL + """,
+u as (
+  select incident_id, 1 as ord, coalesce(error_type, 'This error') || ' occurred ' || count || ' time(s) in service ''' || service || '''' ||
+    coalesce(' (' || environment || ')', '') as statement, 1 as evidence, raw_ref as reference, last_z as "at", count as count from p
+  union all select incident_id, 2, 'First observed at ' || first_seen_iso || ', most recently at ' || last_seen_iso || '.', 2, null, first_z, null from p
+  union all select incident_id, 3, 'Requests to ''' || affected_component || ''' were affected' || coalesce(' (HTTP ' || http_status || ')', '') || '.',
+    1, raw_ref, detected_z, null from p where affected_component is not null
+  union all select incident_id, 4, 'The error message was: ' || error_message, 1, raw_ref, detected_z, null from p where error_message is not null
+  union all select incident_id, 5, 'At least one occurrence was recorded under request_id ''' || request_id || '''.', 1, raw_ref, detected_z, null
+    from p where request_id is not null)
+select incident_id, row_number() over (partition by incident_id order by ord) - 1 as pos, statement, cast(evidence as bigint) as evidence,
+  reference, "at", count from u"""
+
+
+def package_timeline(spark, sf_dir):
+    """P-11: timeline entries in order."""
+    rows = _packages(spark, sf_dir).select("incident_id", F.posexplode("timeline").alias("pos", "entry"))
+    return rows.select("incident_id", F.col("pos").cast("bigint").alias("pos"), "entry.timestamp", "entry.event")
+
+
+TIMELINE = "with " + ANALYSES_SQL + """,
+u as (
+  select incident_id, 1 as ord, first_seen as t, first_z as timestamp, 'First occurrence observed' as event from p
+  union all select incident_id, 2, last_seen, last_z, 'Most recent occurrence observed' from p where last_seen <> first_seen
+  union all select incident_id, 3, detected_at, detected_z, 'Detector detected this as an incident' from p)
+select incident_id, row_number() over (partition by incident_id order by t, ord) - 1 as pos, timestamp, event from u"""
+
+
+def top_hypothesis(spark, sf_dir):
+    """P-12: leading hypothesis, earliest among equals."""
+    rows = analyses(_incidents(spark, sf_dir)).withColumn("top", pk.top_hypothesis(F.col("hypotheses")))
+    return rows.select("incident_id", "top.statement", "top.confidence")
+
+
+def package_keys(spark, sf_dir):
+    """P-14: keys of the JSON form, absent values left out."""
+    rows = pk.package_json(_packages(spark, sf_dir))
+    return rows.select("incident_id", F.array_join(F.array_sort(F.json_object_keys("package")), ",").alias("json_keys"))
+
+
+KEYS = "with " + ANALYSES_SQL + """
+select incident_id, array_to_string(list_sort(list_filter(['incident_id', 'schema_version', 'severity', 'detected_at',
+  case when environment is not null then 'environment' end, 'service', case when affected_component is not null then 'affected_component' end,
+  'impact', 'summary', 'symptoms', 'error_clusters', 'observed_facts', 'correlated_events', 'timeline', 'hypotheses',
+  case when analyzed then 'suspected_root_cause' end, 'confidence_overall', case when version is not null then 'deployment_information' end,
+  'relevant_files', 'documentation_context', 'recommended_investigation', 'log_references', 'related_incident_ids'],
+  lambda s: s is not null)), ',') as json_keys from p"""
+
+
+def package_violations(spark, sf_dir):
+    """P-15: packages with planted flaws and what the check says."""
+    rows = pk.package_json(_packages(spark, sf_dir))
+    text, first = F.col("package"), F.substring("incident_id", 1, 1)
+    planted = (
+        F.when(first == "0", F.replace(text, F.lit('"schema_version":"1.1"'), F.lit('"schema_version":"2.0"')))
+        .when(first == "1", F.replace(text, F.lit('"confidence_overall":'), F.lit('"confidence":')))
+        .when(first == "2", F.regexp_replace(text, '"confidence_overall":[0-9.]+', '"confidence_overall":1.5'))
+        .when(first == "3", F.replace(text, F.lit('"timeline":[{"timestamp"'), F.lit('"timeline":[{"at"')))
+        .when(first == "4", F.concat(text, F.lit("}")))
+        .otherwise(text)
+    )
+    checked = check_packages(rows.select("incident_id", planted.alias("package")))
+    return checked.select("incident_id", F.array_join("violations", "; ").alias("violations"))
+
+
+VIOLATIONS = "with " + lv.INCIDENTS_SQL + """
+select incident_id, case substr(incident_id, 1, 1) when '0' then 'not 1.1: schema_version'
+  when '1' then 'missing: confidence_overall; unknown: confidence' when '2' then 'not in [0, 1]: confidence_overall'
+  when '3' then 'wrong items: timeline' when '4' then 'not a JSON object' else '' end as violations from i"""
+
+
+def prompt_text(spark, sf_dir):
+    """P-01, P-02, P-03: prompt of every incident as it came up."""
+    rows = inc.incidents(lv.kept(spark, sf_dir), as_of="trigger")
+    return ana.prompts(rows).select("incident_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("chars"))
+
+
+PROMPT = "with " + lv.INCIDENTS_SQL + r""",
+q as (select incident_id, concat_ws(chr(10), 'Incident evidence (deterministic):', 'service: ' || service, 'environment: ' || coalesce(environment, 'None'),
+  'affected_component: ' || coalesce(affected_component, 'None'), 'severity: ' || severity, 'signature: ' || signature,
+  'occurrence_count: ' || case log_severity when 'CRITICAL' then 1 else 2 end, 'first_seen: ' || first_seen_iso,
+  'last_seen: ' || case when first_seen >= detected_at then first_seen_iso else detected_at_iso end, 'sample_message: ' || sample_message, '',
+  'Representative log event (one example occurrence):', 'timestamp: ' || ts_iso, 'error_type: ' || coalesce(error_type, 'None'),
+  'error_message: ' || coalesce(error_message, 'None'), 'message: ' || message, 'request_id: ' || coalesce(request_id, 'None'),
+  'trace_id: ' || coalesce(trace_id, 'None'), 'version: ' || coalesce(version, 'None'), 'metadata: {}', 'stack_trace:', stack_trace, '') as prompt from i)
+select incident_id, md5(prompt) as prompt_md5, length(prompt) as chars from q"""
+
+
+def pending_analysis(spark, sf_dir):
+    """P-05: incidents the analysis table does not hold yet."""
+    rows = _incidents(spark, sf_dir)
+    return ana.prompts(rows, analyses(rows)).select("incident_id")
+
+
+def analysis_responses(spark, sf_dir):
+    """P-04: responses with planted flaws, which are valid, and their leading numbers."""
+    first = F.substring("incident_id", 1, 1)
+    summary = F.when(first == "1", F.lit("")).otherwise(F.lit('"summary":"s",'))
+    symptoms = F.when(first == "3", F.lit("[5]")).otherwise(F.lit('["x","y"]'))
+    confidence = F.when(first == "0", F.lit("1.5")).otherwise(F.lit("0.25"))
+    body = F.concat(
+        F.lit("{"), summary, F.lit('"impact_description":"i","symptoms":'), symptoms,
+        F.lit(',"observed_facts":[],"hypotheses":[{"statement":"h","confidence":'), confidence,
+        F.lit('}],"recommended_investigation":["r"],"extra":1}'),
+        F.when(first == "2", F.lit(" trailing")).otherwise(F.lit("")),
+    )
+    parsed = ana.parse_responses(_incidents(spark, sf_dir).select("incident_id", body.alias("response")))
+    return parsed.select(
+        "incident_id", "valid", F.array_join("symptoms", ",").alias("symptoms"),
+        F.col("hypotheses")[0]["confidence"].alias("confidence"),
+    )
+
+
+RESPONSES = "with " + lv.INCIDENTS_SQL + """,
+r as (select incident_id, substr(incident_id, 1, 1) not in ('0', '1', '2', '3') as valid from i)
+select incident_id, valid, case when valid then 'x,y' end as symptoms, case when valid then 0.25::double end as confidence from r"""
+
+
+def report_text(spark, sf_dir):
+    """P-17: the short report of every package."""
+    return pk.report_text(_packages(spark, sf_dir)).select("incident_id", F.md5("report").alias("report_md5"))
+
+
+REPORT = "with " + ANALYSES_SQL + r""",
+t as (select incident_id, '[INCIDENT]' || chr(10) || summary || chr(10) || 'Severity: ' || severity || chr(10) || 'Occurrences: ' || count ||
+  chr(10) || chr(10) || '[HYPOTHESIS]' || chr(10) || coalesce(cause, '(none -- insufficient evidence)') || chr(10) || chr(10) || '[CONFIDENCE]' || chr(10) ||
+  format('{:.2f}', confidence) || case when analyzed then chr(10) || chr(10) || '[RECOMMENDED INVESTIGATION]' || chr(10) || '- check deploys' || chr(10) ||
+  '- check inputs' else '' end as report from p)
+select incident_id, md5(report) as report_md5 from t"""
+
+QUERIES = {
+    "package_summary": (package_summary, SUMMARY),
+    "package_clusters": (package_clusters, "with " + ANALYSES_SQL + """
+select incident_id, signature, count, first_z as first_seen, last_z as last_seen, sample_message, severity from p"""),
+    "package_facts": (package_facts, FACTS),
+    "package_timeline": (package_timeline, TIMELINE),
+    "top_hypothesis": (top_hypothesis, "with " + ANALYSES_SQL + " select incident_id, cause as statement, confidence from p where analyzed"),
+    "package_keys": (package_keys, KEYS),
+    "package_violations": (package_violations, VIOLATIONS),
+    "prompt_text": (prompt_text, PROMPT),
+    "pending_analysis": (pending_analysis, "with " + lv.INCIDENTS_SQL + " select incident_id from i where substr(incident_id, 1, 1) >= '8'"),
+    "analysis_responses": (analysis_responses, RESPONSES),
+    "report_text": (report_text, REPORT),
+}
