@@ -30,39 +30,58 @@ def object_fields(document: Column) -> Column:
     return document.try_cast("map<string,variant>")
 
 
-def json_text(value: Column) -> Column:
-    return F.to_json(value)
+# Texts that a number, boolean, array or object can print as; any other text
+# of a value shows by itself that the value was a string.
+_NOT_ONLY_STRING = r"(?s)^(-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|-?Infinity|NaN|[\[{].*)$"
+_FALSY_TEXT = r"^(false|\[\]|\{\}|-?0+(\.0+)?([eE][+-]?\d+)?)$"
 
 
-def is_string(value: Column) -> Column:
-    return F.coalesce(json_text(value).startswith('"'), F.lit(False))
+def plain_text(value: Column) -> Column:
+    """Text of a value: a string itself, anything else as JSON; NULL if null or absent."""
+    return F.try_variant_get(value, "$", "string")
 
 
-def is_falsy(value: Column) -> Column:
+def is_string(value: Column, plain: Column | None = None) -> Column:
+    """Whether a value is a JSON string; never NULL.
+
+    ``plain`` is its ``plain_text`` where a column holds that already. The type
+    is looked up only for texts that leave a doubt.
+    """
+    plain = plain_text(value) if plain is None else plain
+    return (
+        F.when(plain.isNull(), F.lit(False))
+        .when(plain.rlike(_NOT_ONLY_STRING), F.schema_of_variant(value) == "STRING")
+        .otherwise(F.lit(True))
+    )
+
+
+def is_falsy(value: Column, plain: Column | None = None) -> Column:
     """Absent, null, false, zero, empty string, empty array or empty object."""
-    text = json_text(value)
+    plain = plain_text(value) if plain is None else plain
     return (
-        text.isNull()
-        | text.isin("null", "false", '""', "[]", "{}")
-        | text.rlike(r"^-?0+(\.0+)?([eE][+-]?\d+)?$")
+        F.when(plain.isNull() | (plain == ""), F.lit(True))
+        .when(plain.rlike(_FALSY_TEXT), F.schema_of_variant(value) != "STRING")
+        .otherwise(F.lit(False))
     )
 
 
-def text_of(value: Column) -> Column:
+def text_of(value: Column, plain: Column | None = None) -> Column:
     """The value as Python's ``str`` prints it; NULL where the key is absent.
 
     Strings are themselves, null is ``None``, booleans are ``True``/``False``,
     a float without fraction keeps its ``.0``. Arrays and objects print as
     JSON, and exponents follow Java.
     """
+    plain = plain_text(value) if plain is None else plain
     kind = F.schema_of_variant(value)
-    plain = F.try_variant_get(value, "$", "string")
-    short_decimal = kind.rlike(r"^DECIMAL\(([1-9]|1[0-8]),0\)$")
+    looked_up = (
+        F.when(kind == "BOOLEAN", F.initcap(plain))
+        .when(kind.rlike(r"^DECIMAL\(([1-9]|1[0-8]),0\)$"), F.concat(plain, F.lit(".0")))
+        .otherwise(plain)
+    )
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.is_variant_null(value), F.lit("None"))
-        .when(kind == "STRING", plain)
-        .when(kind == "BOOLEAN", F.initcap(plain))
-        .when(short_decimal, F.concat(plain, F.lit(".0")))
+        .when(plain.isNull(), F.lit("None"))
+        .when(plain.rlike(_NOT_ONLY_STRING), looked_up)
         .otherwise(plain)
     )

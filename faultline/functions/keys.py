@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,19 +23,23 @@ def drop_credentials(fields: Column) -> Column:
     return F.map_filter(fields, lambda key, _: ~is_credential_name(key))
 
 
-def event_identity(fields: Column) -> Column:
+def event_identity(value: Callable[[str], Column], plain: Callable[[str], Column]) -> Column:
     """``event_id``, else ``insertId``, else a hash of five raw fields.
 
-    An absent field counts as empty text, a JSON null as ``None``, so the
-    parts are joined by ``concat``: ``concat_ws`` would skip NULLs.
+    ``value`` and ``plain`` give a raw field and its text by name. An absent
+    field counts as empty text, a JSON null as ``None``, so the parts are joined
+    by ``concat``: ``concat_ws`` would skip NULLs.
     """
+    def text(name: str) -> Column:
+        return text_of(value(name), plain(name))
+
     parts: list[Column] = []
     for name in fv.IDENTITY_FIELDS:
-        parts += [F.lit("|"), F.coalesce(text_of(fields[name]), F.lit(""))]
-    return F.coalesce(
-        F.when(~is_falsy(fields["event_id"]), text_of(fields["event_id"])),
-        F.when(~is_falsy(fields["insertId"]), text_of(fields["insertId"])),
-        F.sha2(F.concat(*parts[1:]), 256),
+        parts += [F.lit("|"), F.coalesce(text(name), F.lit(""))]
+    return (
+        F.when(~is_falsy(value("event_id"), plain("event_id")), text("event_id"))
+        .when(~is_falsy(value("insertId"), plain("insertId")), text("insertId"))
+        .otherwise(F.sha2(F.concat(*parts[1:]), 256))
     )
 
 

@@ -13,4 +13,5 @@ def with_computed(rows: DataFrame, *columns: Column) -> DataFrame:
     expressions (JSON parsing, regular expressions) are neither copied into
     every later use nor evaluated again by a filter pushed below them.
     """
-    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+    staged = rows.withColumn("_computed", F.struct(*columns))
+    return staged.select(*rows.columns, F.inline(F.array("_computed")))

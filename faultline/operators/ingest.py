@@ -36,37 +36,43 @@ def _quoted(text: Column) -> Column:
     return F.concat(mark, text, mark)
 
 
+_READ_FIELDS = (*fv.NAMED_FIELDS, "insertId")
+
+
+def _value(name: str) -> Column:
+    return F.col("fields")[name]
+
+
+def _plain(name: str) -> Column:
+    return F.col(f"plain_{name}")
+
+
 def _missing_fields() -> Column:
     return F.array_compact(F.array(*[
-        F.when(doc.is_falsy(F.col("fields")[name]), F.lit(name)) for name in fv.REQUIRED_FIELDS
+        F.when(doc.is_falsy(_value(name), _plain(name)), F.lit(name)) for name in fv.REQUIRED_FIELDS
     ]))
 
 
 def _wrong_types() -> Column:
     """Names of text fields that hold something else (JSON null is fine if optional)."""
-    fields = F.col("fields")
-    required = [
-        F.when(~doc.is_string(fields[name]), F.lit(name)) for name in ("service", "message")
-    ]
+    def foreign(name: str) -> Column:
+        return ~doc.is_string(_value(name), _plain(name))
+
+    required = [F.when(foreign(name), F.lit(name)) for name in ("service", "message")]
     optional = [
-        F.when(
-            fields[name].isNotNull() & ~F.is_variant_null(fields[name]) & ~doc.is_string(fields[name]),
-            F.lit(name),
-        )
-        for name in fv.OPTIONAL_TEXT_FIELDS
+        F.when(_plain(name).isNotNull() & foreign(name), F.lit(name)) for name in fv.OPTIONAL_TEXT_FIELDS
     ]
-    reference = F.when(
-        ~doc.is_falsy(fields["raw_ref"]) & ~doc.is_string(fields["raw_ref"]), F.lit("raw_ref")
-    )
+    truthy = ~doc.is_falsy(_value("raw_ref"), _plain("raw_ref"))
+    reference = F.when(truthy & foreign("raw_ref"), F.lit("raw_ref"))
     return F.array_compact(F.array(*required, *optional, reference))
 
 
 def _disposition() -> tuple[Column, Column]:
-    no_document = F.col("document").isNull()
+    no_document = ~F.col("is_json")
     no_object = F.col("fields").isNull()
     missing = F.size("missing") > 0
     bad_severity = ~F.coalesce(
-        doc.is_string(F.col("fields")["severity"])
+        doc.is_string(_value("severity"), _plain("severity"))
         & F.col("severity_text").isin(*fv.LOG_SEVERITIES), F.lit(False)
     )
     bad_time = F.col("event_ts").isNull()
@@ -92,22 +98,24 @@ def _disposition() -> tuple[Column, Column]:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """Add ``document`` (VARIANT) and ``fields`` (MAP, NULL unless an object)."""
+    """Add ``is_json`` and ``fields`` (MAP<STRING, VARIANT>, NULL unless an object)."""
     sealed = raw.withColumn("sealed", doc.sealed_document(F.col("payload")))
     opened = sealed.withColumn("_document", doc.unsealed_document(F.col("sealed"), F.col("payload")))
     return with_computed(
         opened.drop("sealed"),
-        F.col("_document").alias("document"), doc.object_fields(F.col("_document")).alias("fields"),
+        F.col("_document").isNotNull().alias("is_json"), doc.object_fields(F.col("_document")).alias("fields"),
     ).drop("_document")
 
 
 def validate(parsed: DataFrame) -> DataFrame:
     """Add ``status`` and ``error`` of each parsed row, plus its parsed time."""
-    fields = F.col("fields")
+    read = with_computed(
+        parsed, *[doc.plain_text(_value(name)).alias(f"plain_{name}") for name in _READ_FIELDS]
+    )
     texts = with_computed(
-        parsed,
-        doc.text_of(fields["timestamp"]).alias("time_text"),
-        doc.text_of(fields["severity"]).alias("severity_text"),
+        read,
+        doc.text_of(_value("timestamp"), _plain("timestamp")).alias("time_text"),
+        doc.text_of(_value("severity"), _plain("severity")).alias("severity_text"),
         _missing_fields().alias("missing"),
         _wrong_types().alias("wrong"),
     )
@@ -123,8 +131,9 @@ def sanitized_metadata(fields: Column, deep: bool = False) -> Column:
     ``deep`` also cleans the first level of a nested ``metadata`` object, which
     the plain rule leaves as it is.
     """
-    extra = F.map_filter(fields, lambda key, _: ~key.isin(*fv.NAMED_FIELDS))
-    clean = keys.drop_credentials(extra)
+    clean = F.map_filter(
+        fields, lambda key, _: ~(key.isin(*fv.NAMED_FIELDS) | keys.is_credential_name(key))
+    )
     if not deep:
         return clean
 
@@ -139,20 +148,20 @@ def sanitized_metadata(fields: Column, deep: bool = False) -> Column:
 def normalize(checked: DataFrame, deep: bool = False) -> DataFrame:
     """Event columns of every row that passed; NULL in the others."""
     good = F.col("status") == OK
-    fields = F.col("fields")
 
     def text(name: str) -> Column:
-        return F.when(good, F.try_variant_get(fields[name], "$", "string")).alias(name)
+        return F.when(good, _plain(name)).alias(name)
 
-    kept = [c for c in checked.columns if c not in ("document", "missing", "wrong", "severity_text")]
+    used = ("is_json", "missing", "wrong", "severity_text", "time_text")
+    kept = [c for c in checked.columns if c not in used]
     staged = with_computed(
         checked.select(*kept),
-        F.when(good, keys.event_identity(fields)).alias("event_id"),
+        F.when(good, keys.event_identity(_value, _plain)).alias("event_id"),
         F.when(good, F.col("event_ts")).alias("ts"),
         F.when(good, tm.iso_text(F.col("time"))).alias("ts_iso"),
         *[text(name) for name in ("severity", "service", "message", *fv.OPTIONAL_TEXT_FIELDS)],
-        F.when(good, F.try_variant_get(fields["raw_ref"], "$", "string")).alias("reference"),
-        F.when(good, sanitized_metadata(fields, deep)).alias("metadata"),
+        F.when(good & ~doc.is_falsy(_value("raw_ref"), _plain("raw_ref")), _plain("raw_ref")).alias("reference"),
+        F.when(good, sanitized_metadata(F.col("fields"), deep)).alias("metadata"),
     ).withColumn("endpoint_text", doc.text_of(F.col("metadata")["endpoint"]))
     signature = F.when(
         keys.is_clustered(F.col("severity")),
@@ -164,7 +173,7 @@ def normalize(checked: DataFrame, deep: bool = False) -> DataFrame:
     null = F.lit(None).cast("string")
     shaped = with_computed(
         staged,
-        F.when(F.col("reference") != "", F.col("reference")).otherwise(F.col("event_id")).alias("raw_ref"),
+        F.coalesce("reference", "event_id").alias("raw_ref"),
         F.when(F.is_variant_null(F.col("metadata")["endpoint"]), null)
         .otherwise(F.col("endpoint_text")).alias("endpoint"),
         F.when(F.is_variant_null(F.col("metadata")["http_status"]), null)
