@@ -34,8 +34,7 @@ def _run(stream, name, spark, checkpoint, mode="append"):
         stream.writeStream.format("memory").queryName(name).outputMode(mode)
         .option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
     )
-    query.awaitTermination(180)
-    assert query.exception() is None
+    assert query.awaitTermination(120), query.lastProgress
     return spark.table(name)
 
 
