@@ -97,7 +97,7 @@ def responses_from(prompt_rows: DataFrame, infer: Callable) -> DataFrame:
 
 def _is_text_list(value: Column) -> Column:
     items = value.try_cast("array<variant>")
-    return F.coalesce(F.forall(items, doc.is_string), F.lit(False))
+    return F.coalesce(F.forall(items, lambda item: doc.is_string(item)), F.lit(False))
 
 
 def _number(value: Column) -> Column:

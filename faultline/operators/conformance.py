@@ -42,7 +42,7 @@ def _says(problem: Column, text: str) -> Column:
 
 
 def _list_of_text(value: Column) -> Column:
-    return F.coalesce(F.forall(value.try_cast("array<variant>"), doc.is_string), F.lit(False))
+    return F.coalesce(F.forall(value.try_cast("array<variant>"), lambda item: doc.is_string(item)), F.lit(False))
 
 
 def _object_is_right(value: Column, required: tuple, allowed: tuple) -> Column:
