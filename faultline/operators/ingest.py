@@ -40,13 +40,17 @@ _READ_FIELDS = (*fv.NAMED_FIELDS, "insertId")
 
 
 def _value(name: str) -> Column:
-    return F.col("fields")[name]
+    return F.try_variant_get("document", f"$.{name}", "variant")
 
 
 def _plain(name: str) -> Column:
     return F.col(f"plain_{name}")
 
 
+def _read(name: str) -> Column:
+    return F.try_variant_get("document", f"$.{name}", "string").alias(f"plain_{name}")
+
+
 def _missing_fields() -> Column:
     return F.array_compact(F.array(*[
         F.when(doc.is_falsy(_value(name), _plain(name)), F.lit(name)) for name in fv.REQUIRED_FIELDS
@@ -69,7 +73,7 @@ def _wrong_types() -> Column:
 
 def _disposition() -> tuple[Column, Column]:
     no_document = ~F.col("is_json")
-    no_object = F.col("fields").isNull()
+    no_object = F.col("document").isNull()
     missing = F.size("missing") > 0
     bad_severity = ~F.coalesce(
         doc.is_string(_value("severity"), _plain("severity"))
@@ -98,20 +102,21 @@ def _disposition() -> tuple[Column, Column]:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """Add ``is_json`` and ``fields`` (MAP<STRING, VARIANT>, NULL unless an object)."""
+    """Add ``is_json`` and ``document`` (VARIANT, NULL unless an object)."""
     sealed = raw.withColumn("sealed", doc.sealed_document(F.col("payload")))
     opened = sealed.withColumn("_document", doc.unsealed_document(F.col("sealed"), F.col("payload")))
+    # A valid JSON text is an object exactly if it begins with a brace.
+    is_object = F.col("payload").rlike(r"^[ \t\r\n]*\{")
     return with_computed(
         opened.drop("sealed"),
-        F.col("_document").isNotNull().alias("is_json"), doc.object_fields(F.col("_document")).alias("fields"),
+        F.col("_document").isNotNull().alias("is_json"),
+        F.when(is_object, F.col("_document")).alias("document"),
     ).drop("_document")
 
 
 def validate(parsed: DataFrame) -> DataFrame:
     """Add ``status`` and ``error`` of each parsed row, plus its parsed time."""
-    read = with_computed(
-        parsed, *[doc.plain_text(_value(name)).alias(f"plain_{name}") for name in _READ_FIELDS]
-    )
+    read = with_computed(parsed, *[_read(name) for name in _READ_FIELDS])
     texts = with_computed(
         read,
         doc.text_of(_value("timestamp"), _plain("timestamp")).alias("time_text"),
@@ -161,7 +166,7 @@ def normalize(checked: DataFrame, deep: bool = False) -> DataFrame:
         F.when(good, tm.iso_text(F.col("time"))).alias("ts_iso"),
         *[text(name) for name in ("severity", "service", "message", *fv.OPTIONAL_TEXT_FIELDS)],
         F.when(good & ~doc.is_falsy(_value("raw_ref"), _plain("raw_ref")), _plain("raw_ref")).alias("reference"),
-        F.when(good, sanitized_metadata(F.col("fields"), deep)).alias("metadata"),
+        F.when(good, sanitized_metadata(doc.object_fields(F.col("document")), deep)).alias("metadata"),
     ).withColumn("endpoint_text", doc.text_of(F.col("metadata")["endpoint"]))
     signature = F.when(
         keys.is_clustered(F.col("severity")),
