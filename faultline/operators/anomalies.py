@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import keys
 from faultline.operators.running import Running, with_running
+from faultline.session import stored
 
 
 def hourly_rates(events: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -90,7 +91,7 @@ def incident_groups(incidents: DataFrame) -> DataFrame:
         {"reached": Running("max", F.col("last_seen"), before=True)},
     )
     opens = F.col("reached").isNull() | (F.col("first_seen") > F.col("reached"))
-    starts = reach.withColumn("start", F.when(opens, F.col("first_seen"))).drop("reached")
+    starts = stored(reach.withColumn("start", F.when(opens, F.col("first_seen"))).drop("reached"), "group-starts")
     grouped = with_running(
         starts, ["service"], order, _minute("first_seen"),
         {"group_start": Running("max", F.col("start"))},
@@ -136,7 +137,7 @@ def correlated_changes(incidents: DataFrame, changes: DataFrame, within: str = "
     )
     order = F.struct("ts", "rank", "probe", "incident_id", "change_id")
     seen = with_running(
-        points, ["service"], order, F.date_trunc("hour", "ts"),
+        stored(points, "change-probes"), ["service"], order, F.date_trunc("hour", "ts"),
         {
             "changes": Running("sum", F.when(F.col("change_id").isNotNull(), 1).otherwise(0)),
             "nearest": Running("max", F.when(F.col("change_id").isNotNull(), F.struct("ts", "change_id"))),

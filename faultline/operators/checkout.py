@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.functions.text import is_empty
+from faultline.session import stored
 
 OK, UNPROCESSABLE, NOT_FOUND, CONFLICT, SERVER_ERROR = 200, 422, 404, 409, 500
 SPREAD = 64
@@ -125,7 +126,8 @@ def ledger(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD) -> Dat
     of a product lasts one interval of ``seq``, so that is an equi-join on
     (product, level) with a table the catalog bounds.
     """
-    orders = accepted_orders(requests, catalog, spread)
+    # Read three times below, and no larger than the catalog's stock.
+    orders = stored(accepted_orders(requests, catalog, spread), "accepted-orders")
     by_order = Window.partitionBy("product_id").orderBy("seq")
     reached = orders.select(
         "product_id", F.col("stock_after").alias("quantity"), F.col("seq").alias("level_from"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.operators.ingest import DUPLICATE, OK
-from faultline.session import ensure_checkpoint_dir
+from faultline.session import shared_folder, stored
 
 # Largest group of distinct times one task folds in memory; larger groups take
 # the round-by-round way, so no size is refused.
@@ -102,7 +102,6 @@ def first_within_ttl(
     events: DataFrame,
     ttl_seconds: int = fv.DEDUP_TTL_SECONDS,
     fold_limit: int = FOLD_LIMIT,
-    local_fallback: str = "/tmp/faultline-checkpoints",
 ) -> DataFrame:
     """Rows kept when an id is forgotten ``ttl_seconds`` after it was last accepted.
 
@@ -117,8 +116,8 @@ def first_within_ttl(
     if large.isEmpty():
         kept = _kept_in_small_groups(points, ttl)
     else:
-        base = ensure_checkpoint_dir(events.sparkSession, local_fallback)
-        folder = f"{base}/dedup-{uuid.uuid4()}"
+        folder = f"{shared_folder(events.sparkSession)}/dedup-{uuid.uuid4()}"
+        points, large = stored(points, "dedup-points"), stored(large, "dedup-large")
         kept = _kept_in_small_groups(points.join(large, "event_id", "left_anti"), ttl)
         rounds = _kept_in_large_groups(points.join(large, "event_id", "left_semi"), ttl, folder)
         if rounds is not None:

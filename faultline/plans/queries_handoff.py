@@ -8,21 +8,24 @@ from faultline import fixed_values as fv
 from faultline.operators import gate, incidents, lifecycle, outbox, packages
 from faultline.plans import log_view as lv
 from faultline.plans.queries_packages import analyses
+from faultline.session import stored
 
 
 def _first():
     return F.substring("incident_id", 1, 1)
 
 
-def _packages(spark, sf_dir):
-    rows = incidents.incidents(lv.kept(spark, sf_dir))
+def _incidents(spark, sf_dir):
+    return stored(incidents.incidents(lv.kept(spark, sf_dir)), "incidents")
+
+
+def _packages(rows):
     return packages.build_packages(rows, analyses(rows))
 
 
-def _results(spark, sf_dir):
+def _results(rows):
     """Synthetic investigation results, one per incident, flawed by its first digit."""
     first, none = _first(), F.lit(None).cast("string")
-    rows = incidents.incidents(lv.kept(spark, sf_dir), as_of="trigger")
     verdict = F.when(first == "2", "refuted").when(first == "5", "maybe").when(first == "7", "partially_confirmed").otherwise("confirmed")
     assessment = F.struct(
         F.lit("cause").alias("statement"),
@@ -55,7 +58,8 @@ z as (select *, case first when '5' then 'not in domain: verdict' when '6' then
 
 def gate_decisions(spark, sf_dir):
     """G-01, G-02: violations, decision and reason of every result."""
-    rows = gate.with_decision(_results(spark, sf_dir))
+    found = incidents.incidents(lv.kept(spark, sf_dir), as_of="trigger")
+    rows = gate.with_decision(_results(found))
     return rows.select("incident_id", F.array_join(gate.result_violations(), "; ").alias("violations"), "authorized", "reason")
 
 
@@ -65,7 +69,8 @@ select incident_id, violations, first not in ('0', '1', '2', '3', '5') as author
 
 def package_match(spark, sf_dir):
     """G-03: packages and results by incident."""
-    return gate.match(_packages(spark, sf_dir), _results(spark, sf_dir))
+    rows = _incidents(spark, sf_dir)
+    return gate.match(_packages(rows), _results(rows))
 
 
 MATCH = "with " + _RESULTS_SQL + """
@@ -74,9 +79,9 @@ select coalesce(i.incident_id, z.incident_id) as incident_id,
 from i full join z on z.incident_id = i.incident_id"""
 
 
-def _deliveries(spark, sf_dir):
+def _deliveries(found):
     first = _first()
-    rows = incidents.incidents(lv.kept(spark, sf_dir), as_of="trigger").filter(first.isin("8", "9", "a"))
+    rows = found.filter(first.isin("8", "9", "a"))
     kind = F.when(first == "a", "incident-implement").otherwise("incident-investigate")
     status = F.when(first == "9", 503).otherwise(204)
     return rows.select(kind.alias("event_type"), "incident_id", status.alias("status_code"))
@@ -84,9 +89,10 @@ def _deliveries(spark, sf_dir):
 
 def dispatch_outbox(spark, sf_dir):
     """G-04, G-05: what is still to send, each with the id its payload carries."""
-    docs, done = _packages(spark, sf_dir), _deliveries(spark, sf_dir)
+    found = _incidents(spark, sf_dir)
+    docs, done = _packages(found), _deliveries(found)
     rows = outbox.investigate_outbox(docs, done).unionByName(
-        outbox.implement_outbox(docs, _results(spark, sf_dir), done)
+        outbox.implement_outbox(docs, _results(found), done)
     )
     return rows.select(
         "event_type", "incident_id",
@@ -131,7 +137,7 @@ select event_type, incident_id, attempts, status_code, case when delivered then
 
 def handoff_losses(spark, sf_dir):
     """G-07: packages that lost a field on the way."""
-    sent = packages.package_json(_packages(spark, sf_dir))
+    sent = packages.package_json(_packages(_incidents(spark, sf_dir)))
     cut = F.when(_first() == "0", F.regexp_replace("package", '"symptoms":\\[[^\\]]*\\],', ""))
     received = sent.filter(_first() != "1").select("incident_id", F.coalesce(cut, "package").alias("package"))
     return outbox.lost_fields(sent, received)
@@ -213,7 +219,8 @@ def _outcomes(spark, sf_dir):
         "incident_id", "signature", "service", (F.col("error_cluster.first_seen") + lag).alias("deployed_at"),
         F.array(F.lit("fn_1"), F.lit("fn_2"), F.lit("fn_3")).alias("touched"),
     )
-    return lifecycle.outcomes(deployments, lifecycle.signature_spans(events), lifecycle.service_traffic(events))
+    spans = stored(lifecycle.signature_spans(events), "signature-spans")
+    return lifecycle.outcomes(deployments, spans, lifecycle.service_traffic(events))
 
 
 def verify_outcome(spark, sf_dir):

@@ -8,6 +8,7 @@ from faultline.operators import anomalies as an
 from faultline.operators import clusters as cl
 from faultline.operators import incidents as inc
 from faultline.plans import log_view as lv
+from faultline.session import stored
 
 CUTOFF = "2024-01-16"
 
@@ -144,12 +145,13 @@ select service, window_start, total, errors, critical, share, previous_share,
 
 
 def _spans(spark, sf_dir):
-    """Incidents as intervals: the first error day of a signature, to keep some apart."""
+    """Incidents as intervals, from the first occurrence to the trigger."""
     rows = inc.incidents(lv.kept(spark, sf_dir), as_of="trigger")
-    return rows.select(
+    spans = rows.select(
         "incident_id", "service", F.col("error_cluster.first_seen").alias("first_seen"),
         F.col("error_cluster.last_seen").alias("last_seen"),
     )
+    return stored(spans, "incident-spans")
 
 
 _SPANS_SQL = lv.INCIDENTS_SQL + """,

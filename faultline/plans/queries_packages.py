@@ -9,10 +9,11 @@ from faultline.operators import incidents as inc
 from faultline.operators import packages as pk
 from faultline.operators.conformance import check_packages
 from faultline.plans import log_view as lv
+from faultline.session import stored
 
 
 def _incidents(spark, sf_dir):
-    return inc.incidents(lv.kept(spark, sf_dir))
+    return stored(inc.incidents(lv.kept(spark, sf_dir)), "incidents")
 
 
 def _has_analysis():

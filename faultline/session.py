@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that decide results, not speed: timestamps are read and
 # printed in UTC, bad values must be handled by try_* functions instead of
@@ -41,14 +43,29 @@ def get_session(app_name: str = "faultline", **settings: str) -> SparkSession:
     return configure(builder.getOrCreate())
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Checkpoint folder of the cluster, or ``fallback`` where none is set.
+LOCAL_FOLDER = "/tmp/faultline-tables"
+
 
-    ``spark.checkpoint.dir`` names a folder all executors share; ``fallback``
-    must be one too (a local folder is only right for local mode).
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, local mode uses a folder of its own; a cluster has to
+    set it, since a machine's own folder would be lost with the machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(shared or fallback)
-    return spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return LOCAL_FOLDER
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back.
+
+    For results that several later steps read: they are computed once, lineage
+    ends here, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4()}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
