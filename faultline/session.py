@@ -24,6 +24,10 @@ STREAMING_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Call sites in error messages cost a stack walk and a lookup per expression;
+# the longer plans here have thousands of expressions. Static: set at submission.
+PLANNING_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings above to a running session and return it.
@@ -38,7 +42,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def get_session(app_name: str = "faultline", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
-    for key, value in settings.items():
+    for key, value in {**PLANNING_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
