@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.once import with_computed
 from faultline.functions.timestamps import utc_iso
 from faultline.operators.clusters import with_signature
 from faultline.operators.dedup import first_arrivals
@@ -155,7 +156,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     flaw = F.lit("none")
     for divisor, name in reversed(FLAWS):
         flaw = F.when(number % divisor == 0, name).otherwise(flaw)
-    rows = rows.withColumn("flaw", flaw)
+    rows = with_computed(rows, flaw.alias("flaw"))
     is_flaw = lambda name: F.col("flaw") == name
 
     def pair(name: str, value, keep=None):
@@ -187,9 +188,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(is_flaw("trailing"), F.concat(body, F.lit(" x")))
         .otherwise(body)
     )
-    return rows.select(
-        "seq", payload.alias("payload"), F.when(is_flaw("foreign"), "gcp").otherwise("local").alias("source")
-    )
+    source = F.when(is_flaw("foreign"), "gcp").otherwise("local")
+    return with_computed(rows, payload.alias("payload"), source.alias("source")).select("seq", "payload", "source")
 
 
 _FLAW_SQL = "case " + " ".join(

@@ -11,10 +11,11 @@ from faultline.functions.text import (
     message_template, redact, redaction_count, strip_space, top_frame, truncate_head, truncate_tail,
 )
 from faultline.operators import dedup
-from faultline.operators.ingest import OK, ingest
+from faultline.operators.ingest import OK, ingest, parse, validate
 from faultline.operators.stats import ingest_counters
 from faultline.plans import log_view as lv
 from faultline.sources.event_store import retrieve
+from faultline.session import stored
 from faultline.sources.log_lines import nonblank
 
 
@@ -40,7 +41,7 @@ select doc_id, count(*) as records, cast(sum(length(value)) as bigint) as chars
 
 def ingest_status(spark, sf_dir):
     """T-01..T-05, T-10, T-15, S-05: disposition and reason of every raw row."""
-    return _ingested(spark, sf_dir).select("seq", "status", "error")
+    return validate(parse(lv.raw(spark, sf_dir))).select("seq", "status", "error")
 
 
 def ingest_stats(spark, sf_dir):
@@ -57,8 +58,8 @@ select counter, value from a unpivot (value for counter in (malformed, invalid,
 
 def dispositions(spark, sf_dir):
     """T-15 with D-01: the same rows with later arrivals marked as duplicates."""
-    marked = dedup.with_duplicates_marked(_ingested(spark, sf_dir))
-    return marked.select("seq", "event_id", "status")
+    rows = stored(_ingested(spark, sf_dir).select("seq", "event_id", "status"), "ingested")
+    return dedup.with_duplicates_marked(rows).select("seq", "event_id", "status")
 
 
 def event_identity(spark, sf_dir):
