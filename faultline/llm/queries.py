@@ -8,7 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import line_frequency, oracles
+from faultline.llm import line_frequency, oracles, packing, token_codes
+from faultline.llm.storage import new_path
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -22,8 +23,28 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_quality(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as directly addressable codes and read back."""
+    folder = new_path(spark, "token-codes")
+    token_codes.write_codes(_table(spark, sf_dir, "documents"), folder, _tokenizer("word_bpe_49k.json"), 1)
+    return token_codes.read_codes(spark, folder)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their sequence of at most 1024 ids and their place in it."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_line_frequency": (op1_line_frequency, oracles.LINE_FREQUENCY),
+    "op6_token_codes": (op6_token_codes, None),
+    "op7_packing": (op7_packing, None),
 }
 
 
