@@ -56,3 +56,39 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
             or n_words - removed_words < cast({line_frequency.LEAST_SHARE} as double) * n_words) as kept
 from base
 """
+
+SIGNATURE_TREES = rf"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w
+  from documents
+),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as s
+  from docs
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+sets as (select doc_id, md5(string_agg(s, chr(10) order by s)) as h from shingles group by doc_id),
+classes as (select h, min(doc_id) as class_id from sets group by h),
+heads as (select class_id as doc_id from classes),
+common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as i
+  from (select s.* from shingles s semi join heads using (doc_id)) a
+  join (select s.* from shingles s semi join heads using (doc_id)) b on a.s = b.s and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id
+),
+links as (
+  select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+  where 100 * i >= 90 * (p.n + q.n - i)
+),
+two_way as (select x, y from links union all select y, x from links),
+reach(x, y) as (
+  select doc_id, doc_id from heads union select r.x, b.y from reach r join two_way b on r.y = b.x
+),
+labels as (select x as class_id, min(y) as component_id from reach group by x)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, coalesce(c.class_id, d.doc_id) as class_id,
+       coalesce(l.component_id, d.doc_id) as component_id
+from docs d left join sizes z using (doc_id) left join sets h using (doc_id) left join classes c using (h)
+left join labels l using (class_id)
+"""

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import line_frequency, oracles, packing, token_codes
+from faultline.llm import line_frequency, oracles, packing, signature_trees, token_codes
 from faultline.llm.storage import new_path
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -23,6 +23,12 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_quality(_table(spark, sf_dir, "documents"))
 
 
+def op2_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have Jaccard similarity 0.9 or more."""
+    found = signature_trees.jaccard_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "class_id", "component_id")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -43,6 +49,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_line_frequency": (op1_line_frequency, oracles.LINE_FREQUENCY),
+    "op2_signature_trees": (op2_signature_trees, oracles.SIGNATURE_TREES),
     "op6_token_codes": (op6_token_codes, None),
     "op7_packing": (op7_packing, None),
 }
