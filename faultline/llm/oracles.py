@@ -92,3 +92,31 @@ select d.doc_id, coalesce(z.n, 0) as n_shingles, coalesce(c.class_id, d.doc_id)
 from docs d left join sizes z using (doc_id) left join sets h using (doc_id) left join classes c using (h)
 left join labels l using (class_id)
 """
+
+
+def _escaped(column: str) -> str:
+    return f"replace(replace(replace({column}, '&', '&amp;'), '###', '&hash;'), '</turn>', '&end;')"
+
+
+CHAT_FORMAT = rf"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+whole as (
+  select conv_id, count(*) as n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as lines,
+         coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss,
+         cast(sum(length('### ' || replace({_escaped('role')}, ':', '&colon;') || ': ' || {_escaped('text')}
+                         || '</turn>' || chr(10))) as bigint) as formatted_chars,
+         string_agg(role, ',' order by turn nulls first, role, text) as roles,
+         bool_and(role in ('user', 'assistant')) as spoken
+  from rows group by conv_id
+)
+select conv_id, n_turns, sha256(lines) as turns_sha256, cast(length(loss) as bigint) as loss_chars,
+       sha256(loss) as loss_sha256, formatted_chars,
+       case when roles in ('user,assistant', 'system,user,assistant') then 'prompt_response'
+            when spoken then 'from_value' else 'messages' end as layout
+from whole
+"""
