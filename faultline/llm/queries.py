@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat_format, line_frequency, oracles, packing, signature_trees, token_codes
+from faultline.llm import chat_format, fourier_quality, insult_kernel, language_kernel, line_frequency, oracles, packing, signature_trees, token_codes
 from faultline.llm.storage import new_path
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -64,6 +64,16 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"), "layout")
 
 
+def op4_insult_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return insult_kernel.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_kernel.languages(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -82,12 +92,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
 
 
+def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return fourier_quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_line_frequency": (op1_line_frequency, oracles.LINE_FREQUENCY),
     "op2_signature_trees": (op2_signature_trees, oracles.SIGNATURE_TREES),
     "op3_chat_format": (op3_chat_format, oracles.CHAT_FORMAT),
+    "op4_insult_kernel": (op4_insult_kernel, None),
+    "op5_language_kernel": (op5_language_kernel, None),
     "op6_token_codes": (op6_token_codes, None),
     "op7_packing": (op7_packing, None),
+    "op10_fourier_quality": (op10_fourier_quality, None),
 }
 
 

@@ -33,11 +33,10 @@ from pyspark.sql import functions as F
 
 from faultline.llm import text_arrays as ta
 from faultline.llm.components import components
+from faultline.llm.selection import small
 from faultline.llm.storage import stored
 
 CHUNK = 1024
-#: Node lists up to this size are sent to all tasks to pick their texts; longer ones are joined.
-BROADCAST_ROWS = 200_000
 
 _BAND_RATIO = 1.25
 _PART_SIZE = 8.5
@@ -381,9 +380,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, key
     wanted = stored(
         labels.join(classes, "node").join(heads.select(F.col("row").alias("node"), "doc_id"), "node"), "jaccard-blocks")
 
-    ids = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = small(wanted.select("doc_id").distinct())
     texts = rows.alias("t").join(ids.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     sets = texts.mapInArrow(_sets(shingle), "set_a long, set_b long, set binary")
     blocks = stored(sets.join(wanted.drop("doc_id"), ["set_a", "set_b"]).dropDuplicates(["node"]).select(
@@ -424,9 +421,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, keys: str
         F.col("first.row").alias("row"), F.lit(True).alias("stays"))
     marked = found.join(first, "row", "left").groupBy("doc_id", "text_hash").agg(
         F.max(F.coalesce("stays", F.lit(False))).alias("_stays"), F.count("*").alias("_rows"))
-    marked = stored(marked.filter("not _stays or _rows > 1").select("doc_id", "text_hash", "_stays"), "jaccard-verdicts")
-    if marked.count() <= BROADCAST_ROWS:
-        marked = F.broadcast(marked)
+    marked = small(stored(marked.filter("not _stays or _rows > 1").select("doc_id", "text_hash", "_stays"), "jaccard-verdicts"))
     keyed = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
     joined = keyed.join(marked.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (
         F.col("d._hash") == F.col("m.text_hash")), "left").select("d.*", "m._stays")
