@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import line_frequency
+from faultline.llm import containment, line_frequency
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,8 +87,7 @@ reach(x, y) as (
   select doc_id, doc_id from heads union select r.x, b.y from reach r join two_way b on r.y = b.x
 ),
 labels as (select x as class_id, min(y) as component_id from reach group by x)
-select d.doc_id, coalesce(z.n, 0) as n_shingles, coalesce(c.class_id, d.doc_id) as class_id,
-       coalesce(l.component_id, d.doc_id) as component_id
+select d.doc_id, coalesce(z.n, 0) as n_shingles, coalesce(l.component_id, d.doc_id) as component_id
 from docs d left join sizes z using (doc_id) left join sets h using (doc_id) left join classes c using (h)
 left join labels l using (class_id)
 """
@@ -120,3 +119,28 @@ select conv_id, n_turns, sha256(lines) as turns_sha256, cast(length(loss) as big
             when spoken then 'from_value' else 'messages' end as layout
 from whole
 """
+
+_PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+CONTAINMENT = rf"""
+with doc_words as (
+  select doc_id, regexp_extract_all(lower(text), '{_PLAIN_WORD}') as w from documents where text is not null
+),
+item_words as (
+  select item_id, regexp_extract_all(lower(text), '{_PLAIN_WORD}') as w from benchmark where text is not null
+),
+doc_shingles as (
+  select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s
+  from doc_words where len(w) > 4
+),
+item_shingles as (
+  select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s
+  from item_words where len(w) > 4
+),
+sizes as (select item_id, count(*) as n from item_shingles group by item_id),
+shared as (
+  select doc_id, item_id, count(*) as n_shared from doc_shingles join item_shingles using (s) group by doc_id, item_id
+)
+select doc_id, item_id, n_shared, n as n_item_shingles from shared join sizes using (item_id)
+where 100 * n_shared >= {containment.PERCENT} * n
+"""

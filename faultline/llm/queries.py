@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat_format, fourier_quality, insult_kernel, language_kernel, line_frequency, oracles, packing, signature_trees, token_codes
+from faultline.llm import (
+    chat_format,
+    containment,
+    fourier_quality,
+    insult_kernel,
+    language_kernel,
+    line_frequency,
+    oracles,
+    packing,
+    signature_trees,
+    token_codes,
+)
+from faultline.llm.runtime import prepared
 from faultline.llm.storage import new_path
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +35,7 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have Jaccard similarity 0.9 or more."""
     found = signature_trees.jaccard_components(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "class_id", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def _records(turns: DataFrame) -> DataFrame:
@@ -92,6 +101,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
 
 
+def op9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    found = containment.held_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return fourier_quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
@@ -105,20 +120,14 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_language_kernel": (op5_language_kernel, None),
     "op6_token_codes": (op6_token_codes, None),
     "op7_packing": (op7_packing, None),
+    "op9_containment": (op9_containment, oracles.CONTAINMENT),
     "op10_fourier_quality": (op10_fourier_quality, None),
 }
 
 
 def _runner(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        # batches handed to Python stay small, whatever the length of the texts
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-        # Python workers import this package from where it was imported here
-        paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-        if ROOT not in paths.split(":"):
-            spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{paths}".rstrip(":")
-        return build(spark, sf_dir)
+        return build(prepared(spark), sf_dir)
 
     run.__name__, run.__doc__ = build.__name__, build.__doc__
     return run
