@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.llm import (
     chat_format,
     containment,
+    edit_counts,
     fourier_quality,
     insult_kernel,
     language_kernel,
@@ -101,6 +102,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: its source replaces 12 characters at a
+    quarter, 40 characters go at the middle, its length is added at the end."""
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    edit = lambda start, length, insert: F.struct(
+        start.cast("long").alias("start"), F.lit(length).cast("long").alias("length"), insert.alias("insert"))
+    edits = F.array(edit(F.floor(n / 4), 12, F.col("source")), edit(F.floor(n / 2), 40, F.lit("")),
+                    edit(F.lit(2**62), 0, F.concat(F.lit(" "), n.cast("string"))))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return edit_counts.edited_counts(docs, _tokenizer("byte_bpe_50k.json"))
+
+
 def op9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     found = containment.held_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -120,6 +133,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_language_kernel": (op5_language_kernel, None),
     "op6_token_codes": (op6_token_codes, None),
     "op7_packing": (op7_packing, None),
+    "op8_edit_counts": (op8_edit_counts, None),
     "op9_containment": (op9_containment, oracles.CONTAINMENT),
     "op10_fourier_quality": (op10_fourier_quality, None),
 }

@@ -141,16 +141,31 @@ class Encoder:
         entry[missing] = self.table.find(hashes[missing])
         return entry
 
+    def _chunks(self, part: ta.Slice) -> ta.Spans:
+        return word_chunks(part) if self.kind == "word" else byte_chunks(part)
+
+    def _chunk_entries(self, part: ta.Slice, found: ta.Spans) -> np.ndarray:
+        return self._entries(ta.LOWER_ASCII[part.data] if self.kind == "word" else part.data, found)
+
+    def chunk_sizes(self, part: ta.Slice) -> tuple[ta.Spans, np.ndarray] | None:
+        """The chunks of a slice and the number of ids of each; None where only whole texts can be encoded."""
+        if self.kind is None:
+            return None
+        found = self._chunks(part) if len(part.data) else ta.word_spans(part)
+        try:
+            return found, self.length[self._chunk_entries(part, found)].astype(np.int64)
+        except _TooMany:
+            return None
+
     def encode(self, part: ta.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, one after another, and where each text's ids begin and end."""
         if not len(part.data):
             return np.zeros(0, np.uint32), np.zeros(part.n + 1, np.int64)
         if self.kind is None or (odd := odd_space(part)).all():
             return self._whole(part)
-        data = ta.LOWER_ASCII[part.data] if self.kind == "word" else part.data
-        found = word_chunks(part) if self.kind == "word" else byte_chunks(part)
+        found = self._chunks(part)
         try:
-            entry = self._entries(data, found)
+            entry = self._chunk_entries(part, found)
         except _TooMany:
             return self._whole(part)
         sizes = self.length[entry].astype(np.int64)
