@@ -127,18 +127,17 @@ def without_frequent_lines(docs: DataFrame, host: str = "source", min_docs: int
 
     Lines without a word stay. Text that loses all its lines becomes empty; null stays null.
     """
-    normal = F.trim(F.regexp_replace(F.translate(F.regexp_replace(F.col("_line"), "[0-9]", "0"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    normal = F.trim(F.regexp_replace(F.translate(F.regexp_replace("line", "[0-9]", "0"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
                                                  "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    named = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("-"))
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "line-rows")
-    lines = keyed.select("_row", named.alias("_host"), F.posexplode(F.split("text", "\n")).alias("_at", "_line"))
-    lines = lines.withColumn("_normal", F.sha2(normal, 256)).withColumn("_worded", F.trim(normal) != "")
-    seen = lines.filter("_worded").select("_row", "_host", "_normal").distinct()
-    often = seen.groupBy("_host", "_normal").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > min_docs)
-    hosts = keyed.groupBy(named.alias("_host")).agg(F.count("*").alias("_all"))
-    often = often.join(hosts, "_host").filter(F.col("_docs") > share * F.col("_all")).select("_host", "_normal")
-    left = lines.join(often, ["_host", "_normal"], "left_anti").groupBy("_row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]), "\n").alias("_text"))
-    whole = keyed.join(left, "_row", "left")
-    text = F.when(F.col("text").isNotNull(), F.coalesce("_text", F.lit("")))
-    return whole.withColumn("text", text).drop("_row", "_text")
+    named = F.coalesce(F.concat(F.lit("="), F.col(f"doc.{host}").cast("string")), F.lit("-"))
+    rows = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "line-rows")
+    lines = rows.select("row", named.alias("host"), F.posexplode(F.split("doc.text", "\n")).alias("at", "line"))
+    lines = lines.withColumn("normal", F.sha2(normal, 256)).withColumn("worded", normal != "")
+    seen = lines.filter("worded").select("row", "host", "normal").distinct()
+    often = seen.groupBy("host", "normal").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
+    hosts = rows.groupBy(named.alias("host")).agg(F.count("*").alias("all"))
+    often = often.join(hosts, "host").filter(F.col("docs") > share * F.col("all")).select("host", "normal")
+    left = lines.join(often, ["host", "normal"], "left_anti").groupBy("row").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("left"))
+    text = F.when(F.col("doc.text").isNotNull(), F.coalesce("left", F.lit("")))
+    return rows.join(left, "row", "left").select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")

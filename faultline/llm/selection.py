@@ -25,6 +25,15 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
     Ids may repeat or be null: equal ids with other texts stay. All columns of ``docs`` stay.
     """
-    bad = small(stored(rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = small(stored(rejected.select("doc_id", "text_hash").distinct(), "rejected"))
+    return whole_rows(docs).join(bad, same_document(bad), "left_anti").select("doc.*")
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``doc``, so that no name of theirs clashes with a name that is added."""
+    return docs.select(F.struct("*").alias("doc"))
+
+
+def same_document(found: DataFrame) -> Column:
+    """Whether a whole row has the doc_id and the text hash of a row of ``found``."""
+    return F.col("doc.doc_id").eqNullSafe(found["doc_id"]) & (F.xxhash64("doc.text") == found["text_hash"])
