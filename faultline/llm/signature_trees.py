@@ -1,11 +1,11 @@
 """N-gram Jaccard join by signature trees.
 
-Each text is the set of its word shingles. Texts with equal sets are one node. Nodes that could be
-similar share a key, so the nodes reachable over shared keys form a block, and blocks are joined apart.
-In a block, two-level dealing and pruning work on a signature tree: its nodes hold the OR of the token
-bitmaps and the size range below them, and a dual traversal drops a pair of tree nodes if the largest
-overlap that bitmaps and sizes allow is below the least overlap the threshold asks for. Pairs of texts that
-are left are compared on their whole sets.
+Each text is the set of its word shingles, as 64-bit hashes. Texts with equal sets are one node, named by a hash
+of the set. Nodes that could be similar share a key, so the nodes reachable over shared keys form a block, and blocks
+are joined apart. A block is joined by signature trees: a tree node holds the OR of the token bitmaps and
+the size range of the sets below it, and a dual traversal drops a pair of tree nodes if the largest overlap that
+bitmaps and sizes allow is below the least overlap the threshold asks for. Pairs of sets that are left are
+compared whole.
 
 Keys come in two kinds. ``parts`` loses nothing: with sizes a <= b and Jaccard t or more, the sets differ
 in at most D = (a + b)(1 - t)/(1 + t) shingles, so of more than D parts of the shingle space one holds the
@@ -13,7 +13,7 @@ same shingles in both; small parts are left out where enough others remain for t
 selective for thresholds of about 0.9. ``minhash`` (56 keys of 6 minima) misses a pair of similarity 0.8 with
 a chance below 1e-7, more similar pairs far less often, and stays selective where many texts share passages.
 
-Links form components; nobody lists all pairs of a group. Blocks of more than ``CHUNK`` nodes are cut by
+Links form components; nobody lists all pairs of a group. Blocks of more than ``CHUNK`` shingles are cut by
 hash: chunks are joined in themselves, then the heads of what was found, then those pairs of chunks that still
 hold nodes of different components, so every pair that could add a link is compared.
 
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from faultline.llm import text_arrays as ta
 from faultline.llm.components import components
-from faultline.llm.selection import small
+from faultline.llm.selection import same_document, small, whole_rows
 from faultline.llm.storage import stored
 
-CHUNK = 1024
+CHUNK = 2_000_000
 
 _BAND_RATIO = 1.25
 _PART_SIZE = 8.5
@@ -97,11 +97,10 @@ def minhash_keys(values: np.ndarray, percent: int) -> np.ndarray:
 _KEYS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {"parts": part_keys, "minhash": minhash_keys}
 
 
-def _set_name(values: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
-    one = ta.mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    two = ta.mixed(values * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)
-    return int(one.astype(np.int64)), int(two.astype(np.int64))
+def _set_name(values: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    total = ta.mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+    return int(ta.mixed(np.array([total + np.uint64(len(values))], np.uint64)).view(np.int64)[0])
 
 
 def _text_sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -246,82 +245,73 @@ def _joined_blocks(percent: int):
     """Links of rows sorted by block: ``block`` names the group, ``side`` 0/1 tells two chunks apart (or
     -1: all with all), ``known`` is the component found so far."""
 
-    def links(nodes: list, sets: list, sides: list, known: list) -> tuple[list, list]:
-        join = SignatureJoin([np.frombuffer(s, np.uint64) for s in sets], percent, known)
-        side = np.array(sides)
-        if side[0] < 0:
-            join.inside(join.tree(np.arange(len(sets))))
-        elif (side == 0).any() and (side == 1).any():
-            join.between(join.tree(np.flatnonzero(side == 0)), join.tree(np.flatnonzero(side == 1)))
-        return [nodes[x] for x, _ in join.found], [nodes[y] for _, y in join.found]
+    def links(held: tuple[list, ...]) -> pa.RecordBatch:
+        nodes, sets, sides, known = held
+        found = []
+        if len(nodes) > 1:
+            join = SignatureJoin([np.frombuffer(s, np.uint64) for s in sets], percent, known)
+            side = np.array(sides)
+            if side[0] < 0:
+                join.inside(join.tree(np.arange(len(sets))))
+            elif (side == 0).any() and (side == 1).any():
+                join.between(join.tree(np.flatnonzero(side == 0)), join.tree(np.flatnonzero(side == 1)))
+            found = join.found
+        return pa.RecordBatch.from_pydict({
+            "a": pa.array([nodes[x] for x, _ in found], pa.int64()), "b": pa.array([nodes[y] for _, y in found], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [])
         block = None
         for batch in batches:
-            a, b = [], []
             names = batch.column("block").to_pylist()
             columns = [batch.column(c).to_pylist() for c in ("node", "set", "side", "known")]
             for i, name in enumerate(names):
                 if name != block:
                     if len(held[0]) > 1:
-                        x, y = links(*held)
-                        a += x
-                        b += y
+                        yield links(held)
                     held, block = ([], [], [], []), name
                 for to, column in zip(held, columns, strict=True):
                     to.append(column[i])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        if len(held[0]) > 1:
-            x, y = links(*held)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+        yield links(held)
 
     return run
 
 
-def _block_links(rows: DataFrame, percent: int) -> DataFrame:
-    dealt = rows.select("block", "node", "set", "side", "known").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(_joined_blocks(percent), _BLOCK_SCHEMA)
+def _block_links(rows: DataFrame, percent: int, *block: str) -> DataFrame:
+    """Links of the blocks that share the named columns."""
+    named = rows.select(F.to_json(F.struct(*block)).alias("block"), "node", "set", "side", "known")
+    dealt = named.repartition("block").sortWithinPartitions("block")
+    return stored(dealt.mapInArrow(_joined_blocks(percent), _BLOCK_SCHEMA), "tree-links")
 
 
 def _with_known(rows: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).select("node", F.col("label").alias("_found"))
-    return rows.drop("known").join(found, "node", "left").withColumn("known", F.coalesce("_found", "node")).drop("_found")
+    return stored(rows.drop("known").join(found, "node", "left").withColumn("known", F.coalesce("_found", "node")).drop("_found"), "large-blocks")
 
 
 def _tree_links(blocks: DataFrame, percent: int) -> DataFrame:
     """Links of ``blocks(node, label, set)``, enough of them to connect what is similar."""
-    sizes = stored(blocks.groupBy("label").agg(F.count("*").alias("size")), "block-sizes")
-    rows = blocks.join(sizes, "label").withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn(
-        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).drop("size")
-    alone = rows.withColumns({"block": F.struct("label", "chunk"), "side": F.lit(-1), "known": F.col("node")})
-    links = stored(_block_links(_flat(alone), percent), "tree-links")
-    if sizes.filter(F.col("size") > CHUNK).isEmpty():
+    weight = F.sum(F.octet_length("set") / 8)
+    sizes = small(stored(blocks.groupBy("label").agg(F.ceil(weight / CHUNK).alias("chunks")), "block-sizes"))
+    rows = blocks.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    rows = rows.withColumns({"side": F.lit(-1), "known": F.col("node")})
+    links = _block_links(rows, percent, "label", "chunk")
+    if sizes.filter("chunks > 1").isEmpty():
         return links
 
     # larger blocks: heads of the components found in each chunk, then chunks that still differ
-    large = stored(_with_known(rows.filter("chunks > 1"), links), "large-blocks")
+    large = _with_known(rows.filter("chunks > 1"), links)
     heads = large.groupBy("label", "chunk", "known").agg(F.min("node").alias("node")).select("label", "node")
-    heads = heads.join(large.select("node", "set"), "node")
-    links = stored(links.union(_tree_links(heads, percent) if _shrinks(heads, large) else links.limit(0)), "tree-links")
-    large = stored(_with_known(large, links), "large-blocks")
-    open_blocks = large.groupBy("label").agg(F.min("known").alias("x"), F.max("known").alias("y")).filter("x <> y").select("label")
-    pairs = large.join(open_blocks, "label").select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).filter("other <> chunk")
+    heads = stored(heads.join(large.select("node", "set"), "node"), "block-heads")
+    if 2 * heads.count() <= large.count():
+        links = links.union(_tree_links(heads, percent))
+        large = _with_known(large, links)
+    still = large.groupBy("label").agg(F.min("known").alias("x"), F.max("known").alias("y")).filter("x <> y").select("label")
+    pairs = large.join(still, "label").select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).filter("other <> chunk")
     pairs = pairs.withColumns({
-        "block": F.struct("label", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y")),
-        "side": (F.col("chunk") > F.col("other")).cast("int")})
-    return links.union(stored(_block_links(_flat(pairs), percent), "tree-links"))
-
-
-def _flat(rows: DataFrame) -> DataFrame:
-    """Block names as text, equal for equal fields only."""
-    return rows.withColumn("block", F.to_json("block"))
-
-
-def _shrinks(heads: DataFrame, large: DataFrame) -> bool:
-    """Whether joining the heads first is worth it: far fewer than the nodes themselves."""
-    return 2 * heads.count() <= large.count()
+        "low": F.least("chunk", "other"), "high": F.greatest("chunk", "other"), "side": (F.col("chunk") > F.col("other")).cast("int")})
+    return links.union(_block_links(pairs, percent, "label", "low", "high"))
 
 
 # the join
@@ -330,17 +320,21 @@ def _sketches(shingle: int, percent: int, kind: str):
     keys_of = _KEYS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            size, one, two, keys = [], [], [], []
+            size, name, keys = [], [], []
             for values in _text_sets(batch.column("text"), shingle):
                 size.append(len(values))
-                a, b = _set_name(values)
-                one.append(a)
-                two.append(b)
-                keys.append(keys_of(values, percent) if len(values) else np.zeros(0, np.uint64))
+                name.append(_set_name(values))
+                # the keys of a set are the same each time; a task gives them once
+                new = len(values) > 0 and name[-1] not in seen
+                keys.append(keys_of(values, percent) if new else np.zeros(0, np.uint64))
+                seen.add(name[-1])
+            if len(seen) > 1_000_000:
+                seen.clear()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": pa.array(size, pa.int64()),
-                "set_a": pa.array(one, pa.int64()), "set_b": pa.array(two, pa.int64()), "keys": ta.list_column(keys, pa.int64())})
+                "node": pa.array(name, pa.int64()), "keys": ta.list_column(keys, pa.int64())})
 
     return run
 
@@ -349,56 +343,13 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(_text_sets(batch.column("text"), shingle))
-            names = [_set_name(s) for s in sets]
             yield pa.RecordBatch.from_pydict({
-                "set_a": pa.array([n[0] for n in names], pa.int64()), "set_b": pa.array([n[1] for n in names], pa.int64()),
-                "set": pa.array([s.tobytes() for s in sets], pa.binary())})
+                "node": pa.array([_set_name(s) for s in sets], pa.int64()), "wanted": batch.column("node"),
+                "label": batch.column("label"), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, keys: str = "parts") -> DataFrame:
-    """Rows of ``docs(doc_id, text)`` with the components of the links of Jaccard ``percent`` / 100 or more.
-
-    Columns: doc_id, ``text_hash`` (xxhash64 of the text), ``n_shingles``, ``class_id`` (least doc_id with an
-    equal set), ``component_id`` (least doc_id reachable, itself included), ``row`` and ``component`` (numbers
-    for this result only, the same ``component`` for what is connected).
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    sketches = stored(hashed.mapInArrow(
-        _sketches(shingle, percent, keys),
-        "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, keys array<long>",
-    ).withColumn("row", F.monotonically_increasing_id()), "jaccard-sketches")
-
-    full = sketches.filter("n_shingles > 0")
-    classes = stored(full.groupBy("set_a", "set_b").agg(F.min("row").alias("node")), "jaccard-classes")
-    heads = full.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    keyed = heads.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    links = stored(_star_links(keyed), "jaccard-candidates")
-    labels = components(links)
-    wanted = stored(
-        labels.join(classes, "node").join(heads.select(F.col("row").alias("node"), "doc_id"), "node"), "jaccard-blocks")
-
-    ids = small(wanted.select("doc_id").distinct())
-    texts = rows.alias("t").join(ids.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    sets = texts.mapInArrow(_sets(shingle), "set_a long, set_b long, set binary")
-    blocks = stored(sets.join(wanted.drop("doc_id"), ["set_a", "set_b"]).dropDuplicates(["node"]).select(
-        "node", "label", "set"), "jaccard-sets")
-    found = components(_tree_links(blocks, percent))
-
-    members = full.select("row", "doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"])
-    members = members.drop("set_a", "set_b").join(found, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
-    members = stored(members, "jaccard-members")
-    class_ids = members.groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    component_ids = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = members.join(class_ids, "node").join(component_ids, "component")
-    names = ["doc_id", "text_hash", "n_shingles", "class_id", "component_id", "row", "component"]
-    empty = sketches.filter("n_shingles = 0").withColumns(
-        {"class_id": F.col("doc_id"), "component_id": F.col("doc_id"), "component": F.col("row")})
-    return linked.select(names).union(empty.select(names))
-
-
 def _star_links(keyed: DataFrame) -> DataFrame:
     """Each node linked to the least node of each of its keys.
 
@@ -410,21 +361,50 @@ def _star_links(keyed: DataFrame) -> DataFrame:
         F.col("node").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, keys: str = "parts") -> DataFrame:
+    """Rows of ``docs(doc_id, text)`` with the components of the links of Jaccard ``percent`` / 100 or more.
+
+    Columns: doc_id, ``text_hash`` (xxhash64 of the text), ``n_shingles``, ``node`` (equal for equal sets),
+    ``component`` (equal for what is connected; null without shingles) and ``component_id`` (least doc_id reachable, itself
+    included).
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = stored(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _sketches(shingle, percent, keys), "doc_id long, text_hash long, n_shingles long, node long, keys array<long>"), "jaccard-sketches")
+    links = stored(_star_links(sketches.select(F.explode("keys").alias("key"), "node")), "jaccard-candidates")
+    labels = small(components(links))
+
+    wanted = sketches.select("node", "doc_id").join(labels, "node").groupBy("node", "label").agg(F.min("doc_id").alias("doc_id"))
+    wanted = small(stored(wanted, "jaccard-wanted"))
+    texts = rows.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("t.text", "w.node", "w.label")
+    sets = texts.mapInArrow(_sets(shingle), "node long, wanted long, label long, set binary")
+    blocks = stored(sets.filter("node = wanted").dropDuplicates(["node"]).select("node", "label", "set"), "jaccard-sets")
+    found = small(components(_tree_links(blocks, percent)))
+
+    members = sketches.drop("keys").join(found, "node", "left").withColumn(
+        "component", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node"))).drop("label")
+    members = stored(members, "jaccard-members")
+    least = members.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return members.join(least, "component", "left").select(
+        "doc_id", "text_hash", "n_shingles", "node", "component",
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, keys: str = "minhash") -> DataFrame:
     """``docs`` with one row of each component, the one with the least doc_id; all columns stay.
 
-    Rows without shingles stay. Of rows equal in doc_id and text one stays.
+    Rows without shingles stay. Of rows equal in doc_id and text one stays; a component whose ids are all
+    null keeps the least text hash.
     """
-    found = jaccard_components(docs, shingle, percent, keys).filter("n_shingles > 0")
-    found = stored(found.select("doc_id", "text_hash", "row", "component"), "jaccard-found")
-    first = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row")).alias("first")).select(
-        F.col("first.row").alias("row"), F.lit(True).alias("stays"))
-    marked = found.join(first, "row", "left").groupBy("doc_id", "text_hash").agg(
-        F.max(F.coalesce("stays", F.lit(False))).alias("_stays"), F.count("*").alias("_rows"))
+    found = jaccard_components(docs, shingle, percent, keys).filter("component is not null")
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_hash")
+    found = stored(found.select("doc_id", "text_hash", "component", place.alias("place")), "jaccard-found")
+    first = found.groupBy("component").agg(F.min("place").alias("first"))
+    marked = found.join(first, "component").groupBy("doc_id", "text_hash").agg(
+        F.max(F.col("place") == F.col("first")).alias("_stays"), F.count("*").alias("_rows"))
     marked = small(stored(marked.filter("not _stays or _rows > 1").select("doc_id", "text_hash", "_stays"), "jaccard-verdicts"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
-    joined = keyed.join(marked.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (
-        F.col("d._hash") == F.col("m.text_hash")), "left").select("d.*", "m._stays")
-    single = joined.filter("_stays is null")
-    again = joined.filter("_stays").dropDuplicates(["doc_id", "_hash"])
-    return single.union(again).drop("_hash", "_stays")
+    joined = whole_rows(docs).join(marked, same_document(marked), "left").select("doc", marked["_stays"].alias("stays"))
+    single = joined.filter("stays is null").select("doc.*")
+    # rows equal in id and text: one is left by the pair alone, whatever their other columns say
+    again = joined.filter("stays").select("doc", F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("hash"))
+    return single.union(again.dropDuplicates(["id", "hash"]).select("doc.*"))
