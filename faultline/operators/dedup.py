@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import fixed_values as fv
 from faultline.operators.ingest import DUPLICATE, OK
-from faultline.session import shared_folder, stored
-
-# Largest group of distinct times one task folds in memory; larger groups take
-# the round-by-round way, so no size is refused.
-FOLD_LIMIT = 10_000
 
 
 def first_arrivals(events: DataFrame) -> DataFrame:
@@ -49,77 +47,55 @@ def with_duplicates_marked(ingested: DataFrame) -> DataFrame:
     )
 
 
-def _kept_in_small_groups(points: DataFrame, ttl: str) -> DataFrame:
-    """Fold each id's times in order: keep one once the last kept is older than the TTL."""
-    item = "struct<at:{},seq:{}>".format(
-        points.schema["at"].dataType.simpleString(), points.schema["seq"].dataType.simpleString()
-    )
-    ordered = points.groupBy("event_id").agg(
-        F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("points")
-    )
-    kept = F.aggregate(
-        "points",
-        F.array().cast(f"array<{item}>"),
-        lambda kept, point: F.when(
-            (F.size(kept) == 0)
-            | (point["at"] > F.try_element_at(kept, F.lit(-1))["at"] + F.expr(ttl)),
-            F.concat(kept, F.array(point)),
-        ).otherwise(kept),
-    )
-    return ordered.select(F.explode(kept).alias("point")).select("point.seq")
-
-
-def _kept_in_large_groups(points: DataFrame, ttl: str, folder: str) -> DataFrame | None:
-    """Same rule without gathering a group: one kept time per id and round.
+def _kept_seqs(ttl: int):
+    """Arrival numbers kept among rows ``piece, at, seq`` (``at`` in microseconds) sorted by piece and time.
 
-    A round is a join plus a partial minimum, written to ``folder``. Rounds are
-    bounded by the time span over the TTL, not by the number of rows.
+    One pass: a piece's last kept time is all that is carried, also from batch to batch.
     """
-    spark = points.sparkSession
-    points.write.mode("overwrite").parquet(f"{folder}/points")
-    stored = spark.read.parquet(f"{folder}/points")
-    nearest = F.min(F.struct("at", "seq")).alias("last")
-    current = stored.groupBy("event_id").agg(nearest)
-    number = 0
-    while True:
-        current.write.mode("overwrite").parquet(f"{folder}/kept/round={number}")
-        last = spark.read.parquet(f"{folder}/kept/round={number}")
-        if last.isEmpty():
-            break
-        current = (
-            stored.join(last, "event_id")
-            .filter(F.col("at") > F.col("last.at") + F.expr(ttl))
-            .select("event_id", "at", "seq")
-            .groupBy("event_id").agg(nearest)
-        )
-        number += 1
-    if number == 0:
-        return None
-    return spark.read.parquet(f"{folder}/kept").select("last.seq")
-
-
-def first_within_ttl(
-    events: DataFrame,
-    ttl_seconds: int = fv.DEDUP_TTL_SECONDS,
-    fold_limit: int = FOLD_LIMIT,
-) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, last = None, 0
+        for batch in batches:
+            pieces = batch.column("piece").to_pylist()
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            starts = [i for i in range(len(pieces)) if i == 0 or pieces[i] != pieces[i - 1]]
+            kept = []
+            for begin, end in zip(starts, [*starts[1:], len(pieces)], strict=True):
+                place = begin
+                if pieces[begin] == piece:
+                    place += int(np.searchsorted(at[begin:end], last + ttl, "right"))
+                piece = pieces[begin]
+                while place < end:
+                    kept.append(place)
+                    last = int(at[place])
+                    place += max(1, int(np.searchsorted(at[place:end], last + ttl, "right")))
+            yield pa.RecordBatch.from_arrays([batch.column("seq").take(pa.array(kept, pa.int64()))], ["seq"])
+
+    return run
+
+
+def first_within_ttl(events: DataFrame, ttl_seconds: int = fv.DEDUP_TTL_SECONDS) -> DataFrame:
     """Rows kept when an id is forgotten ``ttl_seconds`` after it was last accepted.
 
     Replays events on their own clock, in (ts, seq) order. A repeat does not
-    extend the time. Runs one count of large groups when called; only if there
-    are any does it write rounds to the checkpoint folder.
+    extend the time. The clock is cut into spans of the TTL; after a span without
+    any row of an id its next row is kept whatever came before, so each run of
+    filled spans is a piece of its own, and an id's pieces go to different tasks.
+    A piece streams through one sorted pass, which holds one time, however many
+    rows there are.
     """
-    ttl = f"make_dt_interval(0, 0, 0, {int(ttl_seconds)})"
-    points = events.groupBy("event_id", F.col("ts").alias("at")).agg(F.min("seq").alias("seq"))
-    sizes = points.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > fold_limit).select("event_id")
-    if large.isEmpty():
-        kept = _kept_in_small_groups(points, ttl)
-    else:
-        folder = f"{shared_folder(events.sparkSession)}/dedup-{uuid.uuid4()}"
-        points, large = stored(points, "dedup-points"), stored(large, "dedup-large")
-        kept = _kept_in_small_groups(points.join(large, "event_id", "left_anti"), ttl)
-        rounds = _kept_in_large_groups(points.join(large, "event_id", "left_semi"), ttl, folder)
-        if rounds is not None:
-            kept = kept.unionByName(rounds)
+    ttl = int(ttl_seconds) * 1_000_000
+    timed = events.select("event_id", F.unix_micros("ts").alias("at"), "seq")
+    points = timed.groupBy("event_id", "at").agg(F.min("seq").alias("seq"))
+    span = F.expr(f"at div {max(ttl, 1)}").alias("span")
+    points = points.select("*", span)
+    # one row per id and filled span: as many as the clock has, not as there are events
+    spans = timed.select("event_id", span).distinct()
+    by_span = Window.partitionBy("event_id").orderBy("span")
+    begins = F.coalesce(F.col("span") - F.lag("span").over(by_span) > 1, F.lit(True))
+    runs = spans.withColumn("_begin", F.when(begins, F.col("span")))
+    runs = runs.withColumn("_begin", F.last("_begin", ignorenulls=True).over(by_span))
+    pieces = points.join(runs, ["event_id", "span"]).select(
+        F.concat(F.col("_begin").cast("string"), F.lit(":"), "event_id").alias("piece"), "at", "seq")
+    dealt = pieces.repartition("piece").sortWithinPartitions("piece", "at")
+    kept = dealt.mapInArrow(_kept_seqs(ttl), T.StructType([dealt.schema["seq"]]))
     return events.join(kept, "seq", "left_semi")

@@ -141,16 +141,15 @@ from d group by 1"""
 
 def document_templates(spark, sf_dir):
     """T-12 over free text: template of every whole document."""
-    lean = F.regexp_replace("text", r"[^\x00-\x7f]", "")
     return lv.table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(message_template(lean)).alias("template_md5")
+        "doc_id", F.md5(message_template(F.col("text"))).alias("template_md5")
     )
 
 
 DOCUMENT_TEMPLATES = r"""
-select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7f]', '', 'g'),
+select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text,
   '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<uuid>', 'g'), '''[^'']*''|"[^"]*"', '<str>', 'g'),
-  '\d+', '#', 'g')) as template_md5 from documents"""
+  '\p{Nd}+', '#', 'g')) as template_md5 from documents"""
 
 
 def top_frames(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,11 @@ def configure(spark: SparkSession) -> SparkSession:
     """
     for key, value in {**SEMANTIC_SETTINGS, **STREAMING_SETTINGS}.items():
         spark.conf.set(key, value)
+    # Python tasks find this package where the driver found it (a cluster installs it)
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
     return spark
 
 
@@ -47,29 +53,22 @@ def get_session(app_name: str = "faultline", **settings: str) -> SparkSession:
     return configure(builder.getOrCreate())
 
 
-LOCAL_FOLDER = "/tmp/faultline-tables"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
-
-    Where that is unset, local mode uses a folder of its own; a cluster has to
-    set it, since a machine's own folder would be lost with the machine.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return LOCAL_FOLDER
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder for intermediate tables that all executors share: what ``spark.checkpoint.dir`` names, if anything."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else None
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` written to the shared folder and read back.
+    """``rows`` written to the shared folder and read back; ``rows`` itself where no folder is named.
 
     For results that several later steps read: they are computed once, lineage
     ends here, and a lost executor costs a re-read instead of a recomputation.
+    The tables stay until the owner of the folder removes them.
     """
-    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4()}"
+    folder = shared_folder(rows.sparkSession)
+    if folder is None:
+        return rows
+    path = f"{folder}/{name}-{uuid.uuid4()}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -97,19 +97,27 @@ def _ttl_by_hand(rows, ttl):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("fold_limit", [10_000, 20])
-def test_dedup_ttl_small_and_large_groups(spark, fold_limit):
+def test_dedup_ttl(spark):
     rng = random.Random(1)
     rows = [
         (i, "hot" if i % 3 == 0 else f"id{rng.randrange(40)}", START + timedelta(seconds=rng.randrange(3000)))
         for i in range(300)
     ] + [(1000 + n, "golden", START + timedelta(seconds=s)) for n, s in enumerate((0, 50, 99, 101, 150, 202))]
     events = spark.createDataFrame(rows, "seq long, event_id string, ts timestamp")
-    kept = dedup.first_within_ttl(events, ttl_seconds=100, fold_limit=fold_limit)
+    kept = dedup.first_within_ttl(events, ttl_seconds=100)
     assert sorted(r.seq for r in kept.collect()) == _ttl_by_hand(rows, 100)
     assert sorted(r.seq - 1000 for r in kept.filter("event_id = 'golden'").collect()) == [0, 3, 5]
 
 
+def test_dedup_ttl_of_an_id_with_many_kept_rows(spark):
+    # dense: no span of the clock is empty, so the id is one piece; sparse: every kept row is a piece
+    dense = spark.range(200_000).selectExpr("id as seq", "'dense' as event_id", "timestamp_seconds(id * 26) as ts")
+    sparse = spark.range(50_000).selectExpr("1000000 + id as seq", "'sparse' as event_id", "timestamp_seconds(id * 500) as ts")
+    kept = dedup.first_within_ttl(dense.union(sparse), ttl_seconds=100).groupBy("event_id").agg(F.count("*").alias("n"), F.sum("seq").alias("s"))
+    got = {r.event_id: (r.n, r.s) for r in kept.collect()}
+    assert got == {"dense": (50_000, sum(range(0, 200_000, 4))), "sparse": (50_000, sum(range(1_000_000, 1_050_000)))}
+
+
 def test_results_do_not_depend_on_partitions(spark):
     rng = random.Random(2)
     rows = [(i, f"s{rng.randrange(9)}", rng.choice(["ERROR", "CRITICAL"]), rng.randrange(500)) for i in range(300)]
