@@ -16,6 +16,7 @@ from faultline.functions import documents as doc
 from faultline.functions import keys
 from faultline.functions import timestamps as tm
 from faultline.functions.once import with_computed
+from faultline.functions.text import REDACTED, redact
 
 OK = "ok"
 DUPLICATE = "duplicate"
@@ -150,12 +151,34 @@ def sanitized_metadata(fields: Column, deep: bool = False) -> Column:
     return F.transform_values(clean, inner)
 
 
-def normalize(checked: DataFrame, deep: bool = False) -> DataFrame:
-    """Event columns of every row that passed; NULL in the others."""
+def _redacted_values(fields: Column) -> Column:
+    """Metadata with secret-shaped values replaced at any depth; other values stay as they are."""
+    def clean(_: Column, value: Column) -> Column:
+        text = F.to_json(value)
+        found = redact(text)
+        return F.when(found == text, value).otherwise(
+            F.coalesce(F.try_parse_json(found), F.lit(REDACTED).cast("variant")))
+
+    return F.transform_values(fields, clean)
+
+
+_FREE_TEXT = ("message", "error_message", "stack_trace")
+
+
+def normalize(checked: DataFrame, deep: bool = True, redacting: bool = True) -> DataFrame:
+    """Event columns of every row that passed; NULL in the others.
+
+    ``redacting`` replaces secret-shaped values in free text and metadata before anything is derived from
+    them (identity hashes excepted); the payload keeps what came in. Without it and ``deep`` values stay.
+    """
     good = F.col("status") == OK
 
     def text(name: str) -> Column:
-        return F.when(good, _plain(name)).alias(name)
+        plain = _plain(name)
+        return F.when(good, redact(plain) if redacting and name in _FREE_TEXT else plain).alias(name)
+
+    fields = sanitized_metadata(doc.object_fields(F.col("document")), deep)
+    fields = _redacted_values(fields) if redacting else fields
 
     used = ("is_json", "missing", "wrong", "severity_text", "time_text")
     kept = [c for c in checked.columns if c not in used]
@@ -166,7 +189,7 @@ def normalize(checked: DataFrame, deep: bool = False) -> DataFrame:
         F.when(good, tm.iso_text(F.col("time"))).alias("ts_iso"),
         *[text(name) for name in ("severity", "service", "message", *fv.OPTIONAL_TEXT_FIELDS)],
         F.when(good & ~doc.is_falsy(_value("raw_ref"), _plain("raw_ref")), _plain("raw_ref")).alias("reference"),
-        F.when(good, sanitized_metadata(doc.object_fields(F.col("document")), deep)).alias("metadata"),
+        F.when(good, fields).alias("metadata"),
     ).withColumn("endpoint_text", doc.text_of(F.col("metadata")["endpoint"]))
     signature = F.when(
         keys.is_clustered(F.col("severity")),
@@ -188,9 +211,9 @@ def normalize(checked: DataFrame, deep: bool = False) -> DataFrame:
     return shaped.select("seq", "payload", "status", "error", *EVENT_COLUMNS)
 
 
-def ingest(raw: DataFrame, deep: bool = False) -> DataFrame:
+def ingest(raw: DataFrame, deep: bool = True, redacting: bool = True) -> DataFrame:
     """Parse, validate, normalize and sanitize raw rows in one projection."""
-    return normalize(validate(parse(raw)), deep)
+    return normalize(validate(parse(raw)), deep, redacting)
 
 
 def accepted(ingested: DataFrame) -> DataFrame:

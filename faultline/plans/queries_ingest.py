@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions.text import (
     message_template, redact, redaction_count, strip_space, top_frame, truncate_head, truncate_tail,
 )
+from faultline.functions.once import with_computed
 from faultline.operators import dedup
 from faultline.operators.ingest import OK, ingest, parse, validate
 from faultline.operators.stats import ingest_counters
@@ -89,12 +90,25 @@ from ing where status = 'ok'"""
 
 def redact_text(spark, sf_dir):
     """T-09: secret-shaped values removed from whole document texts."""
-    return lv.table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(redact(F.col("text"))).alias("redacted_md5"),
-        redaction_count(F.col("text")).cast("bigint").alias("redactions"),
+    rows = with_computed(lv.table(spark, sf_dir, "documents").select("doc_id", "text"), redact(F.col("text")).alias("redacted"))
+    return rows.select(
+        "doc_id", F.md5("redacted").alias("redacted_md5"),
+        redaction_count(F.col("text"), F.col("redacted")).cast("bigint").alias("redactions"),
     )
 
 
+def redacted_events(spark, sf_dir):
+    """T-09 in the flow: documents as log messages, as ingest stores them."""
+    docs = lv.table(spark, sf_dir, "documents").filter("text <> ''")
+    record = F.to_json(F.struct(
+        F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit("ERROR").alias("severity"), F.lit("svc").alias("service"),
+        F.col("doc_id").cast("string").alias("event_id"), F.col("text").alias("message"), F.col("text").alias("note")))
+    raw = docs.select(F.col("doc_id").alias("seq"), record.alias("payload"), F.lit("local").alias("source"))
+    rows = ingest(raw)
+    note = F.try_variant_get(F.col("metadata")["note"], "$", "string")
+    return rows.select("seq", "status", F.md5("message").alias("message_md5"), F.md5(note).alias("note_md5"))
+
+
 def _redact_sql(column: str) -> str:
     from faultline.functions.text import REDACTED, SECRET_PATTERNS
 
@@ -113,6 +127,11 @@ select doc_id, md5(out) as redacted_md5,
   as redactions from r"""
 
 
+REDACTED_EVENTS = f"""
+select doc_id as seq, 'ok' as status, md5({_redact_sql('text')}) as message_md5, md5({_redact_sql('text')}) as note_md5
+from documents where text <> ''"""
+
+
 def truncate_modes(spark, sf_dir):
     """P-02: head and tail truncation of whole document texts."""
     text = F.col("text")
@@ -216,6 +235,7 @@ select seq, event_id, case when status = 'ok' and row_number() over (partition b
 select seq, cast(replace(f_timestamp, '+00:00', '') as timestamp) as ts, f_timestamp as ts_iso from ing where status = 'ok'"""),
     "metadata_sanitized": (metadata_sanitized, "with " + METADATA),
     "redact_text": (redact_text, REDACT),
+    "redacted_events": (redacted_events, REDACTED_EVENTS),
     "truncate_modes": (truncate_modes, TRUNCATE),
     "message_templates": (message_templates, MESSAGE_TEMPLATES),
     "document_templates": (document_templates, DOCUMENT_TEMPLATES),
