@@ -37,6 +37,44 @@ _OBJECT_LISTS = {
 }
 
 
+# Types of nested fields; what is not named is text. Fixed values.
+_WHOLE_NUMBERS = {("error_clusters", "count"), ("evidence", "count")}
+_NUMBERS = {("hypotheses", "confidence")}
+_TIMES = {
+    ("error_clusters", "first_seen"), ("error_clusters", "last_seen"), ("correlated_events", "timestamp"),
+    ("timeline", "timestamp"), ("evidence", "timestamp"), ("deployment_information", "deployed_at"),
+}
+_SCALES = {("error_clusters", "severity")}
+_EVIDENCE = ("source", "log_query_or_reference", "timestamp", "count")
+_DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def _is_time(value: Column) -> Column:
+    text = doc.plain_text(value)
+    real = F.try_to_timestamp(F.regexp_replace(text, r"[Tt ]([0-9:]{8}).*$", " $1"), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return doc.is_string(value) & F.coalesce(text.rlike(_DATE_TIME) & real.isNotNull(), F.lit(False))
+
+
+def _kind(value: Column, pattern: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).rlike(pattern), F.lit(False))
+
+
+def _field_is_right(owner: str, name: str, value: Column) -> Column:
+    if (owner, name) in _WHOLE_NUMBERS:
+        return _kind(value, r"^BIGINT$")
+    if (owner, name) in _NUMBERS:
+        return _kind(value, r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
+    if (owner, name) in _TIMES:
+        return _is_time(value)
+    if (owner, name) in _SCALES:
+        return doc.is_string(value) & doc.plain_text(value).isin(*fv.BUSINESS_SEVERITIES, *fv.LOG_SEVERITIES)
+    if name == "supporting_correlations":
+        return _list_of_text(value)
+    if name == "evidence":
+        return _list_is_right(value, "evidence", (), _EVIDENCE)
+    return doc.is_string(value)
+
+
 def _says(problem: Column, text: str) -> Column:
     return F.when(F.coalesce(problem, F.lit(False)), F.lit(text))
 
@@ -45,17 +83,22 @@ def _list_of_text(value: Column) -> Column:
     return F.coalesce(F.forall(value.try_cast("array<variant>"), lambda item: doc.is_string(item)), F.lit(False))
 
 
-def _object_is_right(value: Column, required: tuple, allowed: tuple) -> Column:
-    keys = F.map_keys(value.try_cast("map<string,variant>"))
+def _object_is_right(value: Column, owner: str, required: tuple, allowed: tuple) -> Column:
+    fields = value.try_cast("map<string,variant>")
+    keys = F.map_keys(fields)
     has_all = F.size(F.array_except(F.array(*[F.lit(k) for k in required]).cast("array<string>"), keys)) == 0
     no_more = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))) == 0
-    return F.coalesce(has_all & no_more, F.lit(False))
+    right = has_all & no_more
+    for name in allowed:
+        item = F.try_variant_get(value, f"$.{name}", "variant")
+        right = right & (~F.array_contains(keys, name) | _field_is_right(owner, name, item))
+    return F.coalesce(right, F.lit(False))
 
 
-def _list_is_right(value: Column, required: tuple, allowed: tuple) -> Column:
+def _list_is_right(value: Column, owner: str, required: tuple, allowed: tuple) -> Column:
     items = value.try_cast("array<variant>")
     return F.coalesce(
-        F.forall(items, lambda item: _object_is_right(item, required, allowed)), F.lit(False)
+        F.forall(items, lambda item: _object_is_right(item, owner, required, allowed)), F.lit(False)
     )
 
 
@@ -72,11 +115,11 @@ def violations(fields: Column) -> Column:
         for name in _TEXT_LISTS
     ]
     checks += [
-        _says(present[name] & ~_object_is_right(fields[name], *rule), f"wrong object: {name}")
+        _says(present[name] & ~_object_is_right(fields[name], name, *rule), f"wrong object: {name}")
         for name, rule in _OBJECTS.items()
     ]
     checks += [
-        _says(present[name] & ~_list_is_right(fields[name], *rule), f"wrong items: {name}")
+        _says(present[name] & ~_list_is_right(fields[name], name, *rule), f"wrong items: {name}")
         for name, rule in _OBJECT_LISTS.items()
     ]
     severity = F.try_variant_get(fields["severity"], "$", "string")
@@ -94,6 +137,8 @@ def violations(fields: Column) -> Column:
             "not in [0, 1]: hypotheses.confidence",
         ),
     ]
+    detected = fields["detected_at"]
+    checks.append(_says(doc.is_string(detected) & ~_is_time(detected), "not a time: detected_at"))
     unknown = F.transform(
         F.array_sort(F.array_except(F.map_keys(fields), F.array(*[F.lit(k) for k in fv.PACKAGE_FIELDS]))),
         lambda key: F.concat(F.lit("unknown: "), key),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
+from faultline.functions import documents as doc
 from faultline.functions.text import is_blank
 
 # Name of the confidence each assessed hypothesis came with; producers call it
@@ -41,10 +42,58 @@ def result_violations(confidence_field: str = CONFIDENCE_FIELD) -> Column:
     ))
 
 
+def document_violations(document: Column, confidence_field: str = CONFIDENCE_FIELD) -> Column:
+    """What is wrong with the JSON types of a result document, before any cast; empty if nothing.
+
+    Texts must be JSON strings (``validated_root_cause`` may be null), lists must be lists of their kind and are
+    never null, assessments objects with a text, a verdict, a number and a list of texts. Absent lists and
+    an absent reason are empty.
+    """
+    def field(name: str) -> Column:
+        return F.try_variant_get(document, f"$.{name}", "variant")
+
+    def absent(name: str) -> Column:
+        return ~F.array_contains(F.map_keys(document.try_cast("map<string,variant>")), name)
+
+    def null(value: Column) -> Column:
+        return value.isNull() | F.is_variant_null(value)
+
+    def texts(value: Column) -> Column:
+        return F.coalesce(F.forall(value.try_cast("array<variant>"), lambda item: doc.is_string(item)), F.lit(False))
+
+    def part(item: Column, name: str) -> Column:
+        return F.try_variant_get(item, f"$.{name}", "variant")
+
+    def assessment(item: Column) -> Column:
+        evidence = part(item, "evidence")
+        number = F.coalesce(F.schema_of_variant(part(item, confidence_field)).rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"), F.lit(False))
+        return doc.is_string(part(item, "statement")) & doc.is_string(part(item, "verdict")) & number & (
+            evidence.isNull() | texts(evidence))
+
+    items = field("hypothesis_assessments").try_cast("array<variant>")
+    cause = field("validated_root_cause")
+    checks = [
+        F.when(~doc.is_string(field(name)) & ~null(field(name)), F.lit(f"not a string: {name}"))
+        for name in ("incident_id", "planning_path")
+    ]
+    checks += [
+        F.when(~doc.is_string(cause) & ~null(cause), F.lit("not a string: validated_root_cause")),
+        F.when(~absent("planning_path_reason") & ~doc.is_string(field("planning_path_reason")), F.lit("not a string: planning_path_reason")),
+        F.when(~absent("hypothesis_assessments") & ~F.coalesce(F.forall(items, assessment), F.lit(False)),
+               F.lit("not a list of assessments: hypothesis_assessments")),
+    ]
+    checks += [
+        F.when(~absent(name) & ~texts(field(name)), F.lit(f"not a list of strings: {name}"))
+        for name in ("additional_facts", "root_cause_evidence", "undetermined")
+    ]
+    return F.array_compact(F.array(*checks))
+
+
 def with_decision(results: DataFrame) -> DataFrame:
     """Add ``authorized`` and ``reason``; the first failing condition gives the reason.
 
-    The confidence of a hypothesis plays no part.
+    The confidence of a hypothesis plays no part. Rows with ``violations`` (where there is such a column)
+    are never authorized.
     """
     supported = F.coalesce(
         F.exists(
@@ -60,8 +109,9 @@ def with_decision(results: DataFrame) -> DataFrame:
         .when(undecided, fv.REASON_UNDETERMINED)
         .otherwise(fv.REASON_AUTHORIZED)
     )
+    sound = F.size("violations") == 0 if "violations" in results.columns else F.lit(True)
     return results.withColumn("reason", reason).withColumn(
-        "authorized", F.col("reason") == fv.REASON_AUTHORIZED
+        "authorized", (F.col("reason") == fv.REASON_AUTHORIZED) & sound
     )
 
 

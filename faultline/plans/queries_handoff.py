@@ -9,6 +9,7 @@ from faultline.operators import gate, incidents, lifecycle, outbox, packages
 from faultline.plans import log_view as lv
 from faultline.plans.queries_packages import analyses
 from faultline.session import stored
+from faultline.sources.json_documents import parse_results
 
 
 def _first():
@@ -67,6 +68,42 @@ GATE = "with " + _RESULTS_SQL + """
 select incident_id, violations, first not in ('0', '1', '2', '3', '5') as authorized, reason from z"""
 
 
+def _result_texts(rows):
+    """Result documents whose types go wrong by the number of occurrences."""
+    n = F.col("error_cluster.count")
+    cause = (F.when(n % 5 == 0, n.cast("string")).when(n % 5 == 1, "true").when(n % 5 == 2, '{"a":1}').when(n % 5 == 3, "null")
+             .otherwise('"a cause"'))
+    reason = F.when(n % 7 == 0, "1").otherwise('"r"')
+    facts = F.when(n % 11 == 0, "null").when(n % 11 == 1, "[5]").otherwise('["f"]')
+    verdict = F.when(n % 13 == 0, "2").otherwise('"confirmed"')
+    return rows.select("incident_id", F.concat(
+        F.lit('{"incident_id":"'), "incident_id", F.lit('","hypothesis_assessments":[{"statement":"s","prior_confidence":0.5,"verdict":'),
+        verdict, F.lit(',"evidence":[]}],"validated_root_cause":'), cause, F.lit(',"planning_path":"lightweight","planning_path_reason":'),
+        reason, F.lit(',"additional_facts":'), facts, F.lit("}")).alias("text"))
+
+
+def result_violations(spark, sf_dir):
+    """S-07, G-01: wrong types in result documents, and what the gate makes of them."""
+    found = incidents.incidents(lv.kept(spark, sf_dir))
+    rows = gate.with_decision(parse_results(_result_texts(found).withColumnRenamed("incident_id", "file")))
+    types = F.filter("violations", lambda v: v.startswith("not a"))
+    return rows.select(F.col("file").alias("incident_id"), F.array_join(types, "; ").alias("violations"), "authorized")
+
+
+RESULT_VIOLATIONS = "with " + lv.INCIDENTS_SQL + """,
+flawed as (select incident_id, cast('{"verdict":' || case when count % 13 = 0 then '2' else '"confirmed"' end || ',"cause":' || case count % 5
+    when 0 then cast(count as varchar) when 1 then 'true' when 2 then '{"a":1}' when 3 then 'null' else '"a cause"' end ||
+  ',"reason":' || case when count % 7 = 0 then '1' else '"r"' end || ',"facts":' || case count % 11 when 0 then 'null' when 1 then '[5]' else '["f"]' end
+  || '}' as json) as d from i),
+kinds as (select incident_id, json_type(d, '$.cause') as cause, json_type(d, '$.reason') as reason, json_type(d, '$.facts') as facts,
+  json_type(d, '$.facts[0]') as fact, json_type(d, '$.verdict') as verdict, json_extract_string(d, '$.cause') as text from flawed),
+judged as (select *, concat_ws('; ', case when cause not in ('VARCHAR', 'NULL') then 'not a string: validated_root_cause' end,
+  case when reason <> 'VARCHAR' then 'not a string: planning_path_reason' end,
+  case when verdict <> 'VARCHAR' then 'not a list of assessments: hypothesis_assessments' end,
+  case when facts <> 'ARRAY' or fact <> 'VARCHAR' then 'not a list of strings: additional_facts' end) as violations from kinds)
+select incident_id, violations, violations = '' and cause = 'VARCHAR' and trim(text) <> '' as authorized from judged"""
+
+
 def package_match(spark, sf_dir):
     """G-03: packages and results by incident."""
     rows = _incidents(spark, sf_dir)
@@ -255,6 +292,7 @@ select substr(sha256(incident_id || '|' || outcome || '|' || strftime(deployed_a
   symptom_signature, incident_id as related_incident_ids from os where outcome in ('PERSISTING', 'CHANGED', 'REGRESSED')"""
 
 QUERIES = {
+    "result_violations": (result_violations, RESULT_VIOLATIONS),
     "gate_decisions": (gate_decisions, GATE),
     "package_match": (package_match, MATCH),
     "dispatch_outbox": (dispatch_outbox, OUTBOX),

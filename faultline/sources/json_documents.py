@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions import documents as doc
 from faultline.functions.once import with_computed
 from faultline.operators.conformance import check_packages
-from faultline.operators.gate import CONFIDENCE_FIELD, result_schema, result_violations
+from faultline.operators.gate import CONFIDENCE_FIELD, document_violations, result_schema, result_violations
 
 
 def read_texts(spark: SparkSession, path: str, per_file: bool = True) -> DataFrame:
@@ -28,16 +28,23 @@ def read_results(
     spark: SparkSession, path: str, per_file: bool = True, confidence_field: str = CONFIDENCE_FIELD
 ) -> DataFrame:
     """Investigation results as columns, plus ``file`` and ``violations``."""
+    return parse_results(read_texts(spark, path, per_file), confidence_field)
+
+
+def parse_results(texts: DataFrame, confidence_field: str = CONFIDENCE_FIELD) -> DataFrame:
+    """``texts`` (with ``text``) as result columns plus ``violations``, of types first, then of values."""
     columns = ",".join(part.replace(" ", ":", 1) for part in result_schema(confidence_field).split(", "))
     texts = (
-        read_texts(spark, path, per_file)
-        .withColumn("_sealed", doc.sealed_document(F.col("text")))
+        texts.withColumn("_sealed", doc.sealed_document(F.col("text")))
         .withColumn("_document", doc.unsealed_document(F.col("_sealed"), F.col("text")))
     )
-    texts = with_computed(texts, F.try_variant_get("_document", "$", f"struct<{columns}>").alias("_row"))
-    rows = texts.select("file", "text", F.col("_row").isNull().alias("_bad"), "_row.*")
+    kept = [c for c in texts.columns if c not in ("text", "_sealed", "_document")]
+    texts = with_computed(
+        texts, F.try_variant_get("_document", "$", f"struct<{columns}>").alias("_row"),
+        document_violations(F.col("_document"), confidence_field).alias("_types"))
+    rows = texts.select(*kept, "_types", F.col("_row").isNull().alias("_bad"), "_row.*")
     found = F.when(F.col("_bad"), F.array(F.lit("not a result object"))).otherwise(
-        result_violations(confidence_field)
+        F.concat("_types", result_violations(confidence_field))
     )
     empty = F.array().cast("array<string>")
     return (
@@ -47,7 +54,7 @@ def read_results(
         .withColumn("root_cause_evidence", F.coalesce("root_cause_evidence", empty))
         .withColumn("undetermined", F.coalesce("undetermined", empty))
         .withColumn("planning_path_reason", F.coalesce("planning_path_reason", F.lit("")))
-        .drop("_bad", "text")
+        .drop("_bad", "_types")
     )
 
 
