@@ -52,10 +52,6 @@ PACKAGE_FIELDS = (
     "deployment_information", "relevant_commit", "relevant_files", "documentation_context",
     "recommended_investigation", "log_references", "related_incident_ids",
 )
-ANALYSIS_REQUIRED = (
-    "summary", "impact_description", "symptoms", "observed_facts", "hypotheses",
-    "recommended_investigation",
-)
 
 # --- investigation gate ----------------------------------------------------
 VERDICTS = ("confirmed", "refuted", "partially_confirmed", "inconclusive")
@@ -101,7 +97,6 @@ LIFECYCLE_STEPS = (
 INITIAL_STATE = "DETECTED"
 FAILED_STATE = "FAILED"
 ESCALATED_STATE = "HUMAN_ATTENTION_REQUIRED"
-OUTCOMES = ("RESOLVED", "PERSISTING", "CHANGED", "REGRESSED")
 MAX_REMEDIATIONS = 3
 
 # --- checkout -------------------------------------------------------------------
@@ -112,4 +107,3 @@ LOG_EXTRA_FIELDS = (
     "http_method", "endpoint", "http_status", "latency_ms", "product_id", "quantity",
     "order_id", "error_type", "error_message",
 )
-LOG_REMOVED_FIELDS = ("authorization", "cookie", "password", "api_key", "token", "secret")

@@ -111,7 +111,7 @@ def group_sizes(grouped: DataFrame) -> DataFrame:
 def correlated_changes(incidents: DataFrame, changes: DataFrame, within: str = "6 hours") -> DataFrame:
     """Changes (deployments, alerts) near each incident of the same service, in time only.
 
-    Counts those in ``[first_seen - within, last_seen]`` and names the nearest
+    For the changes themselves see ``changes_before``. Counts those in ``[first_seen - within, last_seen]`` and names the nearest
     one at or before first_seen. Works on one time-ordered union of changes and
     three probes per incident, so the cost is linear and no pairs come out.
     ``incidents``: ``incident_id, service, first_seen, last_seen``;
@@ -159,3 +159,24 @@ def correlated_changes(incidents: DataFrame, changes: DataFrame, within: str = "
         F.when(close, F.col("nearest.change_id")).alias("nearest_change_id"),
         F.when(close, F.col("nearest.ts")).alias("nearest_change_ts"),
     )
+
+
+def changes_before(incidents: DataFrame, changes: DataFrame, within: str = "6 hours") -> DataFrame:
+    """Every change of an incident's service in ``[first_seen - within, first_seen]``, one row each.
+
+    An equi-join on service and time bucket of the look-back's length, then the exact bounds: an incident meets
+    the changes of two buckets only. Columns: ``incident_id, change_id, ts``.
+    """
+    span = F.expr(f"interval {within}")
+    origin = F.lit("1970-01-01").cast("timestamp")
+    length = F.unix_micros(origin + span)
+
+    def bucket(ts: Column) -> Column:
+        return F.floor(F.unix_micros(ts) / length)
+
+    own = incidents.select(
+        "incident_id", "service", "first_seen",
+        F.explode(F.array(bucket(F.col("first_seen")) - 1, bucket(F.col("first_seen")))).alias("_bucket"))
+    near = changes.select("service", "change_id", "ts", bucket(F.col("ts")).alias("_bucket"))
+    close = (F.col("ts") >= F.col("first_seen") - span) & (F.col("ts") <= F.col("first_seen"))
+    return own.join(near, ["service", "_bucket"]).filter(close).select("incident_id", "change_id", "ts")

@@ -10,10 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline import fixed_values as fv
 from faultline.functions import keys
 from faultline.functions.once import with_computed
-from faultline.functions.text import message_template, or_unknown, top_frame
 from faultline.operators.running import Running, arrival_block, with_running
 
 
@@ -29,18 +27,6 @@ def with_signature(events: DataFrame) -> DataFrame:
     return with_computed(events, signature.alias("signature"))
 
 
-def signature_parts() -> dict:
-    """The six parts of the signature as separate columns, for a key without delimiter."""
-    return {
-        "environment_part": or_unknown(F.col("environment")),
-        "service_part": F.col("service"),
-        "error_type_part": or_unknown(F.col("error_type")),
-        "frame_part": top_frame(F.col("stack_trace")),
-        "template_part": message_template(F.col("message")),
-        "endpoint_part": F.coalesce(F.col("endpoint"), F.lit(fv.UNKNOWN)),
-    }
-
-
 def error_events(events: DataFrame) -> DataFrame:
     return events.filter(keys.is_clustered(F.col("severity")))
 

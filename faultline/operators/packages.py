@@ -218,16 +218,18 @@ def build_packages(
     )
 
 
-def with_correlations(packages: DataFrame, correlated: DataFrame) -> DataFrame:
-    """Fill ``correlated_events`` with the change nearest before each incident."""
-    named = correlated.filter(F.col("nearest_change_id").isNotNull()).select(
-        "incident_id",
-        F.array(F.struct(
-            F.concat(F.lit("change "), F.col("nearest_change_id").cast("string")).alias("description"),
-            json_time(utc_iso(F.col("nearest_change_ts"))).alias("timestamp"),
+def with_correlations(packages: DataFrame, changes: DataFrame) -> DataFrame:
+    """Fill ``correlated_events`` with all ``changes(incident_id, change_id, ts)``, earliest first."""
+    item = F.struct(
+        "ts", "change_id",
+        F.struct(
+            F.concat(F.lit("change "), F.col("change_id").cast("string")).alias("description"),
+            json_time(utc_iso(F.col("ts"))).alias("timestamp"),
             F.lit("change log").alias("source"),
-        )).alias("_events"),
+        ).alias("event"),
     )
+    named = changes.groupBy("incident_id").agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["event"]).alias("_events"))
     return (
         packages.join(named, "incident_id", "left")
         .withColumn("correlated_events", F.coalesce("_events", "correlated_events"))

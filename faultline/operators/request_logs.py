@@ -14,7 +14,7 @@ def log_time(ts: Column) -> Column:
 
 
 def log_records(
-    records: DataFrame, service: str = "checkout-api", environment: str = "development", version: str = "local"
+    records: DataFrame, service: str, environment: str = "development", version: str = "local"
 ) -> DataFrame:
     """``seq, payload``: one JSON line per record.
 

@@ -34,7 +34,7 @@ class Running:
 def arrival_block(events: DataFrame, order: str = "seq", rows: int = BLOCK_ROWS) -> Column:
     """Block of an arrival order: file split of a raw ``seq``, range of a number."""
     if isinstance(events.schema[order].dataType, T.StructType):
-        return F.struct(F.col(f"{order}.batch"), F.col(f"{order}.file"), F.col(f"{order}.start"))
+        return F.struct(*[F.col(f"{order}.{name}") for name in ("batch", "modified", "file", "start")])
     return F.expr(f"{order} div {rows}")
 
 

@@ -94,7 +94,7 @@ def _lines(spark, sf_dir):
 
 def log_records(spark, sf_dir):
     """K-07: one JSON line per record, allow-listed fields only."""
-    return request_logs.log_records(_lines(spark, sf_dir))
+    return request_logs.log_records(_lines(spark, sf_dir), "checkout-api")
 
 
 _LINES_SQL = lv.VIEW_SQL + """,

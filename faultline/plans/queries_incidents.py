@@ -208,6 +208,17 @@ select incident_id, s.service, first_seen,
 from spans s left join changes c on c.service = s.service and c.ts between first_seen - interval 6 hour and last_seen
 group by 1, 2, 3"""
 
+
+
+def changes_before(spark, sf_dir):
+    """P-18: every change of the look-back before each incident."""
+    return an.changes_before(_spans(spark, sf_dir), changes(spark, sf_dir))
+
+
+BEFORE = "with " + _SPANS_SQL + CHANGES_SQL + """
+select incident_id, change_id, c.ts from spans s join changes c on c.service = s.service
+  and c.ts between first_seen - interval 6 hour and first_seen"""
+
 QUERIES = {
     "clusters": (clusters, CLUSTERS),
     "clusters_by_time": (clusters_by_time, "with " + lv.CLUSTERS_SQL + """
@@ -223,4 +234,5 @@ select signature, count(*) as count, min(ts) as first_seen, max(ts) as last_seen
     "incident_overlap": (incident_overlap, OVERLAP),
     "incident_group_sizes": (incident_group_sizes, GROUP_SIZES),
     "correlated_changes": (correlated_changes, CORRELATED),
+    "changes_before": (changes_before, BEFORE),
 }

@@ -12,8 +12,12 @@ DAY = "event_date"
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Write events by day of their timestamp; a task writes only the days it saw."""
-    events.withColumn(DAY, F.to_date("ts")).write.mode(mode).partitionBy(DAY).parquet(path)
+    """Write events by day of their timestamp.
+
+    Rows are dealt by day first, so a day has few files; a large day is split by size on the way.
+    """
+    dated = events.withColumn(DAY, F.to_date("ts"))
+    dated.hint("rebalance", DAY).write.mode(mode).partitionBy(DAY).parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Arrival order decides results (the first event of a key gives a cluster its
 first_seen, sample and severity), so every raw row carries ``seq``:
 
-    struct<batch: bigint, file: string, start: bigint, row: bigint>
+    struct<batch: bigint, modified: timestamp, file: string, start: bigint, row: bigint>
 
-``start`` is the offset of the split in its file and ``row`` grows inside the
+``modified`` is the time the file was last written, so a rotated file comes
+before the one that was begun after it, whatever their names. ``start`` is the offset of the split in its file and ``row`` grows inside the
 split, so the struct orders rows as they stand in the files, without a shuffle.
 """
 
@@ -24,6 +25,7 @@ def arrival(batch: int | Column = 0) -> Column:
     batch = F.lit(batch) if isinstance(batch, int) else batch
     return F.struct(
         batch.cast("bigint").alias("batch"),
+        F.col("_metadata.file_modification_time").alias("modified"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,18 @@ def order_key(value: Any) -> Any:
     return tuple(value) if isinstance(value, (tuple, list)) else value
 
 
+def arrival_order(seq: pd.Series) -> np.ndarray:
+    """Places of a batch's rows in arrival order, by whole columns."""
+    if seq.dtype != object:
+        return seq.to_numpy().argsort(kind="stable")
+    fields = pd.DataFrame(seq.tolist())
+    return np.lexsort([fields[name].to_numpy() if fields[name].dtype != object else pd.factorize(fields[name], sort=True)[0]
+                       for name in reversed(fields.columns)])
+
+
 def first_rows(batch: pd.DataFrame, key: str) -> pd.DataFrame:
     """The earliest row of each key in one Arrow batch."""
-    order = batch["seq"].map(order_key)
-    return batch.iloc[order.argsort(kind="stable")].drop_duplicates(key) if len(batch) else batch
+    return batch.iloc[arrival_order(batch["seq"])].drop_duplicates(key) if len(batch) else batch
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from faultline.functions import keys
-from faultline.streaming.dedup import order_key
+from faultline.streaming.dedup import arrival_order
 
 # What detection needs of an error event, plus the rows and latest time it stands for.
 INPUT_COLUMNS = (
@@ -45,7 +45,7 @@ def leading_rows(batch: pd.DataFrame) -> pd.DataFrame:
     """The first two rows of each signature; the first carries count and latest time of all."""
     if not len(batch):
         return batch
-    ordered = batch.iloc[batch["seq"].map(order_key).argsort(kind="stable")]
+    ordered = batch.iloc[arrival_order(batch["seq"])]
     groups = ordered.groupby("signature", sort=False)
     position = groups.cumcount()
     total, latest = groups["rows"].transform("sum"), groups["latest"].transform("max")

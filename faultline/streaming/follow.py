@@ -15,17 +15,18 @@ from faultline.operators.ingest import ingest
 from faultline.sources.log_lines import RAW_COLUMNS, envelope, nonblank
 
 RAW_SCHEMA = (
-    "seq struct<batch:bigint,file:string,start:bigint,row:bigint>, payload string, source string"
+    "seq struct<batch:bigint,modified:timestamp,file:string,start:bigint,row:bigint>, payload string, source string"
 )
 
 
 def follow_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Stream of ``value, file, start`` of the lines of new files."""
+    """Stream of ``value, modified, file, start`` of the lines of new files, oldest files first."""
     reader = spark.readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(folder).select(
-        "value", F.col("_metadata.file_path").alias("file"),
+        "value", F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
     )
 
@@ -41,7 +42,7 @@ def write_bronze_stream(
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         seq = F.struct(
-            F.lit(batch_id).cast("bigint").alias("batch"), "file", "start",
+            F.lit(batch_id).cast("bigint").alias("batch"), "modified", "file", "start",
             F.monotonically_increasing_id().alias("row"),
         )
         rows = envelope(nonblank(batch.withColumn("seq", seq)), source)
