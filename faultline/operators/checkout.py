@@ -6,6 +6,9 @@ unit_price, stock``, one row per product.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,65 +59,58 @@ def outcomes(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def _is_taken(stock: Column, quantity: Column) -> Column:
-    """Whether an order lowers the stock: enough is left, and the price exists."""
-    return F.when(quantity >= fv.BULK_QUANTITY, stock >= quantity).otherwise(stock > quantity)
-
-
-def _candidates(valid: DataFrame, spread: int, most_stock: int) -> DataFrame:
-    """The orders that can be accepted at all, few per product however many ask.
+def _candidates(valid: DataFrame, spread: int) -> DataFrame:
+    """The orders that can be accepted at all, few per product where the stock is small.
 
     Stock only falls, so once an order of a quantity is refused all later ones
-    of that quantity are: the accepted ones are the first ``stock / quantity``
-    at most. The constant bound lets Spark cut each group before the shuffle;
-    the salt keeps groups small where stocks are too large for that.
+    of that quantity are: the accepted ones are among the first ``stock / quantity``
+    of each part of that quantity's orders. The salt keeps the parts small.
     """
-    most = F.floor(F.col("stock") / F.col("quantity"))
     salted = Window.partitionBy("product_id", "quantity", "_salt").orderBy("seq")
-    whole = Window.partitionBy("product_id", "quantity").orderBy("seq")
     return (
         valid.filter(F.col("quantity") <= F.col("stock"))
         .withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(spread)))
         .withColumn("_rank", F.row_number().over(salted))
-        .filter((F.col("_rank") <= most) & (F.col("_rank") <= most_stock))
-        .withColumn("_rank", F.row_number().over(whole))
-        .filter((F.col("_rank") <= most) & (F.col("_rank") <= most_stock))
+        .filter(F.col("_rank") <= F.floor(F.col("stock") / F.col("quantity")))
     )
 
 
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Orders that go through among rows sorted by product and ``seq``, with the stock each meets.
+
+    One pass that holds the stock left of one product, also from batch to batch.
+    """
+    product, left = None, 0
+    for batch in batches:
+        kept, before = [], []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("product_id", "quantity", "stock")), strict=True)
+        for i, (name, quantity, stock) in enumerate(rows):
+            if name != product:
+                product, left = name, stock
+            # enough is left, and the price exists
+            if left >= quantity if quantity >= fv.BULK_QUANTITY else left > quantity:
+                kept.append(i)
+                before.append(left)
+                left -= quantity
+        names = ["seq", "product_id", "unit_price", "quantity"]
+        columns = [batch.column(c).take(pa.array(kept, pa.int64())) for c in names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64())], [*names, "stock_before"])
+
+
 def accepted_orders(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD) -> DataFrame:
     """Orders that went through, each with the stock before and after it.
 
-    The greedy pass over a product runs on its candidates only, whose number
-    the catalog's stock bounds. Reads the largest stock when called.
+    The greedy pass over a product streams through its candidates in order, whatever their number.
     """
-    most_stock = catalog.agg(F.max("stock")).first()[0] or 0
     valid = _with_catalog(requests.filter(is_valid_request()), catalog).filter("_known")
-    seq_type = requests.schema["seq"].dataType.simpleString()
-    step = f"struct<seq:{seq_type},quantity:bigint,before:bigint>"
-    per_product = _candidates(valid, spread, int(most_stock)).groupBy("product_id").agg(
-        F.sort_array(F.collect_list(F.struct("seq", F.col("quantity").cast("bigint").alias("quantity")))).alias("orders"),
-        F.first("stock").cast("bigint").alias("stock"),
-        F.first("unit_price").alias("unit_price"),
-    )
-    start = F.struct(F.col("stock").alias("left"), F.array().cast(f"array<{step}>").alias("taken"))
-
-    def take(state: Column, order: Column) -> Column:
-        left = state["left"]
-        line = F.struct(order["seq"].alias("seq"), order["quantity"].alias("quantity"), left.alias("before"))
-        after = F.struct(
-            (left - order["quantity"]).alias("left"), F.concat(state["taken"], F.array(line)).alias("taken")
-        )
-        return F.when(_is_taken(left, order["quantity"]), after).otherwise(state)
-
-    folded = per_product.withColumn("taken", F.aggregate("orders", start, take, lambda s: s["taken"]))
-    lines = folded.select("product_id", "unit_price", F.explode("taken").alias("line"))
-    return lines.select(
-        F.col("line.seq").alias("seq"), "product_id",
-        F.col("line.quantity").alias("quantity"),
-        F.col("line.before").alias("stock_before"),
-        (F.col("line.before") - F.col("line.quantity")).alias("stock_after"),
-        total_price(F.col("unit_price"), F.col("line.quantity"), F.col("line.before")).alias("total_price"),
+    rows = _candidates(valid, spread).select(
+        "seq", "product_id", "unit_price", F.col("quantity").cast("long").alias("quantity"), F.col("stock").cast("long").alias("stock"))
+    dealt = rows.repartition("product_id").sortWithinPartitions("product_id", "seq")
+    schema = dealt.drop("stock").schema.add("stock_before", "long")
+    return dealt.mapInArrow(_taken, schema).select(
+        "seq", "product_id", "quantity", "stock_before",
+        (F.col("stock_before") - F.col("quantity")).alias("stock_after"),
+        total_price(F.col("unit_price"), F.col("quantity"), F.col("stock_before")).alias("total_price"),
     )
 
 

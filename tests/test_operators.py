@@ -235,3 +235,14 @@ def test_analysis_provider_and_quarantine(spark):
     prompts = spark.createDataFrame([("x", "0.5"), ("y", "7"), ("z", '"0.5"')], "incident_id string, prompt string")
     rows = valid_analyses(parse_responses(responses_from(prompts, infer))).collect()
     assert [(r.incident_id, r.hypotheses[0].confidence) for r in rows] == [("x", 0.5)]
+
+
+def test_ledger_of_a_large_stock(spark):
+    requests = spark.range(6000).selectExpr("id as seq", "'u' as user_id", "'p' as product_id", "1 + cast(id % 3 as int) as quantity")
+    catalog = spark.sql("select 'p' as product_id, 10.0D as unit_price, 5000 as stock")
+    left, want = 5000, {}
+    for i in range(6000):
+        quantity = 1 + i % 3
+        want[i] = 200 if left > quantity else 500 if left == quantity else 409
+        left -= quantity if left > quantity else 0
+    assert {r.seq: r.status for r in checkout.ledger(requests, catalog).collect()} == want
