@@ -81,10 +81,14 @@ _TRIGGER = (r"(?i)private key|authorization|bearer|password|passwd|pwd|secret|to
             r"|[0-9]\.[0-9]{1,3}\.[0-9]|[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|\+[0-9]")
 
 
-def redact(text: Column) -> Column:
-    """Replace secret-shaped values in free text, whole text, all matches."""
+# Quotes inside the texts of a JSON document stand behind a backslash.
+_IN_JSON = (("assigned_escaped", r"(?i)(" + _NAME + r"(?:\\?[\"'])?[ \t]{0,3}[=:][ \t]{0,3}\\\")[^\"\\\[]+", "1"),)
+
+
+def redact(text: Column, json: bool = False) -> Column:
+    """Replace secret-shaped values in free text (or in the texts of a JSON document), all matches."""
     out = text
-    for _, pattern, keep in SECRET_PATTERNS:
+    for _, pattern, keep in (*(_IN_JSON if json else ()), *SECRET_PATTERNS):
         out = F.regexp_replace(out, pattern, ("$1" if keep else "") + REDACTED)
     return F.when(text.rlike(_TRIGGER), out).otherwise(text)
 

@@ -154,10 +154,11 @@ def sanitized_metadata(fields: Column, deep: bool = False) -> Column:
 def _redacted_values(fields: Column) -> Column:
     """Metadata with secret-shaped values replaced at any depth; other values stay as they are."""
     def clean(_: Column, value: Column) -> Column:
-        text = F.to_json(value)
-        found = redact(text)
-        return F.when(found == text, value).otherwise(
-            F.coalesce(F.try_parse_json(found), F.lit(REDACTED).cast("variant")))
+        plain, text = doc.plain_text(value), F.to_json(value)
+        nested = redact(text, json=True)
+        parsed = F.when(nested == text, value).otherwise(
+            F.coalesce(F.try_parse_json(nested), F.lit(REDACTED).cast("variant")))
+        return F.when(doc.is_string(value, plain), redact(plain).cast("variant")).otherwise(parsed)
 
     return F.transform_values(fields, clean)
 

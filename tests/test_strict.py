@@ -69,7 +69,7 @@ def test_no_secret_leaves_bronze(spark, tmp_path):
     (logs / "a.jsonl").write_text(_log_line(
         "e1", 1, message='login password=abcdef123 by joe@example.com, Authorization: Basic dXNlcjpwYXNz {"password": "qu0ted"} from 10.20.30.40',
         error_message="token=abcdef12345", stack_trace="Bearer abcdefgh12345678 card 4111111111111111",
-        metadata={"password": "n3sted", "note": "TOKEN=abcdef12345"}, list=["x", {"y": "joe@example.com"}]))
+        metadata={"password": "n3sted", "note": "TOKEN=abcdef12345"}, list=["x", {"y": "joe@example.com", "z": 'my token = "abcdef12345" and secret: abcdef123'}]))
     out = str(tmp_path / "out")
     flow.ingest_files(spark, str(logs), out)
     flow.detect(spark, out)
