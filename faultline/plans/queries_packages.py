@@ -169,8 +169,11 @@ select incident_id, case substr(incident_id, 1, 1) when '0' then 'not 1.1: schem
 
 
 def prompt_text(spark, sf_dir):
-    """P-01, P-02, P-03: prompt of every incident as it came up."""
-    rows = inc.incidents(lv.kept(spark, sf_dir), as_of="trigger")
+    """P-01, P-02, P-03: prompt of every incident as it came up, with its metadata."""
+    user = F.col("user_id").cast("string")
+    metadata = F.concat(F.lit('{"user":'), user, F.lit(',"token":"t","note":"n '), user, F.lit('","code":'), F.col("k").cast("string"), F.lit("}"))
+    events = lv.kept(spark, sf_dir).withColumn("metadata", F.try_parse_json(metadata).try_cast("map<string,variant>"))
+    rows = inc.incidents(events, as_of="trigger")
     return ana.prompts(rows).select("incident_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("chars"))
 
 
@@ -181,7 +184,8 @@ q as (select incident_id, concat_ws(chr(10), 'Incident evidence (deterministic):
   'last_seen: ' || case when first_seen >= detected_at then first_seen_iso else detected_at_iso end, 'sample_message: ' || sample_message, '',
   'Representative log event (one example occurrence):', 'timestamp: ' || ts_iso, 'error_type: ' || coalesce(error_type, 'None'),
   'error_message: ' || coalesce(error_message, 'None'), 'message: ' || message, 'request_id: ' || coalesce(request_id, 'None'),
-  'trace_id: ' || coalesce(trace_id, 'None'), 'version: ' || coalesce(version, 'None'), 'metadata: {}', 'stack_trace:', stack_trace, '') as prompt from i)
+  'trace_id: ' || coalesce(trace_id, 'None'), 'version: ' || coalesce(version, 'None'), 'metadata: {"code":' || k || ',"note":"n ' || user_id || '","user":' || user_id || '}', 'stack_trace:', stack_trace, '') as prompt
+  from (select i.*, e.k, e.user_id from i join e on e.seq = i.trigger_seq))
 select incident_id, md5(prompt) as prompt_md5, length(prompt) as chars from q"""
 
 
