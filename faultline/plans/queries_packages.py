@@ -168,6 +168,41 @@ select incident_id, case substr(incident_id, 1, 1) when '0' then 'not 1.1: schem
   when '3' then 'wrong items: timeline' when '4' then 'not a JSON object' else '' end as violations from i"""
 
 
+def _plain_packages(rows):
+    """Small package documents whose nested types go wrong by the number of occurrences."""
+    n, q = F.col("error_cluster.count"), '"'
+    at = F.concat(F.lit(q), F.col("trigger.ts_iso"), F.lit(q))
+    detected = F.when(n % 3 == 0, '"yesterday"').otherwise(at)
+    count = F.when(n % 4 == 0, '"2"').otherwise(n.cast("string"))
+    level, event, value = (F.when(n % k == 0, bad).otherwise(good) for k, bad, good in (
+        (5, '"huge"', '"high"'), (7, "5", '"e"'), (2, "1.5", '"v"')))
+    return rows.select("incident_id", F.concat(
+        F.lit('{"schema_version":"1.1","severity":"high","service":"s","summary":"x","confidence_overall":0.5,"observed_facts":[],"incident_id":"'),
+        "incident_id", F.lit('","detected_at":'), detected, F.lit(',"impact":{"value":'), value, F.lit('},"error_clusters":[{"signature":"s","count":'),
+        count, F.lit(',"first_seen":'), at, F.lit(',"last_seen":'), at, F.lit(',"severity":'), level, F.lit('}],"timeline":[{"timestamp":'), at,
+        F.lit(',"event":'), event, F.lit("}]}")).alias("package"))
+
+
+def package_type_violations(spark, sf_dir):
+    """P-15: wrong types inside package documents."""
+    checked = check_packages(_plain_packages(_incidents(spark, sf_dir)))
+    return checked.select("incident_id", F.array_join("violations", "; ").alias("violations"))
+
+
+TYPE_VIOLATIONS = "with " + lv.INCIDENTS_SQL + r""",
+texts as (select incident_id, cast('{"detected_at":' || case when count % 3 = 0 then '"yesterday"' else '"' || detected_at_iso || '"' end ||
+  ',"impact":{"value":' || case when count % 2 = 0 then '1.5' else '"v"' end || '},"error_clusters":[{"count":' ||
+  case when count % 4 = 0 then '"2"' else cast(count as varchar) end || ',"severity":' || case when count % 5 = 0 then '"huge"' else '"high"' end ||
+  '}],"timeline":[{"event":' || case when count % 7 = 0 then '5' else '"e"' end || '}]}' as json) as doc from i)
+select incident_id, concat_ws('; ', case when json_type(doc, '$.impact.value') <> 'VARCHAR' then 'wrong object: impact' end,
+  case when json_type(doc, '$.error_clusters[0].count') not in ('UBIGINT', 'BIGINT')
+    or json_extract_string(doc, '$.error_clusters[0].severity') not in ('critical', 'high', 'medium', 'low', 'CRITICAL', 'ERROR', 'WARNING', 'INFO', 'DEBUG')
+    then 'wrong items: error_clusters' end,
+  case when json_type(doc, '$.timeline[0].event') <> 'VARCHAR' then 'wrong items: timeline' end,
+  case when not regexp_matches(json_extract_string(doc, '$.detected_at'), '^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$')
+    then 'not a time: detected_at' end) as violations from texts"""
+
+
 def prompt_text(spark, sf_dir):
     """P-01, P-02, P-03: prompt of every incident as it came up, with its metadata."""
     user = F.col("user_id").cast("string")
@@ -240,6 +275,7 @@ select incident_id, signature, count, first_z as first_seen, last_z as last_seen
     "top_hypothesis": (top_hypothesis, "with " + ANALYSES_SQL + " select incident_id, cause as statement, confidence from p where analyzed"),
     "package_keys": (package_keys, KEYS),
     "package_violations": (package_violations, VIOLATIONS),
+    "package_type_violations": (package_type_violations, TYPE_VIOLATIONS),
     "prompt_text": (prompt_text, PROMPT),
     "pending_analysis": (pending_analysis, "with " + lv.INCIDENTS_SQL + " select incident_id from i where substr(incident_id, 1, 1) >= '8'"),
     "analysis_responses": (analysis_responses, RESPONSES),
