@@ -231,16 +231,16 @@ def pending_analysis(spark, sf_dir):
 
 
 def analysis_responses(spark, sf_dir):
-    """P-04: responses with planted flaws, which are valid, and their leading numbers."""
-    first = F.substring("incident_id", 1, 1)
-    summary = F.when(first == "1", F.lit("")).otherwise(F.lit('"summary":"s",'))
-    symptoms = F.when(first == "3", F.lit("[5]")).otherwise(F.lit('["x","y"]'))
-    confidence = F.when(first == "0", F.lit("1.5")).otherwise(F.lit("0.25"))
+    """P-04: responses with flaws by the number of occurrences, which are valid, and their leading numbers."""
+    n = F.col("error_cluster.count")
+    summary = F.when(n % 5 == 0, "5").otherwise('"s"')
+    symptoms = F.when(n % 7 == 0, "[5]").when(n % 7 == 1, '"x"').otherwise('["x","y"]')
+    confidence = F.when(n % 11 == 0, "1.5").when(n % 11 == 1, '"0.5"').otherwise("0.25")
     body = F.concat(
-        F.lit("{"), summary, F.lit('"impact_description":"i","symptoms":'), symptoms,
+        F.lit('{"summary":'), summary, F.lit(',"impact_description":"i","symptoms":'), symptoms,
         F.lit(',"observed_facts":[],"hypotheses":[{"statement":"h","confidence":'), confidence,
         F.lit('}],"recommended_investigation":["r"],"extra":1}'),
-        F.when(first == "2", F.lit(" trailing")).otherwise(F.lit("")),
+        F.when(n % 13 == 0, " trailing").otherwise(""),
     )
     parsed = ana.parse_responses(_incidents(spark, sf_dir).select("incident_id", body.alias("response")))
     return parsed.select(
@@ -250,8 +250,15 @@ def analysis_responses(spark, sf_dir):
 
 
 RESPONSES = "with " + lv.INCIDENTS_SQL + """,
-r as (select incident_id, substr(incident_id, 1, 1) not in ('0', '1', '2', '3') as valid from i)
-select incident_id, valid, case when valid then 'x,y' end as symptoms, case when valid then 0.25::double end as confidence from r"""
+bodies as (select incident_id, '{"summary":' || case when count % 5 = 0 then '5' else '"s"' end || ',"symptoms":' ||
+  case count % 7 when 0 then '[5]' when 1 then '"x"' else '["x","y"]' end || ',"confidence":' ||
+  case count % 11 when 0 then '1.5' when 1 then '"0.5"' else '0.25' end || '}' || case when count % 13 = 0 then ' trailing' else '' end as body from i),
+docs as (select incident_id, case when json_valid(body) then cast(body as json) end as doc from bodies),
+judged as (select incident_id, doc, coalesce(json_type(doc, '$.summary') = 'VARCHAR' and json_type(doc, '$.symptoms') = 'ARRAY'
+  and json_type(doc, '$.symptoms[0]') = 'VARCHAR' and json_type(doc, '$.confidence') in ('DOUBLE', 'UBIGINT', 'BIGINT')
+  and cast(json_extract_string(doc, '$.confidence') as double) between 0 and 1, false) as valid from docs)
+select incident_id, valid, case when valid then array_to_string(json_extract_string(doc, '$.symptoms[*]'), ',') end as symptoms,
+  case when valid then cast(json_extract_string(doc, '$.confidence') as double) end as confidence from judged"""
 
 
 def report_text(spark, sf_dir):
