@@ -36,14 +36,14 @@ class SegmentTree:
 
     def __init__(self, chars: np.ndarray, tokens: np.ndarray) -> None:
         self.blocks = [(chars[a:a + _BLOCK], tokens[a:a + _BLOCK]) for a in range(0, max(len(chars), 1), _BLOCK)]
-        self._build()
-
-    def _build(self) -> None:
-        self.width = 1 << max(len(self.blocks) - 1, 0).bit_length()
-        self.sums = np.zeros((2 * self.width, 2), np.int64)
-        for i, (chars, tokens) in enumerate(self.blocks):
-            self.sums[self.width + i] = chars.sum(), tokens.sum()
-        low = self.width
+        cuts = np.arange(0, max(len(chars), 1), _BLOCK)
+        sums = np.add.reduceat(np.stack([chars, tokens], axis=1), cuts) if len(chars) else np.zeros((1, 2), np.int64)
+        self._build(sums)
+
+    def _build(self, sums: np.ndarray) -> None:
+        low = self.width = 1 << max(len(sums) - 1, 0).bit_length()
+        self.sums = np.zeros((2 * low, 2), np.int64)
+        self.sums[low:low + len(sums)] = sums
         while low > 1:
             self.sums[low // 2:low] = self.sums[low:2 * low].reshape(-1, 2, 2).sum(axis=1)
             low //= 2
@@ -110,7 +110,7 @@ class SegmentTree:
             pieces = [(new[0][x:x + _BLOCK], new[1][x:x + _BLOCK]) for x in range(0, len(new[0]), _BLOCK)]
             self.blocks[a:b + 1] = pieces
             self.blocks = self.blocks or [new]
-            self._build()
+            self._build(np.array([[c.sum(), t.sum()] for c, t in self.blocks], np.int64))
 
 
 def chunk_counts(tokenizer: Encoder, part: ta.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,11 +147,12 @@ def chunk_counts(tokenizer: Encoder, part: ta.Slice) -> tuple[np.ndarray, np.nda
 class CountedText:
     """A text with the segment tree of its chunks."""
 
-    def __init__(self, tokenizer: Encoder, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
-        self.tokenizer, self.text, self.tree = tokenizer, text, SegmentTree(chars, tokens)
-        self.encoded = 0
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.text, self.tree, self.encoded = text, SegmentTree(chars, tokens), 0
+        self.first, self.last = (0, 0), (0, 0)
 
-    def edit(self, start: int, length: int, insert: str) -> None:
+    def cut(self, start: int, length: int, insert: str) -> str:
+        """Edit the text; the region whose chunks have to be counted anew."""
         start = min(max(start, 0), len(self.text))
         stop = min(start + max(length, 0), len(self.text))
         tree = self.tree
@@ -162,45 +163,66 @@ class CountedText:
             b = tree.onward(b[0], b[1], b[2] - int(tree.blocks[b[0]][0][b[1]]), 1)
         region = self.text[a[2]:start] + insert + self.text[stop:b[2]]
         self.text = self.text[:start] + insert + self.text[stop:]
-        self.encoded += len(region)
-        if "one chunk" in (self._kind(region), self._kind_before(a, b)):
-            region, a, b = self.text, (0, 0, 0), (len(tree.blocks) - 1, len(tree.blocks[-1][0]) - 1, len(self.text))
-            self.encoded += len(region)
-        chars, tokens, _ = chunk_counts(self.tokenizer, next(ta.slices(pa.array([region]))))
-        tree.replace(a[:2], b[:2], chars, tokens)
+        self.first, self.last = a[:2], b[:2]
+        return region
+
+    def whole(self) -> str:
+        """The whole text as the region."""
+        self.first, self.last = (0, 0), (len(self.tree.blocks) - 1, len(self.tree.blocks[-1][0]) - 1)
+        return self.text
 
-    def _kind(self, region: str) -> str:
-        part = next(ta.slices(pa.array([region])))
-        return "one chunk" if self.tokenizer.kind is None or len(part.data) and odd_space(part)[0] else "chunks"
+    def put(self, region: str, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.encoded += len(region)
+        self.tree.replace(self.first, self.last, chars, tokens)
 
-    def _kind_before(self, a: tuple, b: tuple) -> str:
-        """A text of one chunk stays one until it is encoded anew."""
-        return "one chunk" if len(self.tree.blocks) == 1 and len(self.tree.blocks[0][0]) <= 1 else "chunks"
+    @property
+    def one_chunk(self) -> bool:
+        """Whether the text may be one that only the library cuts; it stays so until it is encoded anew."""
+        return len(self.tree.blocks) == 1 and len(self.tree.blocks[0][0]) <= 1
+
+
+def edit_all(tokenizer: Encoder, edited: list[tuple[CountedText, int, int, str]]) -> None:
+    """One edit (start, length, insert) of each text; their regions are cut and encoded together."""
+    regions = []
+    for counted, start, length, insert in edited:
+        alone = counted.one_chunk
+        region = counted.cut(start, length, insert)
+        regions.append(counted.whole() if alone else region)
+    column, done = pa.array(regions, pa.large_string()), 0
+    for part in ta.slices(column):
+        odd = odd_space(part) if len(part.data) else np.zeros(part.n, bool)
+        chars, tokens, cuts = chunk_counts(tokenizer, part)
+        for i in range(part.n):
+            counted, region = edited[done + i][0], regions[done + i]
+            if odd[i] and region is not counted.text:
+                # the edit brought such white space: the text is one chunk from now on
+                region = counted.whole()
+                own = chunk_counts(tokenizer, next(ta.slices(pa.array([region]))))
+                counted.put(region, own[0], own[1])
+            else:
+                counted.put(region, chars[cuts[i]:cuts[i + 1]], tokens[cuts[i]:cuts[i + 1]])
+        done += part.n
 
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
         for batch in batches:
-            edits = batch.column("edits").to_pylist()
-            texts = batch.column("text").to_pylist()
-            before, after, chunks, encoded = [], [], [], []
             for part in ta.slices(batch.column("text")):
+                rows = batch.slice(part.first, part.n)
+                texts, edits = rows.column("text").to_pylist(), rows.column("edits").to_pylist()
                 chars, tokens, cuts = chunk_counts(tokenizer, part)
-                for i in range(part.n):
-                    a, b = cuts[i], cuts[i + 1]
-                    counted = CountedText(tokenizer, texts[part.first + i] or "", chars[a:b], tokens[a:b])
-                    before.append(counted.tree.tokens)
-                    chunks.append(int(b - a))
-                    for e in edits[part.first + i] or []:
-                        if e is not None:
-                            counted.edit(e["start"] or 0, e["length"] or 0, e["insert"] or "")
-                    after.append(counted.tree.tokens)
-                    encoded.append(counted.encoded)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(before, pa.int64()), "n_chunks": pa.array(chunks, pa.int64()),
-                "n_edits": pa.array([len(e or []) for e in edits], pa.int64()), "n_tokens_edited": pa.array(after, pa.int64()),
-                "chars_encoded_again": pa.array(encoded, pa.int64())})
+                all_counted = [CountedText(t or "", chars[a:b], tokens[a:b]) for t, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True)]
+                before = [c.tree.tokens for c in all_counted]
+                for k in range(max((len(e or ()) for e in edits), default=0)):
+                    edit_all(tokenizer, [
+                        (c, e[k]["start"] or 0, e[k]["length"] or 0, e[k]["insert"] or "")
+                        for c, e in zip(all_counted, edits, strict=True) if e and k < len(e) and e[k] is not None])
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": rows.column("doc_id"), "n_tokens": pa.array(before, pa.int64()), "n_chunks": pa.array(np.diff(cuts), pa.int64()),
+                    "n_edits": pa.array([len(e or ()) for e in edits], pa.int64()),
+                    "n_tokens_edited": pa.array([c.tree.tokens for c in all_counted], pa.int64()),
+                    "chars_encoded_again": pa.array([c.encoded for c in all_counted], pa.int64())})
 
     return run
 

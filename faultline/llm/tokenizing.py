@@ -28,6 +28,7 @@ _LETTERS = {b: chr(b) for b in _PRINTED} | {
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_BYTE_PIECES, _WORD_PIECES = regex.compile(BYTE_PATTERN), regex.compile(WORD_PATTERN)
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _ASCII_BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _BEYOND_LATIN = re.compile("[ɐ-\U0010ffff]")
@@ -94,9 +95,9 @@ class Encoder:
         if _BEYOND_LATIN.search(chunk):
             return None
         if self.kind == "word":
-            found = regex.findall(WORD_PATTERN, self.whole.normalizer.normalize_str(chunk))
+            found = _WORD_PIECES.findall(self.whole.normalizer.normalize_str(chunk))
         else:
-            found = regex.findall(BYTE_PATTERN, chunk)
+            found = _BYTE_PIECES.findall(chunk)
         return ["".join(map(_LETTERS.__getitem__, p.encode())) for p in found]
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:

@@ -276,10 +276,11 @@ def test_chunks_change_no_id_and_edits_no_count(name):
     assert got == tokenizer.encode_texts(texts)
     for k, text in enumerate(texts[::4]):
         chars, tokens, _ = edit_counts.chunk_counts(tokenizer, next(ta.slices(pa.array([text]))))
-        counted = edit_counts.CountedText(tokenizer, text, chars, tokens)
+        counted = edit_counts.CountedText(text, chars, tokens)
         for _ in range(8):
             n = len(counted.text)
-            counted.edit(draw.randint(-1, n + 2), draw.choice([0, 1, 3, n]), "".join(draw.choices(signs[:28] if k % 3 else signs, k=draw.choice([0, 1, 4, 90]))))
+            edit = draw.randint(-1, n + 2), draw.choice([0, 1, 3, n]), "".join(draw.choices(signs[:28] if k % 3 else signs, k=draw.choice([0, 1, 4, 90])))
+            edit_counts.edit_all(tokenizer, [(counted, *edit)])
             assert counted.tree.tokens == len(tokenizer.encode_texts([counted.text])[0])
             assert counted.tree.chars == len(counted.text)
 
