@@ -47,7 +47,7 @@ WORDS = 20_000
 CUT = 0.7
 _TOP = 3
 _HIGH = 0.3
-_FEWEST, _RATIO = 3, 2.0
+_FEWEST, _RATIO = 3, 4.0
 _STEPS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN + 1) for a in range(1, b)]
 
 
@@ -283,7 +283,8 @@ def _labelled(p: np.ndarray, q: np.ndarray, all_p: float, all_q: float) -> np.nd
     share, n = all_p / (all_p + all_q), p + q
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(p > 0, p * np.log(p / (n * share)), 0) + np.where(q > 0, q * np.log(q / (n * (1 - share))), 0)
-    more = p / n / share
+    # rates within each label, so that it does not matter how many sentences of either there are
+    more = ((p + 0.5) / (all_p + 1)) / ((q + 0.5) / (all_q + 1))
     sure = (more >= _RATIO) & (p >= _FEWEST) & (gain > np.log(len(p)) + 2)
     return np.where(sure, 1.0, np.where((more < _RATIO) | (gain < 2), -1.0, 0.0))
 

@@ -181,6 +181,13 @@ def test_insults_with_gaps_and_inserted_letters():
     assert tops[:5].min() > 0 > tops[5:].max()
 
 
+@pytest.mark.parametrize("all_p", [50.0, 1000.0, 30_000.0])
+def test_telling_words_are_found_at_any_balance_of_labels(all_p):
+    p, q = np.array([0.3, 0.2, 0.001, 0.0]) * all_p, np.array([0.0, 200.0, 1.0, 400.0])
+    found = insult_kernel._labelled(np.ceil(p), q, all_p, 1000.0)
+    assert found.tolist() == [1.0, -1.0, -1.0, -1.0]
+
+
 def test_languages(docs, none):
     got = language_kernel.languages(docs)
     assert _ids(got) == ALL_IDS and language_kernel.languages(none).count() == 0
