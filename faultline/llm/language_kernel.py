@@ -1,10 +1,11 @@
 """Language identification by a string kernel.
 
-A text is the set of byte n-grams (1 to ``SPECTRUM`` bytes, hashed to ``WIDTH`` places) of its lower-cased
-letters, with one blank for whatever stands between words. The kernel of two texts is the number of shared
-n-grams over the geometric mean of their own numbers. ``LANDMARKS`` training texts a language span a Nyström
-map, in which kernel ridge regression learns one weight vector per language against the rest. Training and
-scoring are matrix products over batches of texts.
+A text is cut into even blocks of about ``BLOCK_BYTES``, so that its length does not matter. A block is the set of
+byte n-grams (1 to ``SPECTRUM`` bytes, hashed to ``WIDTH`` places) of its lower-cased letters, with one blank for
+whatever stands between words. The kernel of two blocks is the number of shared n-grams over the geometric mean of
+their own numbers. The first blocks of ``LANDMARKS`` training texts a language span a Nyström map, in which kernel
+ridge regression learns one weight vector per language against the rest, from all blocks of the training texts.
+A text's score is the mean of all its blocks' scores. Training and scoring are matrix products over batches of blocks.
 
 Landmarks and training texts are samples by a hash of doc_id, at most ``LANDMARKS`` and ``TRAINING`` of each
 language; every text is scored whole. Rules: a text that is null or has no letter gets ``und`` with score 0;
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,26 +39,33 @@ LANDMARKS = 40
 TRAINING = 1500
 STRENGTH = 1e-4
 _BLOCK = 128
+#: Long texts are cut into even blocks of about this many bytes.
+BLOCK_BYTES = 2048
 
 _LETTER = re.compile(r"[^\W\d_]")
 _INSIDE = ta.table_of("abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 128)
 
 
-def presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """Blocks of at most ``_BLOCK`` texts as 0/1 rows of n-gram places, with the first text's number."""
+class Rows(NamedTuple):
+    """Blocks of texts: their text's number, their number in it, and 0/1 rows of n-gram places."""
+
+    text: np.ndarray
+    block: np.ndarray
+    present: np.ndarray
+
+
+def presence(column: pa.Array) -> Iterator[Rows]:
+    """All blocks of all texts, at most ``_BLOCK`` at a time; an empty text is one block."""
     lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
     for part in ta.slices(lowered):
         for a in range(0, part.n, _BLOCK):
             offsets = part.offsets[a:min(a + _BLOCK, part.n) + 1]
             data = part.data[offsets[0]:offsets[-1]]
-            yield part.first + a, _present(data, offsets - offsets[0])
+            yield from _present(data, offsets - offsets[0], part.first + a)
 
 
-def _present(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _present(data: np.ndarray, offsets: np.ndarray, first: int) -> Iterator[Rows]:
     n = len(offsets) - 1
-    out = np.zeros((n, WIDTH), np.float32)
-    if not len(data):
-        return out
     letters = _INSIDE[data]
     # one blank stands for a run of other characters, and before and after each text
     keep = letters.copy()
@@ -64,15 +73,33 @@ def _present(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     keep[offsets[:-1][offsets[:-1] < len(data)]] = True
     owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))[keep]
     plain = np.where(letters, data, 32)[keep].astype(np.uint32)
+    # each text in even blocks of about BLOCK_BYTES; an n-gram is in the block that it begins in
+    length = np.bincount(owner, minlength=n)
+    blocks = np.maximum((length + BLOCK_BYTES // 2) // BLOCK_BYTES, 1)
+    ahead = np.concatenate([[0], np.cumsum(blocks)])
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+    row = ahead[owner] + place * blocks[owner] // np.maximum(length[owner], 1)
+    text = np.repeat(np.arange(n), blocks)
+    for a in range(0, len(text), _BLOCK):
+        b = min(a + _BLOCK, len(text))
+        begin, end = np.searchsorted(row, [a, b])
+        upto = min(end + SPECTRUM - 1, len(plain))
+        yield Rows(first + text[a:b], np.arange(a, b) - ahead[text[a:b]],
+                   _places(plain[begin:upto], owner[begin:upto], row[begin:end] - a, b - a))
+
+
+def _places(plain: np.ndarray, text: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, WIDTH), np.float32)
     code = np.zeros(len(plain), np.uint32)
     for size in range(1, SPECTRUM + 1):
-        if size > len(plain):
-            break
         whole = len(plain) - size + 1
+        if whole < 1:
+            break
         code = (code[:whole] << np.uint32(8)) | plain[size - 1:]
-        place = ((code + np.uint32(size)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - WIDTH.bit_length() + 1)
-        inside = owner[:whole] == owner[size - 1:]
-        out.reshape(-1)[(owner[:whole] * WIDTH + place)[inside]] = 1
+        some = min(whole, len(row))
+        hashed = (code[:some] + np.uint32(size)) * np.uint32(0x9E3779B1)
+        inside = text[:some] == text[size - 1:size - 1 + some]
+        out.reshape(-1)[(row[:some] * WIDTH + (hashed >> np.uint32(32 - WIDTH.bit_length() + 1)))[inside]] = 1
     return out
 
 
@@ -97,21 +124,22 @@ class LanguageModel:
         return np.hstack([near, np.ones((len(rows), 1), np.float32)])
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
-        for _, rows in presence(column):
-            got = self.features(rows) @ self.weights
-            best = got.argmax(axis=1)
-            names += [self.languages[i] for i in best]
-            scores.append(np.clip(got[np.arange(len(got)), best], 0, 1))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+        total, blocks = np.zeros((len(column), len(self.languages))), np.zeros(len(column))
+        for rows in presence(column):
+            np.add.at(total, rows.text, self.features(rows.present) @ self.weights)
+            np.add.at(blocks, rows.text, 1)
+        mean = total / np.maximum(blocks, 1)[:, None]
+        best = mean.argmax(axis=1)
+        return [self.languages[i] for i in best], np.clip(mean[np.arange(len(mean)), best], 0, 1)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, rows in presence(batch.column("text")):
+        for rows in presence(batch.column("text")):
             yield pa.RecordBatch.from_pydict({
-                "lang": batch.column("lang").slice(first, len(rows)), "rank": batch.column("rank").slice(first, len(rows)),
-                "bits": pa.array([np.packbits(r.astype(bool)).tobytes() for r in rows], pa.binary())})
+                "lang": batch.column("lang").take(pa.array(rows.text)), "rank": batch.column("rank").take(pa.array(rows.text)),
+                "block": pa.array(rows.block, pa.int64()),
+                "bits": pa.array([np.packbits(r.astype(bool)).tobytes() for r in rows.present], pa.binary())})
 
 
 def _unpacked(blobs: list[bytes]) -> np.ndarray:
@@ -124,8 +152,8 @@ def fit(docs: DataFrame, folds: int, fold: int) -> LanguageModel | None:
     ids = ids_by_class(train.select("doc_id", "lang"), "lang", TRAINING)
     # bounded by the number of languages times TRAINING
     sample = train.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
-    sets = stored(sample.select("lang", "rank", "text").mapInArrow(_packed, "lang string, rank int, bits binary"), "language-sets")
-    top = sets.filter(F.col("rank") <= LANDMARKS).groupBy("lang", "rank").agg(F.min("bits").alias("bits")).orderBy("lang", "rank").collect()
+    sets = stored(sample.select("lang", "rank", "text").mapInArrow(_packed, "lang string, rank int, block long, bits binary"), "language-sets")
+    top = sets.filter((F.col("rank") <= LANDMARKS) & (F.col("block") == 0)).groupBy("lang", "rank").agg(F.min("bits").alias("bits")).orderBy("lang", "rank").collect()
     if not top:
         return None
     model = LanguageModel(_unpacked([bytes(r["bits"]) for r in top]))

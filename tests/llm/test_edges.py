@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from faultline.llm import (
@@ -195,6 +196,46 @@ def test_languages(docs, none):
     assert all(by[d].lang_pred == "und" and by[d].score == 0 for d in (1, 2, 3, 9)) and by[8].lang_pred != "und"
 
 
+def _prose(draw, units, n):
+    """Words of the units, without meaning; each language of a test has its own units."""
+    return " ".join("".join(draw.choices(units, k=draw.randint(1, 3))) for _ in range(n))
+
+
+UNITS = {"aa": "the ing tion ed and er of th re on is ly".split(), "bb": "sch ung keit ich der ein ver zu ö heit ä ge".split(),
+         "cc": "eau ique ment le é ou oi re è ai tre vi".split(), "dd": "ción ado os ñ mente rr ez que ll ar ja ó".split()}
+
+
+def test_language_scores_do_not_fall_with_length(spark):
+    prepared(spark)
+    draw = random.Random(12)
+    rich = {lang: units * 9 + [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou"] for lang, units in UNITS.items()}
+    short = [(4 * i + k, _prose(draw, units, 300), lang) for i in range(80) for k, (lang, units) in enumerate(rich.items())]
+    long = [(1000 + k, _prose(draw, units, 150_000), lang) for k, (lang, units) in enumerate(rich.items())]
+    df = spark.createDataFrame(short + long, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_kernel.languages(df.withColumn("lang", F.when(df.doc_id < 1000, df.lang))).collect()}
+    for doc, _, lang in long:
+        like = np.median([got[d].score for d, _, x in short if x == lang])
+        assert got[doc].lang_pred == lang and got[doc].score > like - 0.1, (lang, got[doc].score, like)
+
+
+def test_every_byte_of_a_text_is_in_a_block():
+    draw = random.Random(13)
+    texts = ["", None, "a", "ab", *(_prose(draw, UNITS["bb"], n) for n in (10, 900, 1500, 40_000, 3)), "12 34"]
+    blocks = list(language_kernel.presence(pa.array(texts)))
+    number = np.concatenate([b.text for b in blocks])
+    assert sorted(set(number.tolist())) == list(range(len(texts))) and np.bincount(number)[7] > 40
+    together = np.zeros((len(texts), language_kernel.WIDTH))
+    for b in blocks:
+        np.maximum.at(together, b.text, b.present)
+    size = language_kernel.BLOCK_BYTES
+    try:
+        language_kernel.BLOCK_BYTES = 1 << 40
+        whole = np.concatenate([b.present for b in language_kernel.presence(pa.array(texts))])
+    finally:
+        language_kernel.BLOCK_BYTES = size
+    assert (together == whole).all()
+
+
 def test_token_codes(spark, docs, none):
     path = _tokenizer("word_bpe_49k.json")
     folder, empty = new_path(spark, "codes"), new_path(spark, "codes")
