@@ -16,7 +16,8 @@ from faultline.llm import containment, fourier_quality, language_kernel, packing
 from faultline.llm.runtime import prepared
 from faultline.llm.storage import stored
 
-#: Least value of the best language's score; a text that is of some learned language scores far above.
+#: Least value of the best language's score. A text that is of no learned language has 0: the operator's own cut, from
+#: its training texts, tells that; the scores themselves sum to 1 and are never below 1 over the number of languages.
 LEAST_LANGUAGE_SCORE = 0.2
 #: Least chance of label 1.
 LEAST_QUALITY = 0.5

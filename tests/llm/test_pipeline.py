@@ -1,6 +1,8 @@
 """The corpus pipeline, stage by stage against plain versions."""
 
+import base64
 import os
+import random
 import re
 
 import pytest
@@ -59,3 +61,31 @@ def test_stages(spark):
     assert leaked and kept["benchmark"] == kept["near_duplicates"] - leaked
 
     assert {r.doc_id for r in docs.collect()} == kept["benchmark"]
+
+
+OTHERS = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+    "i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+]
+
+
+def test_texts_of_no_learned_language_go(spark):
+    draw = random.Random(5)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang", "text")
+    clean = [r for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)]
+    letters = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(300))
+    with open(corpus_pipeline.__file__) as file:
+        code = file.read().split('"""', 2)[2]
+    gone = [*OTHERS, letters, letters * 400, base64.b64encode(draw.randbytes(3000)).decode(), code]
+    long = {lang: "\n".join(r.text for r in clean if r.lang == lang) for lang in {r.lang for r in clean}}
+    long = [text * (1_000_000 // len(text) + 1) for text in long.values()] + ["\n".join(long.values())]
+    short = [" ".join(r.text.split()[:6]) for r in clean[:40]]
+    added = [(-1 - i, None, t) for i, t in enumerate([*gone, *long, *short])]
+    kept = corpus_pipeline.by_language(spark, docs.union(spark.createDataFrame(added, docs.schema)), SF_DIR)
+    found = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not found & {-1 - i for i in range(len(gone))}
+    assert found == {r.doc_id for r in clean} | {-1 - i for i in range(len(gone), len(added))}
