@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import containment, line_frequency
+from faultline.llm import bond_negatives, containment, line_dedup, line_frequency, ranked_search
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -144,3 +144,79 @@ shared as (
 select doc_id, item_id, n_shared, n as n_item_shingles from shared join sizes using (item_id)
 where 100 * n_shared >= {containment.PERCENT} * n
 """
+
+LINE_DEDUP = f"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
+  from documents
+),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines
+),
+often as (
+  select key from keyed where length(key) >= {line_dedup.MIN_CHARS} group by key
+  having count(distinct doc_id) >= {line_dedup.MIN_DOCS}
+)
+select doc_id, count(*) as n_lines, count(o.key) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by place) filter (o.key is null), '')) as kept_sha256
+from keyed k left join often o on k.key = o.key group by doc_id
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED_SEARCH = rf"""
+with doc_terms as (
+  select doc_id, list_transform(regexp_extract_all(text, '{_TERM}'), lambda t: translate(
+         t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w
+  from documents where text is not null
+),
+item_terms as (
+  select distinct item_id, translate(unnest(regexp_extract_all(text, '{_TERM}')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from benchmark where text is not null
+),
+corpus as (select count(*) as docs, cast(sum(len(w)) as bigint) as terms from doc_terms where len(w) > 0),
+counts as (
+  select doc_id, n, term, count(*) as tf
+  from (select doc_id, cast(len(w) as bigint) as n, unnest(w) as term from doc_terms) group by doc_id, n, term
+),
+weights as (
+  select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * count(*) + 1))) as bigint) as w
+  from counts semi join item_terms using (term) cross join corpus group by term, docs
+),
+scored as (
+  select item_id, doc_id,
+         cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) as bigint) as score
+  from counts join item_terms using (term) join weights using (term) cross join corpus group by item_id, doc_id
+),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= {ranked_search.TOP}
+"""
+
+BOND_NEGATIVES = f"""
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor({bond_negatives.SCALE} * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from vectors a join vectors b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= {bond_negatives.POSITIVES}
+)
+select p.anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score,
+       cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as integer) as rank
+from positives p join pairs n on p.anchor_id = n.anchor_id and not same
+  and {bond_negatives.LOW} * positive_score <= 100 * score and 100 * score <= {bond_negatives.HIGH} * positive_score
+qualify rank <= {bond_negatives.NEGATIVES}
+"""

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import (
+    bond_negatives,
     chat_format,
     containment,
     edit_counts,
     fourier_quality,
     insult_kernel,
     language_kernel,
+    line_dedup,
     line_frequency,
     oracles,
     packing,
+    ranked_search,
     signature_trees,
     token_codes,
 )
@@ -125,6 +128,22 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fourier_quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped because ten documents or more hold them, and a digest of the rest."""
+    return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its five nearest vectors of its label."""
+    rows = bond_negatives.usable(_table(spark, sf_dir, "embeddings"), relabel_every=7)
+    return bond_negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_line_frequency": (op1_line_frequency, oracles.LINE_FREQUENCY),
     "op2_signature_trees": (op2_signature_trees, oracles.SIGNATURE_TREES),
@@ -136,6 +155,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_edit_counts": (op8_edit_counts, None),
     "op9_containment": (op9_containment, oracles.CONTAINMENT),
     "op10_fourier_quality": (op10_fourier_quality, None),
+    "op11_line_dedup": (op11_line_dedup, oracles.LINE_DEDUP),
+    "op12_ranked_search": (op12_ranked_search, oracles.RANKED_SEARCH),
+    "op13_bond_negatives": (op13_bond_negatives, oracles.BOND_NEGATIVES),
 }
 
 

@@ -31,7 +31,7 @@ def documents(duck):
 
 def test_registered_in_the_contract():
     assert set(llm.queries()) | {"pipeline"} <= set(contract.queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in llm.queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in llm.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
