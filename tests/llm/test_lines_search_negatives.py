@@ -168,7 +168,7 @@ def test_best_ranks_in_two_steps(spark):
 
 def _negatives_plain(rows, positives=5, negatives=10):
     usable = [(i, v, lab) for i, v, lab in rows if lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    whole = [(i, [math.floor(256 * x) for x in v], (lab + 1) % 10 if i is not None and i % 7 == 0 else lab) for i, v, lab in usable]
+    whole = [(i, [math.floor(256 * x) for x in v], int(math.fmod(lab + 1, 10)) if i is not None and i % 7 == 0 else lab) for i, v, lab in usable]
     out = []
     for a, own, lab in {(i, tuple(v), lab) for i, v, lab in whole if i is not None and i % 100 == 0}:
         scored = sorted((-sum(x * y for x, y in zip(own, v, strict=False)), i is None, i or 0, i, other == lab) for i, v, other in whole if i != a)
