@@ -1,8 +1,9 @@
 """Follow a folder of log files into bronze and event tables.
 
-Spark picks up new files, not lines appended to a file it has read: writers
-roll their files into the folder. Offsets in the checkpoint take the place of
-acknowledgements; ``StreamingQuery.stop()`` ends a follow.
+``follow_lines`` is for folders into which writers roll their files: Spark's
+reader picks up new files, not lines appended to a file it has read.
+``follow_growing`` is for files that are still written to. Offsets in the
+checkpoint take the place of acknowledgements; ``StreamingQuery.stop()`` ends a follow.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators.ingest import ingest
+from faultline.sources.growing_log import GrowingLog
 from faultline.sources.log_lines import RAW_COLUMNS, envelope, nonblank
 
 RAW_SCHEMA = (
@@ -31,6 +33,17 @@ def follow_lines(spark: SparkSession, folder: str, max_files: int | None = None)
     )
 
 
+def follow_growing(
+    spark: SparkSession, path: str, glob: str = "*", split_bytes: int | None = None, lose_data: bool = False
+) -> DataFrame:
+    """Stream of ``value, modified, file, start`` of lines as they are ended, in files of a folder or one file."""
+    spark.dataSource.register(GrowingLog)
+    reader = spark.readStream.format("growing_log").option("glob", glob).option("failOnDataLoss", str(not lose_data).lower())
+    if split_bytes is not None:
+        reader = reader.option("splitBytes", split_bytes)
+    return reader.load(path).withColumn("value", F.col("value").cast("string"))
+
+
 def write_bronze_stream(
     lines: DataFrame, bronze: str, checkpoint: str, source: str = "local", interval: str | None = None
 ) -> StreamingQuery:
