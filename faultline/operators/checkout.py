@@ -11,9 +11,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import fixed_values as fv
 from faultline.functions.text import is_empty
+from faultline.operators.running import Running, arrival_block, with_running
 from faultline.session import stored
 
 OK, UNPROCESSABLE, NOT_FOUND, CONFLICT, SERVER_ERROR = 200, 422, 404, 409, 500
@@ -59,6 +61,27 @@ def outcomes(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def _fits(quantity: Column, left: Column) -> Column:
+    """Whether an order goes through: enough is left, and the price exists."""
+    return F.when(quantity >= fv.BULK_QUANTITY, quantity <= left).otherwise(quantity < left)
+
+
+def _unbroken(valid: DataFrame, block: Column) -> DataFrame:
+    """``valid`` with ``before`` and ``whole``: what orders before and up to it ask for, of those that the opening stock allows.
+
+    A product's orders are cut into blocks by ``seq``. A block whose orders all fit takes its sum from any stock that is
+    left, so sums of blocks are added up first, and each block's orders on their own.
+    """
+    allowed = valid.filter(_fits(F.col("quantity"), F.col("stock")))
+    ran = with_running(allowed, ["product_id"], F.col("seq"), block, {"whole": Running("sum", F.col("quantity"))})
+    return ran.withColumn("before", F.col("whole") - F.col("quantity"))
+
+
+def _order_block(requests: DataFrame) -> Column:
+    """Blocks of the order of requests; one for an order by texts, which tells nothing of its ranges."""
+    return F.lit(0) if isinstance(requests.schema["seq"].dataType, T.StringType) else arrival_block(requests)
+
+
 def _candidates(valid: DataFrame, spread: int) -> DataFrame:
     """The orders that can be accepted at all, few per product where the stock is small.
 
@@ -97,24 +120,33 @@ def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64())], [*names, "stock_before"])
 
 
-def accepted_orders(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD) -> DataFrame:
+def accepted_orders(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD, block: Column | None = None) -> DataFrame:
     """Orders that went through, each with the stock before and after it.
 
-    The greedy pass over a product streams through its candidates in order, whatever their number.
+    Up to a product's first refusal every order goes through, so those are found from running sums over blocks, whatever
+    their number. What is left then is less than the quantity refused. Of the later orders only those that may still fit
+    into that stream through the greedy pass: their number is bounded by that quantity, not by stock or orders.
+    ``block`` is a column that grows with ``seq``; for numbers and arrival orders there is one.
     """
-    valid = _with_catalog(requests.filter(is_valid_request()), catalog).filter("_known")
-    rows = _candidates(valid, spread).select(
+    valid = _with_catalog(requests.filter(is_valid_request()), catalog).filter("_known").select(
         "seq", "product_id", "unit_price", F.col("quantity").cast("long").alias("quantity"), F.col("stock").cast("long").alias("stock"))
+    ran = stored(_unbroken(valid, _order_block(requests) if block is None else block), "running-orders")
+    # sums only rise, and a refused order is in the sum of every later one: the fitting ones are the first
+    fits = _fits(F.col("quantity"), F.col("stock") - F.col("before"))
+    first = ran.filter(fits).select("seq", "product_id", "unit_price", "quantity", (F.col("stock") - F.col("before")).alias("stock_before"))
+    used = ran.filter(fits).groupBy("product_id").agg(F.max("whole").alias("used"))
+    later = ran.filter(~fits).join(used, "product_id", "left").withColumn("stock", F.col("stock") - F.coalesce("used", F.lit(0)))
+    rows = _candidates(later, spread).select("seq", "product_id", "unit_price", "quantity", "stock")
     dealt = rows.repartition("product_id").sortWithinPartitions("product_id", "seq")
     schema = dealt.drop("stock").schema.add("stock_before", "long")
-    return dealt.mapInArrow(_taken, schema).select(
+    return first.unionByName(dealt.mapInArrow(_taken, schema)).select(
         "seq", "product_id", "quantity", "stock_before",
         (F.col("stock_before") - F.col("quantity")).alias("stock_after"),
         total_price(F.col("unit_price"), F.col("quantity"), F.col("stock_before")).alias("total_price"),
     )
 
 
-def ledger(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD) -> DataFrame:
+def ledger(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD, block: Column | None = None) -> DataFrame:
     """Every request in order against the stock it met: ``status, total_price``.
 
     A refused small order is a server error exactly while the stock equals its
@@ -123,7 +155,7 @@ def ledger(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD) -> Dat
     (product, level) with a table the catalog bounds.
     """
     # Read three times below, and no larger than the catalog's stock.
-    orders = stored(accepted_orders(requests, catalog, spread), "accepted-orders")
+    orders = stored(accepted_orders(requests, catalog, spread, block), "accepted-orders")
     by_order = Window.partitionBy("product_id").orderBy("seq")
     reached = orders.select(
         "product_id", F.col("stock_after").alias("quantity"), F.col("seq").alias("level_from"),

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,55 +48,191 @@ def with_duplicates_marked(ingested: DataFrame) -> DataFrame:
     )
 
 
+#: Spans of the TTL in a block of an id.
+BLOCK_SPANS = 64
+_BEFORE_ALL = -(2**63)
+
+
+def _groups(batch: pa.RecordBatch, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal ``keys`` begin and end in a sorted batch."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for name in keys:
+        column = batch.column(name)
+        new[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)))
+    begin = np.flatnonzero(new)
+    return begin, np.append(begin[1:], batch.num_rows)
+
+
+class _Chains:
+    """The rows kept in a block as a function of the last time kept before it, built from its times in order.
+
+    A step is a time that may be the first kept one, with the last time kept if it is. Only the times of the block's
+    first span can be first, and the one after them. Steps that have come to the same time are one from then on.
+    """
+
+    def __init__(self, begin: int, ttl: int) -> None:
+        self.first_span, self.ttl = begin + ttl, ttl
+        self.keys, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.next, self.closed = 0, False
+
+    def add(self, at: np.ndarray) -> None:
+        if not self.closed:
+            inside = int(np.searchsorted(at, self.first_span))
+            self.closed = inside < len(at)
+            some = at[:inside + 1]
+            self.keys, self.last = np.concatenate([self.keys, some]), np.concatenate([self.last, some])
+        # the steps from ``next`` on, then those before it, stand in the order of their last times
+        limit = int(at[-1]) - self.ttl
+        while True:
+            upto = self.next + int(np.searchsorted(self.last[self.next:], limit))
+            moved = self.last[self.next:upto]
+            self.last[self.next:upto] = at[np.searchsorted(at, moved + self.ttl, "right")] if len(moved) else moved
+            if upto < len(self.last) or not len(moved):
+                self.next = upto
+                return
+            self._merge()
+
+    def _merge(self) -> None:
+        stay = np.append(self.last[1:] != self.last[:-1], True)[:len(self.last)]
+        self.keys, self.last, self.next = self.keys[stay], self.last[stay], 0
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        return self.keys, self.last
+
+
+_STEPS = "event_id string, block bigint, first bigint, last bigint"
+
+
+def _block_steps(ttl: int, width: int):
+    """Steps of each block, from rows ``event_id, block, at`` sorted by all of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, chains = None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if chains is not None:
+                first, last = chains.steps()
+                yield pa.RecordBatch.from_pydict({
+                    "event_id": pa.array([open_key[0]] * len(first), pa.string()), "block": pa.array([open_key[1]] * len(first), pa.int64()),
+                    "first": pa.array(first), "last": pa.array(last)})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            begin, end = _groups(batch, ("event_id", "block"))
+            # a block that lies within the batch and one TTL is its own steps
+            plain = at[end - 1] - at[begin] <= ttl
+            plain[-1] = False
+            plain[0] &= open_key != (batch.column("event_id")[0].as_py(), batch.column("block")[0].as_py())
+            rows = np.flatnonzero(np.repeat(plain, end - begin))
+            if len(rows):
+                some = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([some.column(c) for c in ("event_id", "block", "at", "at")], ["event_id", "block", "first", "last"])
+            for b, e in zip(begin[~plain].tolist(), end[~plain].tolist(), strict=True):
+                key = (batch.column("event_id")[b].as_py(), batch.column("block")[b].as_py())
+                if key != open_key:
+                    yield from close()
+                    open_key, chains = key, _Chains(key[1] * width, ttl)
+                chains.add(at[b:e])
+        yield from close()
+
+    return run
+
+
+def _block_entries(ttl: int):
+    """Last time kept before each block but an id's first, from steps sorted by ``event_id, block, first``.
+
+    One value is carried from block to block, also from batch to batch.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, block, last, found = None, None, None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, blocks, entries = [], [], []
+            first, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
+            begin, end = _groups(batch, ("event_id", "block"))
+            names = batch.column("event_id").take(pa.array(begin)).to_pylist()
+            numbers = batch.column("block").take(pa.array(begin)).to_pylist()
+            for b, e, of, number in zip(begin.tolist(), end.tolist(), names, numbers, strict=True):
+                if of != name:
+                    name, block, last, found = of, number, None, False
+                elif number != block:
+                    block, found = number, False
+                    ids.append(of)
+                    blocks.append(number)
+                    entries.append(last)
+                if not found:
+                    place = b if last is None else b + int(np.searchsorted(first[b:e], last + ttl, "right"))
+                    if place < e:
+                        last, found = int(value[place]), True
+            yield pa.RecordBatch.from_pydict({
+                "event_id": pa.array(ids, pa.string()), "block": pa.array(blocks, pa.int64()), "entry": pa.array(entries, pa.int64())})
+
+    return run
+
+
 def _kept_seqs(ttl: int):
-    """Arrival numbers kept among rows ``piece, at, seq`` (``at`` in microseconds) sorted by piece and time.
+    """Arrival numbers kept among rows ``event_id, block, at, seq, entry`` sorted by id, block and time.
 
-    One pass: a piece's last kept time is all that is carried, also from batch to batch.
+    A block's first row may tell the last time kept before it (``entry``). One pass: the last kept time is all that is carried.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, last = None, 0
+        open_key, last = None, None
         for batch in batches:
-            pieces = batch.column("piece").to_pylist()
+            if not batch.num_rows:
+                continue
             at = batch.column("at").to_numpy(zero_copy_only=False)
-            starts = [i for i in range(len(pieces)) if i == 0 or pieces[i] != pieces[i - 1]]
-            kept = []
-            for begin, end in zip(starts, [*starts[1:], len(pieces)], strict=True):
-                place = begin
-                if pieces[begin] == piece:
-                    place += int(np.searchsorted(at[begin:end], last + ttl, "right"))
-                piece = pieces[begin]
-                while place < end:
+            entered = np.asarray(batch.column("entry").is_valid())
+            begin, end = _groups(batch, ("event_id", "block"))
+            # of a block within the batch and one TTL that nothing comes before, the first row
+            plain = (at[end - 1] - at[begin] <= ttl) & ~entered[begin]
+            plain[-1] = False
+            plain[0] &= open_key != (batch.column("event_id")[0].as_py(), batch.column("block")[0].as_py())
+            kept = begin[plain].tolist()
+            for b, e in zip(begin[~plain].tolist(), end[~plain].tolist(), strict=True):
+                key = (batch.column("event_id")[b].as_py(), batch.column("block")[b].as_py())
+                if key != open_key:
+                    open_key, last = key, None
+                place = b
+                if entered[b]:
+                    last, place = batch.column("entry")[b].as_py(), b + 1
+                if last is not None:
+                    place += int(np.searchsorted(at[place:e], last + ttl, "right"))
+                while place < e:
                     kept.append(place)
                     last = int(at[place])
-                    place += max(1, int(np.searchsorted(at[place:end], last + ttl, "right")))
+                    place += max(1, int(np.searchsorted(at[place:e], last + ttl, "right")))
             yield pa.RecordBatch.from_arrays([batch.column("seq").take(pa.array(kept, pa.int64()))], ["seq"])
 
     return run
 
 
-def first_within_ttl(events: DataFrame, ttl_seconds: int = fv.DEDUP_TTL_SECONDS) -> DataFrame:
+def first_within_ttl(events: DataFrame, ttl_seconds: int = fv.DEDUP_TTL_SECONDS, block_spans: int = BLOCK_SPANS) -> DataFrame:
     """Rows kept when an id is forgotten ``ttl_seconds`` after it was last accepted.
 
     Replays events on their own clock, in (ts, seq) order. A repeat does not
-    extend the time. The clock is cut into spans of the TTL; after a span without
-    any row of an id its next row is kept whatever came before, so each run of
-    filled spans is a piece of its own, and an id's pieces go to different tasks.
-    A piece streams through one sorted pass, which holds one time, however many
-    rows there are.
+    extend the time. What an id keeps depends on what it kept before, so its
+    time is cut into blocks of ``block_spans`` times the TTL, and each block is first reduced to a
+    function from the last time kept before it to the last time kept in it. Per id these functions, a
+    small part of the rows, are applied one after the other; then every block is
+    replayed on its own from the time it is entered with. Blocks of one id go to different tasks, and a task
+    holds a batch and the steps of one function.
     """
     ttl = int(ttl_seconds) * 1_000_000
+    width = max(ttl, 1) * block_spans
     timed = events.select("event_id", F.unix_micros("ts").alias("at"), "seq")
     points = timed.groupBy("event_id", "at").agg(F.min("seq").alias("seq"))
-    span = F.expr(f"at div {max(ttl, 1)}").alias("span")
-    points = points.select("*", span)
-    # one row per id and filled span: as many as the clock has, not as there are events
-    spans = timed.select("event_id", span).distinct()
-    by_span = Window.partitionBy("event_id").orderBy("span")
-    begins = F.coalesce(F.col("span") - F.lag("span").over(by_span) > 1, F.lit(True))
-    runs = spans.withColumn("_begin", F.when(begins, F.col("span")))
-    runs = runs.withColumn("_begin", F.last("_begin", ignorenulls=True).over(by_span))
-    pieces = points.join(runs, ["event_id", "span"]).select(
-        F.concat(F.col("_begin").cast("string"), F.lit(":"), "event_id").alias("piece"), "at", "seq")
-    dealt = pieces.repartition("piece").sortWithinPartitions("piece", "at")
-    kept = dealt.mapInArrow(_kept_seqs(ttl), T.StructType([dealt.schema["seq"]]))
+    points = points.withColumn("block", F.expr(f"(at - pmod(at, {width}L)) div {width}L"))
+    dealt = points.select("event_id", "block", "at").repartition("event_id", "block").sortWithinPartitions("event_id", "block", "at")
+    steps = dealt.mapInArrow(_block_steps(ttl, width), _STEPS).repartition("event_id").sortWithinPartitions("event_id", "block", "first")
+    entries = steps.mapInArrow(_block_entries(ttl), "event_id string, block bigint, entry bigint")
+    none = F.lit(None)
+    # a block's entry is a row before all its others
+    rows = points.select("event_id", "block", "at", "seq", none.cast("bigint").alias("entry")).unionByName(entries.select(
+        "event_id", "block", F.lit(_BEFORE_ALL).alias("at"), none.cast(points.schema["seq"].dataType).alias("seq"), "entry"))
+    replayed = rows.repartition("event_id", "block").sortWithinPartitions("event_id", "block", "at")
+    kept = replayed.mapInArrow(_kept_seqs(ttl), T.StructType([points.schema["seq"]]))
     return events.join(kept, "seq", "left_semi")

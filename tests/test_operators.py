@@ -118,6 +118,41 @@ def test_dedup_ttl_of_an_id_with_many_kept_rows(spark):
     assert got == {"dense": (50_000, sum(range(0, 200_000, 4))), "sparse": (50_000, sum(range(1_000_000, 1_050_000)))}
 
 
+@pytest.mark.parametrize("spans", [1, 2, 7, 64])
+@pytest.mark.parametrize("ttl", [1, 10, 100])
+def test_dedup_ttl_in_blocks(spark, spans, ttl):
+    """One id with all rows, across more blocks and batches than one task sees."""
+    rng = random.Random(spans * 100 + ttl)
+    rows = [(i, rng.choice(["hot"] * 9 + ["a", "b"]), START + timedelta(seconds=rng.randrange(-2500, 2500))) for i in range(4000)]
+    events = spark.createDataFrame(rows, "seq long, event_id string, ts timestamp")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        kept = dedup.first_within_ttl(events, ttl, block_spans=spans)
+        assert sorted(r.seq for r in kept.collect()) == _ttl_by_hand(rows, ttl)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_dedup_ttl_of_one_id_goes_to_many_tasks(spark):
+    n = 400_000
+    events = spark.range(n).selectExpr("id as seq", "'one' as event_id", "timestamp_micros(id * 300000 + (id * 7919) % 300000) as ts")
+    kept = dedup.first_within_ttl(events, ttl_seconds=60)
+    times = [i * 300_000 + (i * 7919) % 300_000 for i in range(n)]
+    want, last = [], None
+    for i, at in enumerate(times):
+        if last is None or at > last + 60_000_000:
+            want.append(i)
+            last = at
+    assert sorted(r.seq for r in kept.collect()) == want
+    # a block's function has the times of one TTL at most, and the blocks of the id are dealt apart
+    points = events.select("event_id", F.unix_micros("ts").alias("at"), F.expr(f"unix_micros(ts) div {60_000_000 * 64}").alias("block"))
+    dealt = points.repartition("event_id", "block").sortWithinPartitions("event_id", "block", "at")
+    steps = dealt.mapInArrow(dedup._block_steps(60_000_000, 60_000_000 * 64), dedup._STEPS).groupBy("block").count().collect()
+    assert len(steps) == -(-n * 3 // 10 // (60 * 64)) and max(r["count"] for r in steps) <= 60 / 0.3 + 2
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_results_do_not_depend_on_partitions(spark):
     rng = random.Random(2)
     rows = [(i, f"s{rng.randrange(9)}", rng.choice(["ERROR", "CRITICAL"]), rng.randrange(500)) for i in range(300)]
@@ -246,3 +281,44 @@ def test_ledger_of_a_large_stock(spark):
         want[i] = 200 if left > quantity else 500 if left == quantity else 409
         left -= quantity if left > quantity else 0
     assert {r.seq: r.status for r in checkout.ledger(requests, catalog).collect()} == want
+
+
+def _ledger_by_hand(orders, stock):
+    left, want = dict(stock), {}
+    for seq, product, quantity in sorted(orders):
+        if left[product] < quantity:
+            want[seq] = 409
+        elif quantity < 10 and left[product] == quantity:
+            want[seq] = 500
+        else:
+            want[seq] = 200
+            left[product] -= quantity
+    return want
+
+
+@pytest.mark.parametrize("block", [1, 10, 1000])
+def test_ledger_in_blocks(spark, block):
+    """Refusals early and late, quantities near and above the stock, in blocks from one order to all of them."""
+    rng = random.Random(block)
+    stock = {"a": 3000, "b": 90, "c": 17, "d": 0, "e": 9, "f": 10}
+    orders = [(i, rng.choice("aaaabcdef"), rng.choice([1, 2, 3, 9, 10, 11, 17, 40, 700, 5000])) for i in range(900)]
+    requests = spark.createDataFrame([(s, "u", p, q) for s, p, q in orders], "seq long, user_id string, product_id string, quantity int").repartition(3)
+    catalog = spark.createDataFrame([(p, 2.0, s) for p, s in stock.items()], "product_id string, unit_price double, stock int")
+    got = checkout.ledger(requests, catalog, spread=3, block=F.expr(f"seq div {block}")).collect()
+    assert {r.seq: r.status for r in got} == _ledger_by_hand(orders, stock)
+
+
+def test_ledger_of_one_product_with_most_orders(spark):
+    """Stock above a million: nearly all orders are settled by running sums, and few reach the greedy pass."""
+    n, stock = 300_000, 1_200_000
+    requests = spark.range(n).selectExpr("id as seq", "'u' as user_id", "'p' as product_id", "1 + cast((id * 7919) % 13 as int) as quantity")
+    catalog = spark.sql(f"select 'p' as product_id, 10.0D as unit_price, {stock} as stock")
+    block = F.expr("seq div 20000")
+    want = _ledger_by_hand([(i, "p", 1 + i * 7919 % 13) for i in range(n)], {"p": stock})
+    assert {r.seq: r.status for r in checkout.ledger(requests, catalog, block=block).select("seq", "status").collect()} == want
+    ran = checkout._unbroken(requests.join(catalog, "product_id"), block)
+    assert "partial_sum(quantity" in ran._jdf.queryExecution().executedPlan().toString()
+    refused = ran.filter(~checkout._fits(F.col("quantity"), F.col("stock") - F.col("before")))
+    assert refused.filter(F.col("quantity") <= 13).count() > 80_000
+    later = checkout._candidates(refused.withColumn("stock", F.lit(13)), checkout.SPREAD)
+    assert later.count() <= checkout.SPREAD * sum(13 // q for q in range(1, 14))
