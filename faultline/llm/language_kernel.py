@@ -37,7 +37,7 @@ from faultline.llm import text_arrays as ta
 from faultline.llm.fourier_quality import held_out
 from faultline.llm.normal_equations import partition_sums, ridge
 from faultline.llm.sampling import ids_by_class
-from faultline.llm.selection import text_hash, without
+from faultline.llm.selection import text_hash
 from faultline.llm.storage import stored
 
 SPECTRUM = 4
@@ -271,22 +271,34 @@ def languages(docs: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            plain = pc.match_substring_regex(pc.fill_null(texts, ""), "[A-Za-z]").to_numpy(zero_copy_only=False)
-            lettered = [p or bool(t and _LETTER.search(t)) for p, t in zip(
-                plain, texts.to_pylist() if not plain.all() else plain, strict=True)]
-            names, scores = model.predict(texts) if model else ([""] * len(texts), np.zeros(len(texts)))
-            known = np.array(lettered, bool) & (model is not None)
+            names, scores = _named(model, batch.column("text"))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
-                "lang_pred": pa.array([x if k else "und" for x, k in zip(names, known, strict=True)], pa.string()),
-                "score": pa.array(np.where(known, scores, 0.0).astype(np.float64))})
+                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "lang_pred": names, "score": pa.array(scores)})
 
     done = rows.select("doc_id", "text_hash", "text").mapInArrow(predict, "doc_id long, text_hash long, lang_pred string, score double")
     return done.select("doc_id", "text_hash", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, least_score: float) -> DataFrame:
-    """``docs`` without rows of no language (score 0) or a score below ``least_score``; all columns stay."""
-    found = languages(docs)
-    return without(docs, found.filter((F.col("lang_pred") == "und") | (F.col("score") < least_score)))
+def _named(model: LanguageModel | None, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Language and score of each text; ``und`` and 0 where there is no letter or nothing was learned."""
+    plain = pc.match_substring_regex(pc.fill_null(texts, ""), "[A-Za-z]").to_numpy(zero_copy_only=False)
+    lettered = [p or bool(t and _LETTER.search(t)) for p, t in zip(
+        plain, texts.to_pylist() if not plain.all() else plain, strict=True)]
+    names, scores = model.predict(texts) if model else ([""] * len(texts), np.zeros(len(texts)))
+    known = np.array(lettered, bool) & (model is not None)
+    return (pa.array([x if k else "und" for x, k in zip(names, known, strict=True)], pa.string()),
+            np.where(known, scores, 0.0).astype(np.float64))
+
+
+def with_language(docs: DataFrame, least_score: float, folds: int = 5, fold: int = 0) -> DataFrame:
+    """``docs`` without rows of no language (score 0) or a score below ``least_score``; all columns stay.
+
+    Rows are judged where they are read: of all columns only the text goes through Python, and nothing is joined.
+    """
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), folds, fold)
+
+    def stays(texts: pa.Array) -> pa.Array:
+        names, scores = _named(model, texts)
+        return pa.array((scores >= least_score) & np.asarray(pc.not_equal(names, "und")))
+
+    return docs.filter(F.arrow_udf(stays, "boolean")(F.col("text")))
