@@ -8,9 +8,12 @@ The template writes ``### role: text</turn>`` and a line feed for each turn. Con
 are replaced by entities, so the text reads back exactly.
 
 Rules: null text, a missing field and a null role are empty; an element of a turn list that is null is a turn
-with both empty. A record whose fingerprint no layout has (also null, malformed or non-object JSON, and JSON above
-Spark's limit for a variant) keeps its row, with ``layout`` null, no turns and an empty text. Repeated rows stay;
-other columns pass through, except that the columns named below are replaced. An empty table gives an empty result.
+with both empty. A record whose fingerprint no layout has (also null, malformed or non-object JSON) keeps its row, with
+``layout`` null, no turns and an empty text. Repeated rows stay; other columns pass through, except that the columns
+named below are replaced. An empty table gives an empty result. Records that Spark's variant parser refuses for their
+length (a text of 20 million characters, or 128 MB in all) are read by functions without that limit: names and nesting are
+compared object by object; an object or list in place of a text, which is another fingerprint in shorter records, counts as
+its JSON text there.
 """
 
 from __future__ import annotations
@@ -48,11 +51,15 @@ class Layout:
             return {f"{top}[].{role}", f"{top}[].{text}"}
         return {path for _, path in self.turns}
 
-    def skeletons(self) -> list[str]:
-        """The path sets this layout accepts, rendered as ``skeleton`` renders a record's."""
+    def path_sets(self) -> list[set[str]]:
+        """The path sets this layout accepts."""
         maybe = [*self.optional, *self.ignored]
         fixed = self.paths() - set(maybe)
-        return [_rendered(fixed | set(some)) for n in range(len(maybe) + 1) for some in itertools.combinations(maybe, n)]
+        return [fixed | set(some) for n in range(len(maybe) + 1) for some in itertools.combinations(maybe, n)]
+
+    def skeletons(self) -> list[str]:
+        """These, rendered as ``skeleton`` renders a record's."""
+        return [_rendered(paths) for paths in self.path_sets()]
 
 
 LAYOUTS: tuple[Layout, ...] = (
@@ -112,13 +119,17 @@ def _text_at(document: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(document, f"$.{path}", "string"), F.lit(""))
 
 
+def _renamed_turns(rows: Column, layout: Layout) -> Column:
+    _, role, text = layout.each
+    renamed = lambda x: F.coalesce(
+        *[F.when(x[role] == old, F.lit(new)) for old, new in layout.roles.items()], x[role], F.lit(""))
+    return F.transform(rows, lambda x: F.struct(renamed(x).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+
+
 def _turns_of(document: Column, layout: Layout) -> Column:
     if layout.each:
         top, role, text = layout.each
-        rows = F.try_variant_get(document, f"$.{top}", f"array<struct<`{role}` string, `{text}` string>>")
-        renamed = lambda x: F.coalesce(
-            *[F.when(x[role] == old, F.lit(new)) for old, new in layout.roles.items()], x[role], F.lit(""))
-        return F.transform(rows, lambda x: F.struct(renamed(x).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+        return _renamed_turns(F.try_variant_get(document, f"$.{top}", f"array<struct<`{role}` string, `{text}` string>>"), layout)
     there = [
         F.when(F.lit(path not in layout.optional) | F.try_variant_get(document, f"$.{path}", "variant").isNotNull(),
                F.struct(F.lit(role).alias("role"), _text_at(document, path).alias("text")))
@@ -127,15 +138,96 @@ def _turns_of(document: Column, layout: Layout) -> Column:
     return F.filter(F.array(*there), lambda x: x.isNotNull())
 
 
+# records beyond the variant's limit
+_NO_LIMIT = {"maxStringLen": str(2**31 - 1)}
+
+
+def _names_at(paths: set[str]) -> dict[str, list[str]]:
+    """For each object in ``paths``, lists left out, the names in it."""
+    out: dict[str, set[str]] = {}
+    for path in paths:
+        steps = path.split(".")
+        for i, name in enumerate(steps):
+            if not any(x.endswith("[]") for x in steps[:i]):
+                out.setdefault(".".join(steps[:i]), set()).add(name.removesuffix("[]"))
+    return {at: sorted(names) for at, names in out.items()}
+
+
+def _long_list(record: Column, layout: Layout) -> Column:
+    top, _, _ = layout.each
+    return F.from_json(record, f"`{top}` array<map<string,string>>", _NO_LIMIT)[top]
+
+
+def _long_object(record: Column, path: str) -> Column:
+    """The names and texts of a nested object."""
+    kind = "map<string,string>"
+    for name in reversed(path.split(".")):
+        kind = f"struct<`{name}`:{kind}>"
+    found = F.from_json(record, kind, _NO_LIMIT)
+    for name in path.split("."):
+        found = found[name]
+    return found
+
+
+def _long_skeleton(record: Column, keys: Column, layouts: Sequence[Layout]) -> Column:
+    """The skeleton of a long record that has one of a layout; ``keys`` are its outer names, sorted."""
+    out = F.lit(None).cast("string")
+    for layout in layouts:
+        for paths in layout.path_sets():
+            hit = F.lit(True)
+            for at, names in _names_at(paths).items():
+                here = F.array_sort(F.map_keys(_long_object(record, at))) if at else keys
+                hit = hit & (here == F.array(*map(F.lit, names)))
+            if layout.each:
+                inside = F.flatten(F.transform(F.array_compact(_long_list(record, layout)), F.map_keys))
+                hit = hit & (F.array_sort(F.array_distinct(inside)) == F.array(*map(F.lit, sorted(layout.each[1:]))))
+            out = F.when(hit, F.lit(_rendered(paths))).otherwise(out)
+    return out
+
+
+def _struct_of(paths: set[str]) -> str:
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for name in path.split("."):
+            at = at.setdefault(name, {})
+
+    def one(below: dict) -> str:
+        return "struct<" + ",".join(f"`{n}`:{one(x) if x else 'string'}" for n, x in below.items()) + ">"
+
+    return one(tree)
+
+
+def _long_turns(record: Column, keys: Column, layout: Layout) -> Column:
+    if layout.each:
+        return _renamed_turns(_long_list(record, layout), layout)
+    read = F.from_json(record, _struct_of(layout.paths()), _NO_LIMIT)
+
+    def text_at(path: str) -> Column:
+        at = read
+        for name in path.split("."):
+            at = at[name]
+        return F.coalesce(at, F.lit(""))
+
+    there = [F.when(F.lit(path not in layout.optional) | F.array_contains(keys, path), F.struct(F.lit(role).alias("role"), text_at(path).alias("text")))
+             for role, path in layout.turns]
+    return F.filter(F.array(*there), lambda x: x.isNotNull())
+
+
 def canonical_turns(records: DataFrame, column: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """``records`` plus ``layout``, ``fingerprint`` and ``turns`` (array of role and text)."""
     parsed = records.withColumn("_document", F.try_parse_json(column))
-    parsed = parsed.withColumn("_skeleton", skeleton(F.col("_document"))).withColumn("fingerprint", F.xxhash64("_skeleton"))
+    # null unless the record is an object that is too long for a variant
+    parsed = parsed.withColumn("_keys", F.when(F.col("_document").isNull(), F.array_sort(F.json_object_keys(column))))
+    paths = F.when(F.col("_document").isNotNull(), skeleton(F.col("_document"))).when(
+        F.col("_keys").isNotNull(), _long_skeleton(F.col(column), F.col("_keys"), layouts))
+    parsed = parsed.withColumn("_skeleton", paths).withColumn("fingerprint", F.when(F.col("_skeleton").isNotNull(), F.xxhash64("_skeleton")))
     named = parsed.withColumn("layout", _layout_of(F.col("fingerprint"), F.col("_skeleton"), layouts))
     turns = F.array().cast(_TURNS)
     for layout in reversed(layouts):
-        turns = F.when(F.col("layout") == layout.name, _turns_of(F.col("_document"), layout)).otherwise(turns)
-    return named.withColumn("turns", F.coalesce(turns, F.array().cast(_TURNS))).drop("_document", "_skeleton")
+        read = F.when(F.col("_keys").isNull(), _turns_of(F.col("_document"), layout)).otherwise(_long_turns(F.col(column), F.col("_keys"), layout))
+        turns = F.when(F.col("layout") == layout.name, read).otherwise(turns)
+    return named.withColumn("turns", F.coalesce(turns, F.array().cast(_TURNS))).drop("_document", "_skeleton", "_keys")
 
 
 # the template: what it writes is never found in an escaped text

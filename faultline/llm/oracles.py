@@ -129,17 +129,18 @@ with doc_words as (
 item_words as (
   select item_id, regexp_extract_all(lower(text), '{_PLAIN_WORD}') as w from benchmark where text is not null
 ),
-doc_shingles as (
-  select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s
-  from doc_words where len(w) > 4
-),
+item_runs as (select item_id, w, least(len(w), 5) as k from item_words where len(w) > 0),
 item_shingles as (
-  select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s
-  from item_words where len(w) > 4
+  select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s
+  from item_runs
+),
+doc_shingles as (
+  select distinct doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s
+  from doc_words join (select distinct k from item_runs) on len(w) >= k
 ),
 sizes as (select item_id, count(*) as n from item_shingles group by item_id),
 shared as (
-  select doc_id, item_id, count(*) as n_shared from doc_shingles join item_shingles using (s) group by doc_id, item_id
+  select doc_id, item_id, count(*) as n_shared from doc_shingles join item_shingles using (k, s) group by doc_id, item_id
 )
 select doc_id, item_id, n_shared, n as n_item_shingles from shared join sizes using (item_id)
 where 100 * n_shared >= {containment.PERCENT} * n

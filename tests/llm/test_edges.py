@@ -17,6 +17,7 @@ from faultline.llm import (
     insult_kernel,
     language_kernel,
     line_frequency,
+    oracles,
     packing,
     signature_trees,
     token_codes,
@@ -162,6 +163,30 @@ def test_chat_layouts(spark):
     assert chat_format.formatted(chat_format.canonical_turns(df.limit(0))).count() == 0
 
 
+def test_chat_records_beyond_the_variant(spark):
+    """Records with a text of 21 million characters keep their layout and all turns; malformed ones still have none."""
+    long = F.repeat(F.lit("### a & "), 2_700_000)
+    json = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    records = [
+        (json('{"id":1,"messages":[{"role":"user","content":"', long, '"},null,{"content":"short","role":"assistant"}]}'), "messages", ["user", "", "assistant"]),
+        (json('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"', long, '"}]}'), "from_value", ["user", "assistant"]),
+        (json('{"system":null,"prompt":"', long, '","response":"r"}'), "prompt_response", ["system", "user", "assistant"]),
+        (json('{"prompt":"p","response":"', long, '"}'), "prompt_response", ["user", "assistant"]),
+        (json('{"data":{"prompt":{"text":"', long, '"},"reply":{"text":"r"}}}'), "nested_pair", ["user", "assistant"]),
+        (json('{"messages":[{"role":"user","content":"', long, '","other":1}]}'), None, []),
+        (json('{"prompt":"', long, '"'), None, []),
+    ]
+    df = spark.range(len(records)).select("id", F.lit("x").alias("_keys_"), F.coalesce(*[F.when(F.col("id") == i, r) for i, (r, _, _) in enumerate(records)]).alias("record"))
+    done = chat_format.formatted(chat_format.canonical_turns(df))
+    back = chat_format.read_back(F.col("formatted"))
+    got = done.select("id", "layout", "fingerprint", "turns.role", (back == F.col("turns")).alias("same"),
+                      F.aggregate("turns", F.lit(0), lambda n, t: n + F.length(t["text"])).alias("chars")).orderBy("id").collect()
+    assert [(r.layout, r.role) for r in got] == [(layout, roles) for _, layout, roles in records]
+    assert all(r.same for r in got) and [r.chars for r in got] == [21_600_005, 21_600_001, 21_600_001, 21_600_001, 21_600_001, 0, 0]
+    short = spark.createDataFrame([('{"prompt":"p","response":"r"}',)], "record string")
+    assert chat_format.canonical_turns(short).first().fingerprint == got[3].fingerprint
+
+
 @pytest.mark.parametrize(("operator", "label"), [(fourier_quality, "quality"), (insult_kernel, "toxic")])
 def test_scores(docs, none, labels, operator, label):
     got = operator.scored(docs, labels, label)
@@ -351,12 +376,31 @@ def test_containment(spark, docs, none):
         (1, "Word5 and 5 word6 and 6 word7, and 7"), (2, None), (3, ""), (4, "too few words"), (None, "the same words again AND again in"),
         (6, "the same words again and again in"), (7, "nothing of this is in any of the texts there"), (8, LONG)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in containment.held_items(docs, items).collect()}
-    assert got == {(5, 1), (5, 8), (6, None), (6, 6), (7, None), (7, 6)}
+    assert got == {(5, 1), (5, 8), (6, None), (6, 6), (7, None), (7, 6)}  # item 4 is in no text
     assert containment.held_items(none, items).count() == containment.held_items(docs, items.limit(0)).count() == 0
     kept = containment.decontaminated(docs, items)
     assert kept.columns == docs.columns and _ids(kept) == sorted([None, 1, 2, 3, 4, 7, 8, 9], key=lambda x: (x is not None, x))
 
 
+def test_containment_of_short_items(spark, docs, none, tmp_path):
+    """Items of one to four words are found as runs of that length, as the SQL finds them."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [(i, t) for i, t, *_ in ROWS if i in (1, 2, 3, 4, 6)] + [
+        (20, "We know: the answer IS forty-two."), (21, "forty two"), (22, "two forty"), (23, "the answer is forty 2 two"),
+        (24, "forty two " * 40 + "in all the text of it"), (25, "forty\ntwo"), (26, "fortytwo")]
+    items = [(1, "Forty two"), (2, "the answer is forty two"), (3, "two"), (4, "the answer is forty"), (5, "forty two"), (6, "—"), (7, None), (8, "again in one"), (9, "no such words")]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in containment.held_items(table, bench).drop("text_hash").collect()}
+    duck = duckdb.connect()
+    duck.execute("create table documents (doc_id bigint, text varchar)").executemany("insert into documents values (?, ?)", texts)
+    duck.execute("create table benchmark (item_id bigint, text varchar)").executemany("insert into benchmark values (?, ?)", items)
+    assert got == set(duck.execute(oracles.CONTAINMENT).fetchall())
+    # a mark beyond ASCII is a word here
+    assert {(d, i) for d, i, _, _ in got} >= {(20, 1), (20, 2), (20, 3), (20, 4), (20, 5), (21, 1), (22, 3), (23, 4), (24, 1), (25, 5), (6, 8)}
+    assert not {(22, 1), (23, 1), (26, 1), (26, 3)} & {(d, i) for d, i, _, _ in got}
+
+
 def test_containment_in_blocks(spark, docs, monkeypatch):
     draw = random.Random(8)
     words = LONG.split()
