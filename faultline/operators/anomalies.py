@@ -27,29 +27,33 @@ def hourly_rates(events: DataFrame, width: str = "1 hour") -> DataFrame:
     )
 
 
+def judged_rates(scored: DataFrame, min_baseline: int = 3, deviations: float = 3.0, min_errors: int = 2) -> DataFrame:
+    """Windows with ``rate, baseline_windows, baseline, spread``: rounded, and ``is_spike`` where the rate clearly exceeds its baseline."""
+    above = F.col("rate") > F.col("baseline") + F.lit(deviations) * F.col("spread")
+    return scored.select(
+        "service", "window_start", "total", "errors", "baseline_windows",
+        F.round("rate", 6).alias("rate"), F.round("baseline", 6).alias("baseline"),
+        F.coalesce(
+            above & (F.col("errors") >= min_errors) & (F.col("baseline_windows") >= min_baseline),
+            F.lit(False),
+        ).alias("is_spike"),
+    )
+
+
 def error_rate_spikes(
     events: DataFrame, width: str = "1 hour", baseline_windows: int = 24,
     min_baseline: int = 3, deviations: float = 3.0, min_errors: int = 2,
 ) -> DataFrame:
     """Each service window with its baseline; ``is_spike`` where it clearly exceeds it."""
     past = Window.partitionBy("service").orderBy("window_start").rowsBetween(-baseline_windows, -1)
-    rate = F.col("errors") / F.col("total")
     scored = (
         hourly_rates(events, width)
-        .withColumn("rate", rate)
+        .withColumn("rate", F.col("errors") / F.col("total"))
         .withColumn("baseline_windows", F.count("rate").over(past))
         .withColumn("baseline", F.avg("rate").over(past))
         .withColumn("spread", F.stddev_samp("rate").over(past))
     )
-    above = F.col("rate") > F.col("baseline") + F.lit(deviations) * F.col("spread")
-    return scored.select(
-        "service", "window_start", "total", "errors", "baseline_windows",
-        F.round("rate", 6).alias("rate"), F.round("baseline", 6).alias("baseline"),
-        F.coalesce(
-            above & (F.col("errors") >= min_errors) & (F.col("baseline_windows") >= min_baseline),
-            F.lit(False),
-        ).alias("is_spike"),
-    )
+    return judged_rates(scored, min_baseline, deviations, min_errors)
 
 
 def new_signatures(current: DataFrame, prior: DataFrame) -> DataFrame:
@@ -57,6 +61,15 @@ def new_signatures(current: DataFrame, prior: DataFrame) -> DataFrame:
     return current.join(prior.select("signature"), "signature", "left_anti")
 
 
+def judged_shares(rated: DataFrame, min_rise: float = 0.25, min_errors: int = 3) -> DataFrame:
+    """Windows with ``share`` and ``previous_share``, and ``is_elevated`` where the share has risen enough."""
+    rise = F.round(F.col("share") - F.col("previous_share"), 6)
+    return rated.select(
+        "service", "window_start", "total", "errors", "critical", "share", "previous_share",
+        F.coalesce((rise >= min_rise) & (F.col("errors") >= min_errors), F.lit(False)).alias("is_elevated"),
+    )
+
+
 def severity_shift(
     events: DataFrame, width: str = "1 hour", min_rise: float = 0.25, min_errors: int = 3
 ) -> DataFrame:
@@ -64,12 +77,7 @@ def severity_shift(
     order = Window.partitionBy("service").orderBy("window_start")
     share = F.round(F.col("errors") / F.col("total"), 6)
     rated = hourly_rates(events, width).withColumn("share", share)
-    shifted = rated.withColumn("previous_share", F.lag("share").over(order))
-    rise = F.round(F.col("share") - F.col("previous_share"), 6)
-    return shifted.select(
-        "service", "window_start", "total", "errors", "critical", "share", "previous_share",
-        F.coalesce((rise >= min_rise) & (F.col("errors") >= min_errors), F.lit(False)).alias("is_elevated"),
-    )
+    return judged_shares(rated.withColumn("previous_share", F.lag("share").over(order)), min_rise, min_errors)
 
 
 def _minute(ts: str) -> Column:
