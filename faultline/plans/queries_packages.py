@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultline.operators import analysis as ana
 from faultline.operators import incidents as inc
 from faultline.operators import packages as pk
+from faultline.operators import versions as vs
 from faultline.operators.conformance import check_packages
 from faultline.plans import log_view as lv
 from faultline.session import stored
@@ -273,10 +274,36 @@ t as (select incident_id, '[INCIDENT]' || chr(10) || summary || chr(10) || 'Seve
   '- check inputs' else '' end as report from p)
 select incident_id, md5(report) as report_md5 from t"""
 
+#: The moment of the as-of query.
+AS_OF = "2024-01-16 12:00:00"
+
+
+def package_as_of(spark, sf_dir):
+    """P-16: the package of each incident as it was at one moment, with the time that version held."""
+    events = lv.kept(spark, sf_dir)
+    then = stored(vs.as_of(vs.history(events), F.lit(AS_OF).cast("timestamp")), "versions-as-of")
+    rows = stored(vs.incidents_of(events, then), "incidents-as-of")
+    packages = pk.build_packages(rows.drop("version"), analyses(rows))
+    clusters = packages.select("incident_id", F.explode("error_clusters").alias("c"))
+    return clusters.join(then.select("incident_id", "version", "valid_from", "valid_to"), "incident_id").select(
+        "incident_id", "version", "valid_from", "valid_to", "c.count", "c.first_seen", "c.last_seen")
+
+
+PACKAGE_AS_OF = "with " + lv.CLUSTERS_SQL + f""",
+r as (select *, row_number() over w as count, first_value(ts_iso) over w as first_iso, max(ts) over w as valid_from,
+  arg_max(ts_iso, ts) over w as last_iso, first_value(severity) over w as head_severity
+  from e window w as (partition by signature order by seq rows between unbounded preceding and current row)),
+known as (select *, case head_severity when 'CRITICAL' then count else count - 1 end as number,
+  lead(valid_from) over (partition by signature order by seq) as valid_to from r)
+select substr(sha256(signature || '|' || first_iso), 1, 16) as incident_id, number as version, valid_from, valid_to, count,
+  regexp_replace(first_iso, '\\+00:00$', 'Z') as first_seen, regexp_replace(last_iso, '\\+00:00$', 'Z') as last_seen
+from known where number >= 1 and valid_from <= timestamp '{AS_OF}' and (valid_to is null or valid_to > timestamp '{AS_OF}')"""
+
 QUERIES = {
     "package_summary": (package_summary, SUMMARY),
     "package_clusters": (package_clusters, "with " + ANALYSES_SQL + """
 select incident_id, signature, count, first_z as first_seen, last_z as last_seen, sample_message, severity from p"""),
+    "package_as_of": (package_as_of, PACKAGE_AS_OF),
     "package_facts": (package_facts, FACTS),
     "package_timeline": (package_timeline, TIMELINE),
     "top_hypothesis": (top_hypothesis, "with " + ANALYSES_SQL + " select incident_id, cause as statement, confidence from p where analyzed"),

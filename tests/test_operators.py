@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
-from faultline.operators import checkout, dedup, gate, incidents, outbox
+from faultline.operators import checkout, dedup, gate, incidents, outbox, versions
 from faultline.operators.clusters import clusters
 from faultline.operators.running import Running, with_running
 
@@ -322,3 +322,56 @@ def test_ledger_of_one_product_with_most_orders(spark):
     assert refused.filter(F.col("quantity") <= 13).count() > 80_000
     later = checkout._candidates(refused.withColumn("stock", F.lit(13)), checkout.SPREAD)
     assert later.count() <= checkout.SPREAD * sum(13 // q for q in range(1, 14))
+
+
+def _log(rows):
+    """Events ``(seq, signature, minute, severity)`` with the columns that incidents carry."""
+    at = lambda m: START + timedelta(minutes=m)
+    return [(s, f"e{s}", sig, at(m), at(m).isoformat(), sev, "shop", "prod", "/pay", f"message {s}") for s, sig, m, sev in rows]
+
+
+_LOG = ("seq long, event_id string, signature string, ts timestamp, ts_iso string, severity string, service string, "
+        "environment string, endpoint string, message string")
+
+
+def test_versions_of_incidents(spark):
+    rng = random.Random(6)
+    rows = [(0, "once", 5, "ERROR"), (1, "now", 7, "CRITICAL"), (2, "late", 50, "ERROR"), (3, "late", 20, "ERROR"), (4, "late", 30, "ERROR"), (5, "late", 60, "INFO")]
+    rows += [(10 + i, rng.choice(["hot", "hot", "hot", "b", "c"]), i // 3 + rng.randrange(-4, 5), rng.choice(["ERROR", "CRITICAL"])) for i in range(300)]
+    events = spark.createDataFrame(_log(rows), _LOG).repartition(3)
+    history = versions.history(events)
+    got = {(r.incident_id, r.version): r for r in history.collect()}
+    assert len(got) == history.count()
+
+    now = {r.incident_id: r.error_cluster for r in incidents.incidents(events).collect()}
+    then = {r.incident_id: r.error_cluster for r in incidents.incidents(events, as_of="trigger").collect()}
+    last = {i: max(v for j, v in got if j == i) for i in now}
+    assert set(last) == {i for i, _ in got} == set(now)
+    for i, cluster in now.items():
+        newest, first = got[i, last[i]], got[i, 1]
+        assert newest.valid_to is None and (newest["count"], newest.last_seen) == (cluster["count"], cluster.last_seen)
+        assert (first["count"], first.last_seen) == (then[i]["count"], then[i].last_seen)
+        assert all(got[i, v].valid_to == got[i, v + 1].valid_from >= got[i, v].valid_from for v in range(1, last[i]))
+
+    # at any time, what the events up to the last one not later than it give
+    for minute in (-10, 6, 7, 20, 33, 49, 50, 70, 1000):
+        moment = START + timedelta(minutes=minute)
+        seen = {r.incident_id: (r["count"], r.version) for r in versions.as_of(history, F.lit(moment)).collect()}
+        want = {}
+        for name in {r[1] for r in rows}:
+            known, latest = 0, START - timedelta(days=9)
+            own = sorted(r for r in rows if r[1] == name and r[3] != "INFO")
+            need = 1 if own[0][3] == "CRITICAL" else 2
+            for n, r in enumerate(own, 1):
+                latest = max(latest, START + timedelta(minutes=r[2]))
+                known = n if latest <= moment else known
+            if known >= need:
+                want[name] = (known, known - need + 1)
+        assert sorted(seen.values()) == sorted(want.values())
+
+    asked = versions.incidents_of(events, versions.as_of(history, F.lit(START + timedelta(minutes=33))))
+    assert asked.columns == [*incidents.incidents(events).columns, "version"]
+    for r in asked.collect():
+        assert r.error_cluster["count"] == got[r.incident_id, r.version]["count"] and r.error_cluster.signature == now[r.incident_id].signature
+    plan = versions.as_of(history, F.lit(START))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
