@@ -79,9 +79,6 @@ def text_of(value: Column, plain: Column | None = None) -> Column:
         .when(kind.rlike(r"^DECIMAL\(([1-9]|1[0-8]),0\)$"), F.concat(plain, F.lit(".0")))
         .otherwise(plain)
     )
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(plain.isNull(), F.lit("None"))
-        .when(plain.rlike(_NOT_ONLY_STRING), looked_up)
-        .otherwise(plain)
-    )
+    # the value itself is looked up only where its text leaves a doubt
+    absent = F.when(value.isNotNull(), F.lit("None"))
+    return F.when(plain.isNull(), absent).when(plain.rlike(_NOT_ONLY_STRING), looked_up).otherwise(plain)

@@ -4,10 +4,15 @@ Input: ``seq, payload, source``. Output: the same ``seq``, a ``status`` with
 the ``error`` text, and the event columns (NULL unless ``status = 'ok'``).
 Only built-in expressions; no shuffle. Write the result before using it more
 than once, since every read of an unwritten result parses the payload again.
+Name the event columns that are needed: the optimizer drops nothing that sits
+behind a generator, so the others are left out while the plan is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +53,10 @@ def _plain(name: str) -> Column:
     return F.col(f"plain_{name}")
 
 
-def _read(name: str) -> Column:
-    return F.try_variant_get("document", f"$.{name}", "string").alias(f"plain_{name}")
+def _read_fields() -> Column:
+    """The named fields' texts in one walk over the document; NULL unless an object."""
+    shape = ", ".join(f"`{name}`: string" for name in _READ_FIELDS)
+    return F.try_variant_get("document", "$", f"struct<{shape}>")
 
 
 def _missing_fields() -> Column:
@@ -117,7 +124,8 @@ def parse(raw: DataFrame) -> DataFrame:
 
 def validate(parsed: DataFrame) -> DataFrame:
     """Add ``status`` and ``error`` of each parsed row, plus its parsed time."""
-    read = with_computed(parsed, *[_read(name) for name in _READ_FIELDS])
+    read = with_computed(parsed, _read_fields().alias("plain"))
+    read = read.select(*parsed.columns, *[F.col("plain")[name].alias(f"plain_{name}") for name in _READ_FIELDS])
     texts = with_computed(
         read,
         doc.text_of(_value("timestamp"), _plain("timestamp")).alias("time_text"),
@@ -151,70 +159,88 @@ def sanitized_metadata(fields: Column, deep: bool = False) -> Column:
     return F.transform_values(clean, inner)
 
 
-def _redacted_values(fields: Column) -> Column:
-    """Metadata with secret-shaped values replaced at any depth; other values stay as they are."""
-    def clean(_: Column, value: Column) -> Column:
-        plain, text = doc.plain_text(value), F.to_json(value)
-        nested = redact(text, json=True)
-        parsed = F.when(nested == text, value).otherwise(
-            F.coalesce(F.try_parse_json(nested), F.lit(REDACTED).cast("variant")))
-        return F.when(doc.is_string(value, plain), redact(plain).cast("variant")).otherwise(parsed)
-
-    return F.transform_values(fields, clean)
+def _redacted_value(value: Column) -> Column:
+    """One metadata value with secret-shaped texts replaced at any depth; any other stays as it is."""
+    plain, text = doc.plain_text(value), F.to_json(value)
+    nested = redact(text, json=True)
+    parsed = F.when(nested == text, value).otherwise(
+        F.coalesce(F.try_parse_json(nested), F.lit(REDACTED).cast("variant")))
+    return F.when(doc.is_string(value, plain), redact(plain).cast("variant")).otherwise(parsed)
 
 
 _FREE_TEXT = ("message", "error_message", "stack_trace")
+# event columns that are derived from others
+_DERIVED = {
+    "raw_ref": ("event_id", "reference"), "endpoint": ("endpoint_value",), "http_status": ("http_status_value",),
+    "signature": ("environment", "service", "severity", "error_type", "stack_trace", "message", "endpoint_value"),
+}
 
 
-def normalize(checked: DataFrame, deep: bool = True, redacting: bool = True) -> DataFrame:
+def normalize(
+    checked: DataFrame, deep: bool = True, redacting: bool = True, columns: Sequence[str] = EVENT_COLUMNS
+) -> DataFrame:
     """Event columns of every row that passed; NULL in the others.
 
     ``redacting`` replaces secret-shaped values in free text and metadata before anything is derived from
     them (identity hashes excepted); the payload keeps what came in. Without it and ``deep`` values stay.
+    ``columns`` names the event columns to build, in this order; ``source`` is one of them.
     """
+    unknown = set(columns) - set(EVENT_COLUMNS)
+    if unknown:
+        raise ValueError(f"no event columns: {sorted(unknown)}")
     good = F.col("status") == OK
 
     def text(name: str) -> Column:
         plain = _plain(name)
-        return F.when(good, redact(plain) if redacting and name in _FREE_TEXT else plain).alias(name)
-
-    fields = sanitized_metadata(doc.object_fields(F.col("document")), deep)
-    fields = _redacted_values(fields) if redacting else fields
-
-    used = ("is_json", "missing", "wrong", "severity_text", "time_text")
-    kept = [c for c in checked.columns if c not in used]
+        return F.when(good, redact(plain) if redacting and name in _FREE_TEXT else plain)
+
+    def other(name: str) -> Column:
+        # a metadata value by itself, without the map it stands in
+        return F.when(good, _redacted_value(_value(name)) if redacting else _value(name))
+
+    def metadata() -> Column:
+        fields = sanitized_metadata(doc.object_fields(F.col("document")), deep)
+        return F.transform_values(fields, lambda _, value: _redacted_value(value)) if redacting else fields
+
+    makers = {
+        "event_id": lambda: F.when(good, keys.event_identity(_value, _plain)),
+        "ts": lambda: F.when(good, F.col("event_ts")),
+        "ts_iso": lambda: F.when(good, tm.iso_text(F.col("time"))),
+        **{name: partial(text, name) for name in ("severity", "service", "message", *fv.OPTIONAL_TEXT_FIELDS)},
+        "reference": lambda: F.when(good & ~doc.is_falsy(_value("raw_ref"), _plain("raw_ref")), _plain("raw_ref")),
+        "endpoint_value": lambda: other("endpoint"),
+        "http_status_value": lambda: other("http_status"),
+        "metadata": lambda: F.when(good, metadata()),
+    }
+    derived = [name for name in columns if name in _DERIVED]
+    first = {name for name in columns if name in makers} | {part for name in derived for part in _DERIVED[name]}
     staged = with_computed(
-        checked.select(*kept),
-        F.when(good, keys.event_identity(_value, _plain)).alias("event_id"),
-        F.when(good, F.col("event_ts")).alias("ts"),
-        F.when(good, tm.iso_text(F.col("time"))).alias("ts_iso"),
-        *[text(name) for name in ("severity", "service", "message", *fv.OPTIONAL_TEXT_FIELDS)],
-        F.when(good & ~doc.is_falsy(_value("raw_ref"), _plain("raw_ref")), _plain("raw_ref")).alias("reference"),
-        F.when(good, fields).alias("metadata"),
-    ).withColumn("endpoint_text", doc.text_of(F.col("metadata")["endpoint"]))
-    signature = F.when(
-        keys.is_clustered(F.col("severity")),
-        keys.error_signature(
-            F.col("environment"), F.col("service"), F.col("error_type"),
-            F.col("stack_trace"), F.col("message"), F.col("endpoint_text"),
-        ),
-    )
-    null = F.lit(None).cast("string")
-    shaped = with_computed(
-        staged,
-        F.coalesce("reference", "event_id").alias("raw_ref"),
-        F.when(F.is_variant_null(F.col("metadata")["endpoint"]), null)
-        .otherwise(F.col("endpoint_text")).alias("endpoint"),
-        F.when(F.is_variant_null(F.col("metadata")["http_status"]), null)
-        .otherwise(doc.text_of(F.col("metadata")["http_status"])).alias("http_status"),
-        signature.alias("signature"),
-    )
-    return shaped.select("seq", "payload", "status", "error", *EVENT_COLUMNS)
-
-
-def ingest(raw: DataFrame, deep: bool = True, redacting: bool = True) -> DataFrame:
-    """Parse, validate, normalize and sanitize raw rows in one projection."""
-    return normalize(validate(parse(raw)), deep, redacting)
+        checked, *[make().alias(f"_{name}") for name, make in makers.items() if name in first])
+
+    def value_text(name: str) -> Column:
+        value = F.col(f"_{name}_value")
+        return F.when(F.is_variant_null(value), F.lit(None).cast("string")).otherwise(doc.text_of(value))
+
+    finishers = {
+        "raw_ref": lambda: F.coalesce("_reference", "_event_id"),
+        "endpoint": lambda: value_text("endpoint"),
+        "http_status": lambda: value_text("http_status"),
+        "signature": lambda: F.when(keys.is_clustered(F.col("_severity")), keys.error_signature(
+            F.col("_environment"), F.col("_service"), F.col("_error_type"), F.col("_stack_trace"),
+            F.col("_message"), doc.text_of(F.col("_endpoint_value")))),
+    }
+    if derived:
+        staged = with_computed(staged, *[finishers[name]().alias(f"_{name}") for name in derived])
+    return staged.select(
+        "seq", "payload", "status", "error",
+        *[F.col(name if name == "source" else f"_{name}").alias(name) for name in columns])
+
+
+def ingest(
+    raw: DataFrame, deep: bool = True, redacting: bool = True, columns: Sequence[str] = EVENT_COLUMNS
+) -> DataFrame:
+    """Parse, validate, normalize and sanitize raw rows in one projection; ``columns`` as in ``normalize``."""
+    return normalize(validate(parse(raw)), deep, redacting, columns)
 
 
 def accepted(ingested: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ from faultline.session import stored
 from faultline.sources.log_lines import nonblank
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest(lv.raw(spark, sf_dir))
+def _ingested(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return ingest(lv.raw(spark, sf_dir), columns=columns)
 
 
 def record_lines(spark, sf_dir):
@@ -47,7 +47,7 @@ def ingest_status(spark, sf_dir):
 
 def ingest_stats(spark, sf_dir):
     """T-14: run counters."""
-    return ingest_counters(_ingested(spark, sf_dir))
+    return ingest_counters(_ingested(spark, sf_dir, "event_id"))
 
 
 INGEST_STATS = lv.INGESTED_SQL + """
@@ -59,23 +59,23 @@ select counter, value from a unpivot (value for counter in (malformed, invalid,
 
 def dispositions(spark, sf_dir):
     """T-15 with D-01: the same rows with later arrivals marked as duplicates."""
-    rows = stored(_ingested(spark, sf_dir).select("seq", "event_id", "status"), "ingested")
+    rows = stored(_ingested(spark, sf_dir, "event_id").select("seq", "event_id", "status"), "ingested")
     return dedup.with_duplicates_marked(rows).select("seq", "event_id", "status")
 
 
 def event_identity(spark, sf_dir):
     """T-07, T-11: identity and raw reference of every accepted event."""
-    return _ingested(spark, sf_dir).filter(F.col("status") == OK).select("seq", "event_id", "raw_ref")
+    return _ingested(spark, sf_dir, "event_id", "raw_ref").filter(F.col("status") == OK).select("seq", "event_id", "raw_ref")
 
 
 def event_times(spark, sf_dir):
     """T-05: instant and exact text of every accepted event's timestamp."""
-    return _ingested(spark, sf_dir).filter(F.col("status") == OK).select("seq", "ts", "ts_iso")
+    return _ingested(spark, sf_dir, "ts", "ts_iso").filter(F.col("status") == OK).select("seq", "ts", "ts_iso")
 
 
 def metadata_sanitized(spark, sf_dir):
     """T-06, T-08: metadata keys left after split and credential removal."""
-    rows = _ingested(spark, sf_dir).filter(F.col("status") == OK)
+    rows = _ingested(spark, sf_dir, "metadata").filter(F.col("status") == OK)
     return rows.select(
         "seq", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("metadata_keys")
     )
@@ -104,7 +104,7 @@ def redacted_events(spark, sf_dir):
         F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit("ERROR").alias("severity"), F.lit("svc").alias("service"),
         F.col("doc_id").cast("string").alias("event_id"), F.col("text").alias("message"), F.col("text").alias("note")))
     raw = docs.select(F.col("doc_id").alias("seq"), record.alias("payload"), F.lit("local").alias("source"))
-    rows = ingest(raw)
+    rows = ingest(raw, columns=("message", "metadata"))
     note = F.try_variant_get(F.col("metadata")["note"], "$", "string")
     return rows.select("seq", "status", F.md5("message").alias("message_md5"), F.md5(note).alias("note_md5"))
 
