@@ -10,8 +10,9 @@ behind a generator, so the others are left out while the plan is built.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import partial
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ from faultline.functions import keys
 from faultline.functions import timestamps as tm
 from faultline.functions.once import with_computed
 from faultline.functions.text import REDACTED, redact
+from faultline.sources.mappings import RecordLayout
+
+Layouts = Mapping[str, RecordLayout]
+NO_LAYOUTS: Layouts = MappingProxyType({})
 
 OK = "ok"
 DUPLICATE = "duplicate"
@@ -79,7 +84,7 @@ def _wrong_types() -> Column:
     return F.array_compact(F.array(*required, *optional, reference))
 
 
-def _disposition() -> tuple[Column, Column]:
+def _disposition(sources: Iterable[str]) -> tuple[Column, Column]:
     no_document = ~F.col("is_json")
     no_object = F.col("document").isNull()
     missing = F.size("missing") > 0
@@ -88,7 +93,7 @@ def _disposition() -> tuple[Column, Column]:
         & F.col("severity_text").isin(*fv.LOG_SEVERITIES), F.lit(False)
     )
     bad_time = F.col("event_ts").isNull()
-    foreign = F.col("source") != "local"
+    foreign = ~F.col("source").isin("local", *sources)
     wrong = F.size("wrong") > 0
     status = (
         F.when(no_document, MALFORMED)
@@ -109,20 +114,30 @@ def _disposition() -> tuple[Column, Column]:
     return status, error
 
 
-def parse(raw: DataFrame) -> DataFrame:
-    """Add ``is_json`` and ``document`` (VARIANT, NULL unless an object)."""
+def parse(raw: DataFrame, layouts: Layouts = NO_LAYOUTS) -> DataFrame:
+    """Add ``is_json`` and ``document`` (VARIANT, NULL unless an object).
+
+    Records of a source that ``layouts`` names come out in the library's own layout.
+    """
     sealed = raw.withColumn("sealed", doc.sealed_document(F.col("payload")))
     opened = sealed.withColumn("_document", doc.unsealed_document(F.col("sealed"), F.col("payload")))
     # A valid JSON text is an object exactly if it begins with a brace.
     is_object = F.col("payload").rlike(r"^[ \t\r\n]*\{")
-    return with_computed(
+    parsed = with_computed(
         opened.drop("sealed"),
         F.col("_document").isNotNull().alias("is_json"),
         F.when(is_object, F.col("_document")).alias("document"),
     ).drop("_document")
+    if not layouts:
+        return parsed
+    own = F.col("document")
+    for source, layout in layouts.items():
+        theirs = (F.col("source") == source) & F.col("document").isNotNull()
+        own = F.when(theirs, layout.document(F.col("document"))).otherwise(own)
+    return with_computed(parsed, own.alias("_own")).drop("document").withColumnRenamed("_own", "document")
 
 
-def validate(parsed: DataFrame) -> DataFrame:
+def validate(parsed: DataFrame, layouts: Layouts = NO_LAYOUTS) -> DataFrame:
     """Add ``status`` and ``error`` of each parsed row, plus its parsed time."""
     read = with_computed(parsed, _read_fields().alias("plain"))
     read = read.select(*parsed.columns, *[F.col("plain")[name].alias(f"plain_{name}") for name in _READ_FIELDS])
@@ -135,7 +150,7 @@ def validate(parsed: DataFrame) -> DataFrame:
     )
     timed = with_computed(texts, tm.canonical_timestamp(F.col("time_text")).alias("time"))
     timed = timed.withColumn("event_ts", tm.instant(F.col("time")))
-    status, error = _disposition()
+    status, error = _disposition(layouts)
     return with_computed(timed, status.alias("status"), error.alias("error"))
 
 
@@ -160,12 +175,12 @@ def sanitized_metadata(fields: Column, deep: bool = False) -> Column:
 
 
 def _redacted_value(value: Column) -> Column:
-    """One metadata value with secret-shaped texts replaced at any depth; any other stays as it is."""
+    """One metadata value with secret-shaped texts replaced at any depth; any other stays as it is, NULL too."""
     plain, text = doc.plain_text(value), F.to_json(value)
     nested = redact(text, json=True)
     parsed = F.when(nested == text, value).otherwise(
         F.coalesce(F.try_parse_json(nested), F.lit(REDACTED).cast("variant")))
-    return F.when(doc.is_string(value, plain), redact(plain).cast("variant")).otherwise(parsed)
+    return F.when(doc.is_string(value, plain), redact(plain).cast("variant")).when(value.isNotNull(), parsed)
 
 
 _FREE_TEXT = ("message", "error_message", "stack_trace")
@@ -237,10 +252,15 @@ def normalize(
 
 
 def ingest(
-    raw: DataFrame, deep: bool = True, redacting: bool = True, columns: Sequence[str] = EVENT_COLUMNS
+    raw: DataFrame, deep: bool = True, redacting: bool = True, columns: Sequence[str] = EVENT_COLUMNS,
+    layouts: Layouts = NO_LAYOUTS,
 ) -> DataFrame:
-    """Parse, validate, normalize and sanitize raw rows in one projection; ``columns`` as in ``normalize``."""
-    return normalize(validate(parse(raw)), deep, redacting, columns)
+    """Parse, validate, normalize and sanitize raw rows in one projection.
+
+    ``columns`` as in ``normalize``. ``layouts`` gives the record layout of each source beside ``local``; rows of
+    any other source are quarantined.
+    """
+    return normalize(validate(parse(raw, layouts), layouts), deep, redacting, columns)
 
 
 def accepted(ingested: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import anomalies as an
 from faultline.operators import clusters as cl
+from faultline.operators import families as fam
 from faultline.operators import incidents as inc
 from faultline.plans import log_view as lv
 from faultline.session import stored
@@ -179,6 +180,32 @@ GROUP_SIZES = OVERLAP.replace("select incident_id, service, first_seen, last_see
 select service, group_start, count(*) as incidents, max(last_seen) as group_end from g group by 1, 2 having count(*) > 1"""
 
 
+def incident_families(spark, sf_dir):
+    """I-11: similar incidents of different signatures in a chain of overlapping times, and the earliest of them."""
+    rows = stored(inc.incidents(lv.kept(spark, sf_dir), as_of="trigger").select(
+        "incident_id", "service", F.col("error_cluster.first_seen").alias("first_seen"),
+        F.col("error_cluster.last_seen").alias("last_seen"),
+        fam.wording(F.col("trigger.error_type"), F.col("trigger.stack_trace"), F.col("affected_component"),
+                    F.col("trigger.message")).alias("wording")), "incident-wordings")
+    chains = an.incident_groups(rows).select("incident_id", "group_start")
+    return fam.incident_families(rows.join(chains, "incident_id"))
+
+
+FAMILIES = OVERLAP.replace("select incident_id, service, first_seen, last_seen,\n", ", g as (select incident_id, service, first_seen, last_seen,\n") + r"""),
+x as (select g.incident_id, g.service, g.group_start, g.first_seen, list_distinct(list_filter(string_split(
+    coalesce(i.error_type || ' ', '') || coalesce(list_extract(regexp_extract_all(i.stack_trace, 'File "[^"]*", line \d+, in (\w+)', 1), -1), 'unknown')
+    || ' ' || coalesce(i.affected_component || ' ', '') || regexp_replace(regexp_replace(i.message, '''[^'']*''|"[^"]*"', '<str>', 'g'), '\d+', '#', 'g'),
+    ' '), lambda word: word <> '')) as words
+  from g join i using (incident_id)),
+y as (select a.incident_id, b.incident_id as other, b.first_seen as other_seen
+  from x a join x b on a.service = b.service and a.group_start = b.group_start
+  where a.incident_id = b.incident_id
+    or 100 * len(list_intersect(a.words, b.words)) >= 80 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))))
+select incident_id, any_value(x.service) as service, any_value(x.group_start) as group_start, count(*) - 1 as similar_incidents,
+  arg_min(other, (other_seen, other)) as head_id
+from y join x using (incident_id) group by incident_id"""
+
+
 def changes(spark, sf_dir):
     """Change events out of orders: a service and a minute in the month of the logs."""
     orders = lv.table(spark, sf_dir, "orders")
@@ -233,6 +260,7 @@ select signature, count(*) as count, min(ts) as first_seen, max(ts) as last_seen
     "severity_shift": (severity_shift, SHIFT),
     "incident_overlap": (incident_overlap, OVERLAP),
     "incident_group_sizes": (incident_group_sizes, GROUP_SIZES),
+    "incident_families": (incident_families, FAMILIES),
     "correlated_changes": (correlated_changes, CORRELATED),
     "changes_before": (changes_before, BEFORE),
 }

@@ -18,6 +18,7 @@ from faultline.plans import log_view as lv
 from faultline.sources.event_store import retrieve
 from faultline.session import stored
 from faultline.sources.log_lines import nonblank
+from faultline.sources.mappings import CLOUD_ENTRY
 
 
 def _ingested(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -57,6 +58,86 @@ INGEST_STATS = lv.INGESTED_SQL + """
 select counter, value from a unpivot (value for counter in (malformed, invalid, quarantined, duplicate, processed))"""
 
 
+def _cloud_raw(spark, sf_dir):
+    """Log events as entries of a cloud provider: structured and plain payloads, some of them flawed."""
+    rows = lv.view(spark, sf_dir)
+    number = F.col("seq")
+    labels = F.struct(
+        F.col("environment"), F.lit("eu-1").alias("zone"),
+        F.when(number % 13 == 0, "t-1").alias("access_token"))
+    resource = F.struct(F.lit("run").alias("type"), F.struct(
+        F.when(number % 37 != 0, F.col("service")).alias("service_name"), F.col("version").alias("revision_name"),
+        F.lit("shadowed").alias("zone")).alias("labels"))
+    structured = F.when(number % 2 == 0, F.struct(
+        "message", "error_type", "stack_trace", "request_id", "endpoint", F.col("k").alias("code"),
+        F.lit("other").alias("event_id")))
+    severity = (
+        F.when(number % 53 == 0, "FATAL").when(F.col("severity") == "CRITICAL", "EMERGENCY")
+        .when(F.col("severity") == "DEBUG", "NOTICE").when(F.col("severity") != "INFO", F.col("severity")))
+    entry = F.to_json(F.struct(
+        F.when(number % 3 != 0, F.col("event_id")).alias("insertId"), F.col("ts_iso").alias("timestamp"),
+        severity.alias("severity"), resource.alias("resource"), labels.alias("labels"), structured.alias("jsonPayload"),
+        F.when(number % 2 != 0, F.col("message")).alias("textPayload"),
+        F.concat(F.lit("projects/p/traces/t-"), F.col("event_id")).alias("trace"),
+        F.when(number % 5 == 0, F.lit(500)).otherwise(F.lit(None)).alias("spanId")))
+    payload = F.when(number % 41 == 0, "[]").otherwise(entry)
+    source = F.when(number % 43 == 0, "elsewhere").otherwise("cloud")
+    return with_computed(rows, payload.alias("payload"), source.alias("source")).select("seq", "payload", "source")
+
+
+def cloud_entries(spark, sf_dir):
+    """S-05: records of a second format, read by their declared layout and checked like all others."""
+    rows = ingest(
+        _cloud_raw(spark, sf_dir), layouts={"cloud": CLOUD_ENTRY},
+        columns=("event_id", "severity", "service", "environment", "version", "message", "error_type", "request_id",
+                 "trace_id", "endpoint", "metadata"))
+    return rows.select(
+        "seq", "status", "error", "event_id", "severity", "service", "environment", "version", F.md5("message").alias("message_md5"),
+        "error_type", "request_id", "trace_id", "endpoint",
+        F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("metadata_keys"),
+        F.try_variant_get(F.col("metadata")["zone"], "$", "string").alias("zone"))
+
+
+CLOUD_ENTRIES = "with " + lv.VIEW_SQL + r""",
+p as (select seq, case when seq % 43 = 0 then 'elsewhere' else 'cloud' end as source, case when seq % 41 = 0 then '[]' else json_object(
+    'insertId', case when seq % 3 <> 0 then event_id end, 'timestamp', ts_iso,
+    'severity', case when seq % 53 = 0 then 'FATAL' when severity = 'CRITICAL' then 'EMERGENCY' when severity = 'DEBUG' then 'NOTICE'
+      when severity <> 'INFO' then severity end,
+    'resource', json_object('type', 'run', 'labels', json_object('service_name', case when seq % 37 <> 0 then service end,
+      'revision_name', version, 'zone', 'shadowed')),
+    'labels', json_object('environment', environment, 'zone', 'eu-1', 'access_token', case when seq % 13 = 0 then 't-1' end),
+    'jsonPayload', case when seq % 2 = 0 then json_object('message', message, 'error_type', error_type, 'stack_trace', stack_trace,
+      'request_id', request_id, 'endpoint', endpoint, 'code', k, 'event_id', 'other') end,
+    'textPayload', case when seq % 2 <> 0 then message end, 'trace', 'projects/p/traces/t-' || event_id,
+    'spanId', case when seq % 5 = 0 then 500 end)::varchar end as payload from v),
+r as (select seq, source, payload::json as doc from p),
+f as (select *, json_extract_string(doc, '$.insertId') as f_id, json_extract_string(doc, '$.timestamp') as f_time,
+    case coalesce(json_extract_string(doc, '$.severity'), 'INFO') when 'EMERGENCY' then 'CRITICAL' when 'ALERT' then 'CRITICAL'
+      when 'NOTICE' then 'INFO' when 'DEFAULT' then 'INFO' else coalesce(json_extract_string(doc, '$.severity'), 'INFO') end as f_severity,
+    json_extract_string(doc, '$.resource.labels.service_name') as f_service,
+    coalesce(json_extract_string(doc, '$.jsonPayload.message'), json_extract_string(doc, '$.textPayload')) as f_message,
+    json_extract_string(doc, '$.jsonPayload.request_id') as f_request from r),
+s as (select *, case when json_type(doc) <> 'OBJECT' or f_service is null or f_severity = 'FATAL' then 'invalid_schema'
+    when json_extract_string(doc, '$.spanId') is not null then 'invalid_type' else 'ok' end as status from f),
+t as (select *, case when json_type(doc) <> 'OBJECT' then 'payload is not a JSON object'
+    when source <> 'cloud' then 'missing required field(s): ' || case when json_extract_string(doc, '$.severity') is null then 'severity, ' else '' end || 'service, message'
+    when f_service is null then 'missing required field(s): service' when f_severity = 'FATAL' then 'invalid severity: ''FATAL'''
+    when status = 'invalid_type' then 'not a string: span_id' end as error,
+  case when status = 'ok' then true end as good from s)
+select seq, case when source <> 'cloud' then 'invalid_schema' else status end as status, error,
+  case when u then coalesce(nullif(f_id, ''), sha256(f_time || '|' || f_service || '|' || f_severity || '|' || f_message || '|' || coalesce(f_request, ''))) end as event_id,
+  case when u then f_severity end as severity, case when u then f_service end as service,
+  case when u then json_extract_string(doc, '$.labels.environment') end as environment,
+  case when u then json_extract_string(doc, '$.resource.labels.revision_name') end as version, case when u then md5(f_message) end as message_md5,
+  case when u then json_extract_string(doc, '$.jsonPayload.error_type') end as error_type, case when u then f_request end as request_id,
+  case when u then regexp_replace(json_extract_string(doc, '$.trace'), '^.*/', '') end as trace_id,
+  case when u then json_extract_string(doc, '$.jsonPayload.endpoint') end as endpoint,
+  case when u then case when seq % 2 = 0 then 'code,' else '' end
+    || case when json_extract_string(doc, '$.jsonPayload.endpoint') is not null then 'endpoint,' else '' end || 'zone' end as metadata_keys,
+  case when u then json_extract_string(doc, '$.labels.zone') end as zone
+from (select *, coalesce(good, false) and source = 'cloud' as u from t)"""
+
+
 def dispositions(spark, sf_dir):
     """T-15 with D-01: the same rows with later arrivals marked as duplicates."""
     rows = stored(_ingested(spark, sf_dir, "event_id").select("seq", "event_id", "status"), "ingested")
@@ -231,6 +312,7 @@ QUERIES = {
     "record_lines": (record_lines, RECORD_LINES),
     "ingest_status": (ingest_status, "with " + lv.INGESTED_SQL + " select seq, status, error from ing"),
     "ingest_stats": (ingest_stats, "with " + INGEST_STATS),
+    "cloud_entries": (cloud_entries, CLOUD_ENTRIES),
     "dispositions": (dispositions, "with " + lv.INGESTED_SQL + """
 select seq, event_id, case when status = 'ok' and row_number() over (partition by status, event_id order by seq) > 1
   then 'duplicate' else status end as status from ing"""),
