@@ -213,8 +213,15 @@ def _slots(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (any columns, with ``length`` from 1 to ``capacity``) plus ``sequence_id`` and ``offset``."""
-    parts = stored(parts.withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
+    """``parts`` (any columns, with ``length`` from 1 to ``capacity``) plus ``sequence_id`` and ``offset``.
+
+    A column of ``parts`` that has one of these two names, in any case, is refused: it would be lost or doubled.
+    """
+    if taken := [c for c in parts.columns if c.lower() in ("sequence_id", "offset")]:
+        raise ValueError(f"columns with names of the result: {taken}")
+    # the caller's columns travel as one struct, so that their names meet no working name
+    whole = parts.select(F.struct("*").alias("part"), F.col("length"))
+    parts = stored(whole.withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if bad := [x for x in counts if x is None or not 1 <= x <= capacity]:
         raise ValueError(f"lengths outside 1..{capacity}: {bad[:5]}")
@@ -228,7 +235,6 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1
     ranked = salted.withColumn("_own", own).join(before.drop("_n"), ["length", "_salt"]).withColumn(
         "_rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_salt", "_row")
-    names = [c for c in ranked.columns if c != "_rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,10 +248,10 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[at] = base[run] + nth // each[run]
                 offset[at] = start[run] + nth % each[run] * x
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+                [batch.column("part"), pa.array(sequence), pa.array(offset)], ["part", "sequence_id", "offset"])
 
-    schema = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    schema = ranked.select("part").schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(place, schema).select("part.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:

@@ -19,6 +19,7 @@ from faultline.llm import (
     line_frequency,
     oracles,
     packing,
+    sampling,
     signature_trees,
     token_codes,
     tokenizing,
@@ -300,6 +301,32 @@ def test_packing_edges(spark, docs, none):
         packing.packed(spark.createDataFrame([(1, 2000)], "k int, length long")).count()
 
 
+def test_packing_keeps_the_columns_of_its_parts(spark):
+    prepared(spark)
+    names = ("_row", "_salt", "_own", "_before", "_rank", "part", "k")
+    rows = [(100 + i % 5, *[f"{name}{i}" for name in names]) for i in range(40)]
+    parts = spark.createDataFrame(rows, "length long, " + ", ".join(f"{name} string" for name in names))
+    got = packing.packed(parts)
+    assert got.columns == [*parts.columns, "sequence_id", "offset"]
+    assert sorted(got.select(*parts.columns).collect()) == sorted(parts.collect())
+    for name in ("offset", "Sequence_ID"):
+        with pytest.raises(ValueError, match="names of the result"):
+            packing.packed(parts.withColumnRenamed("k", name))
+
+
+def test_sample_of_ids_with_several_classes(spark):
+    rows = [(i, "a") for i in range(40)] + [(i, "b") for i in range(30, 60)] + [(7, "a")] * 500 + [(None, "a"), (3, None)]
+    given = spark.createDataFrame(rows, "doc_id long, lang string").filter("lang is not null")
+    for part in (given, given.repartition(5, "lang")):
+        got = sampling.ids_by_class(part, "lang", 1000).collect()
+        assert sorted(r.doc_id for r in got if r.doc_id is not None) == list(range(60))
+        # an id of two classes counts in the least
+        assert sorted(r["rank"] for r in got) == sorted([*range(1, 42), *range(1, 21)])
+    # repeated rows do not use up a class's share
+    few = sampling.ids_by_class(given, "lang", 10).collect()
+    assert len(few) == 20
+
+
 def _fewest(items, capacity):
     """Least number of bins, by trying all ways."""
     best = len(items)
