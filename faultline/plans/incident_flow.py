@@ -31,6 +31,12 @@ def ingest_files(spark: SparkSession, logs: str, out: str, source: str = "local"
     return event_store.read_events(spark, f"{out}/events")
 
 
+def lay_out(spark: SparkSession, out: str) -> DataFrame:
+    """The ``events`` table rewritten for look-ups by id, service and time: ``events_laid_out``."""
+    event_store.lay_out(event_store.read_events(spark, f"{out}/events").drop(event_store.DAY), f"{out}/events_laid_out")
+    return event_store.read_events(spark, f"{out}/events_laid_out")
+
+
 def detect(spark: SparkSession, out: str, as_of: str = "latest") -> DataFrame:
     """Events to the ``clusters`` and ``incidents`` tables."""
     events = event_store.read_events(spark, f"{out}/events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from faultline.operators import dedup
 from faultline.operators.ingest import OK, ingest, parse, validate
 from faultline.operators.stats import ingest_counters
 from faultline.plans import log_view as lv
+from faultline.sources import event_store
 from faultline.sources.event_store import retrieve
-from faultline.session import stored
+from faultline.session import shared_folder, stored
 from faultline.sources.log_lines import nonblank
 from faultline.sources.mappings import CLOUD_ENTRY
 
@@ -282,6 +284,26 @@ select event_id, ts, service, severity, signature from kept where service in ('s
   and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20'"""
 
 
+def request_events(spark, sf_dir):
+    """S-06: events of four requests and of one service's hour, looked up in the laid-out event table."""
+    events = lv.kept(spark, sf_dir).select("event_id", "ts", "service", "severity", "request_id")
+    folder = shared_folder(spark)
+    if folder is not None:
+        path = f"{folder}/events-{uuid.uuid4()}"
+        event_store.lay_out(stored(events, "kept"), path)
+        events = event_store.read_events(spark, path).drop(event_store.DAY)
+    asked = event_store.look_up(events, "request_id", ["req-1", "req-77", "req-1003", "req-4", None])
+    hour = retrieve(events, services=["svc-2"], start=datetime(2024, 1, 9, 6), end=datetime(2024, 1, 9, 7))
+    return asked.withColumn("asked", F.lit("request")).unionByName(hour.withColumn("asked", F.lit("hour")))
+
+
+REQUEST_EVENTS = "with " + lv.KEPT_SQL + """
+select event_id, ts, service, severity, request_id, 'request' as asked from kept where request_id in ('req-1', 'req-77', 'req-1003', 'req-4')
+union all
+select event_id, ts, service, severity, request_id, 'hour' from kept
+  where service = 'svc-2' and ts >= timestamp '2024-01-09 06:00:00' and ts < timestamp '2024-01-09 07:00:00'"""
+
+
 def dedup_first(spark, sf_dir):
     """D-01, D-04: first arrival of each id."""
     return dedup.first_arrivals(
@@ -327,6 +349,7 @@ select seq, cast(replace(f_timestamp, '+00:00', '') as timestamp) as ts, f_times
     "document_templates": (document_templates, DOCUMENT_TEMPLATES),
     "top_frames": (top_frames, TOP_FRAMES),
     "event_retrieval": (event_retrieval, RETRIEVAL),
+    "request_events": (request_events, REQUEST_EVENTS),
     "dedup_first": (dedup_first, "with " + lv.DELIVERIES_SQL + """
 select event_id, seq, ts from (select *, row_number() over (partition by event_id order by seq) as rn from d where kind = 'ok') where rn = 1"""),
     "dedup_ttl": (dedup_ttl, DEDUP_TTL),

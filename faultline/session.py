@@ -25,6 +25,9 @@ STREAMING_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# The default timestamp type of Parquet has no bounds, so no filter on a time would skip anything.
+STORAGE_SETTINGS = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+
 # Call sites in error messages cost a stack walk and a lookup per expression;
 # the longer plans here have thousands of expressions. Static: set at submission.
 PLANNING_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
@@ -36,7 +39,7 @@ def configure(spark: SparkSession) -> SparkSession:
     Sizing (shuffle partitions, memory, AQE thresholds) stays with whoever
     submits the job.
     """
-    for key, value in {**SEMANTIC_SETTINGS, **STREAMING_SETTINGS}.items():
+    for key, value in {**SEMANTIC_SETTINGS, **STREAMING_SETTINGS, **STORAGE_SETTINGS}.items():
         spark.conf.set(key, value)
     # Python tasks find this package where the driver found it (a cluster installs it)
     root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
