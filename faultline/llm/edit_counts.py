@@ -3,7 +3,8 @@
 A document is cut into chunks where its tokenizer always cuts; a segment tree over the chunks keeps sums of characters
 and tokens. An edit finds its first and last chunk by the sums of characters, takes ``CONTEXT`` chunks more on
 both sides (a cut depends on the character before it and on two after it, one in white space on the next word), cuts and encodes that region anew, puts
-the new chunks in place of the old ones and updates the sums above them. What lies outside is not read.
+the new chunks in place of the old ones and updates the sums above them. What lies outside is not read. Trees are kept between
+batches of edits as a table of their leaves beside the text (``counted_texts``, ``apply_edits``).
 
 Edits are (start, length, insert) in code points of the text as the edits before left it. Start and end beyond the text are
 moved to its end, negative ones to 0; null start or length count as 0, a null insert as empty. Null text is empty text.
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from faultline.llm import text_arrays as ta
 from faultline.llm.tokenizing import Encoder, encoder, odd_space
@@ -29,6 +31,10 @@ _WHITE = " \t\n\v\f\r"
 _BLOCK = 64
 
 EDITS = "array<struct<start:long,length:long,insert:string>>"
+COUNTS = "n_tokens long, n_chunks long, n_edits long, n_tokens_edited long, chars_encoded_again long"
+_COUNT_NAMES = [c.split()[0] for c in COUNTS.split(", ")]
+_COUNT_FIELDS = [StructField(c, LongType()) for c in _COUNT_NAMES]
+_LEAVES = [StructField(c, ArrayType(IntegerType())) for c in ("chunk_chars", "chunk_tokens")]
 
 
 class SegmentTree:
@@ -56,6 +62,10 @@ class SegmentTree:
     def tokens(self) -> int:
         return int(self.sums[1, 1])
 
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of all chunks, from which the tree can be built again."""
+        return np.concatenate([c for c, _ in self.blocks]), np.concatenate([t for _, t in self.blocks])
+
     def find(self, place: int) -> tuple[int, int, int]:
         """Block, chunk in it and first character of the chunk that holds character ``place`` (the last chunk
         for the end of the text)."""
@@ -204,22 +214,79 @@ def edit_all(tokenizer: Encoder, edited: list[tuple[CountedText, int, int, str]]
         done += part.n
 
 
-def _counted(path: str):
+def _whole_table(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
         for batch in batches:
             for part in ta.slices(batch.column("text")):
                 rows = batch.slice(part.first, part.n)
-                texts, edits = rows.column("text").to_pylist(), rows.column("edits").to_pylist()
                 chars, tokens, cuts = chunk_counts(tokenizer, part)
-                all_counted = [CountedText(t or "", chars[a:b], tokens[a:b]) for t, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True)]
-                before = [c.tree.tokens for c in all_counted]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, _lists(chars, cuts), _lists(tokens, cuts)], names=[*rows.schema.names, "chunk_chars", "chunk_tokens"])
+
+    return run
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int32()))
+
+
+def counted_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``docs(doc_id, text)`` with the leaves of each text's tree: ``chunk_chars`` and ``chunk_tokens``, one number a chunk.
+
+    This is the form in which trees are kept: write it as a table, and every later batch of edits starts from it without an
+    encoding. All columns stay; ones of these two names are replaced. Nothing is shuffled.
+    """
+    rows = docs.drop("chunk_chars", "chunk_tokens")
+    schema = StructType([*rows.schema.fields, *_LEAVES])
+    return rows.mapInArrow(_whole_table(tokenizer), schema)
+
+
+def _kept_trees(tokenizer: Encoder, rows: pa.RecordBatch, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Leaves of each text as the row keeps them; those without any, or of another length than the text, are counted anew."""
+    kept = [[None if x is None else np.asarray(x, np.int64) for x in _arrays(rows.column(c))] for c in ("chunk_chars", "chunk_tokens")]
+    out = list(zip(*kept, strict=True))
+    stale = [i for i, (c, t) in enumerate(out) if c is None or t is None or not len(c) or len(c) != len(t) or c.sum() != len(texts[i])]
+    if stale:
+        done = 0
+        for part in ta.slices(pa.array([texts[i] for i in stale], pa.large_string())):
+            chars, tokens, cuts = chunk_counts(tokenizer, part)
+            for k in range(part.n):
+                out[stale[done + k]] = chars[cuts[k]:cuts[k + 1]], tokens[cuts[k]:cuts[k + 1]]
+            done += part.n
+    return out
+
+
+def _arrays(column: pa.Array) -> Iterator[np.ndarray | None]:
+    flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    valid = column.is_valid().to_pylist()
+    for a, b, there in zip(cuts[:-1].tolist(), cuts[1:].tolist(), valid, strict=True):
+        yield flat[a:b] if there else None
+
+
+def _edited(path: str, keep: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = encoder(path)
+        for batch in batches:
+            for part in ta.slices(batch.column("text")):
+                rows = batch.slice(part.first, part.n)
+                given, edits = rows.column("text").to_pylist(), rows.column("edits").to_pylist()
+                texts = [t or "" for t in given]
+                all_counted = [CountedText(t, *leaves) for t, leaves in zip(texts, _kept_trees(tokenizer, rows, texts), strict=True)]
+                before = [(c.tree.tokens, sum(len(b[0]) for b in c.tree.blocks)) for c in all_counted]
                 for k in range(max((len(e or ()) for e in edits), default=0)):
                     edit_all(tokenizer, [
                         (c, e[k]["start"] or 0, e[k]["length"] or 0, e[k]["insert"] or "")
                         for c, e in zip(all_counted, edits, strict=True) if e and k < len(e) and e[k] is not None])
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": rows.column("doc_id"), "n_tokens": pa.array(before, pa.int64()), "n_chunks": pa.array(np.diff(cuts), pa.int64()),
+                columns = {name: rows.column(name) for name in (rows.schema.names if keep else ["doc_id"]) if name != "edits"}
+                if keep:
+                    leaves = [c.tree.leaves() for c in all_counted]
+                    cuts = np.concatenate([[0], np.cumsum([len(c) for c, _ in leaves])])
+                    columns["text"] = pa.array([c.text if e else t for c, t, e in zip(all_counted, given, edits, strict=True)], rows.column("text").type)
+                    for place, name in enumerate(("chunk_chars", "chunk_tokens")):
+                        columns[name] = _lists(np.concatenate([x[place] for x in leaves]), cuts)
+                yield pa.RecordBatch.from_pydict(columns | {
+                    "n_tokens": pa.array([n for n, _ in before], pa.int64()), "n_chunks": pa.array([n for _, n in before], pa.int64()),
                     "n_edits": pa.array([len(e or ()) for e in edits], pa.int64()),
                     "n_tokens_edited": pa.array([c.tree.tokens for c in all_counted], pa.int64()),
                     "chars_encoded_again": pa.array([c.encoded for c in all_counted], pa.int64())})
@@ -227,22 +294,40 @@ def _counted(path: str):
     return run
 
 
+def _with_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
+    rows = docs if {"chunk_chars", "chunk_tokens"} <= set(docs.columns) else counted_texts(docs, tokenizer)
+    return rows.withColumns({"edits": F.col("edits").cast(EDITS), "chunk_chars": F.col("chunk_chars").cast("array<int>"),
+                             "chunk_tokens": F.col("chunk_tokens").cast("array<int>")})
+
+
+def apply_edits(counted: DataFrame, tokenizer: str) -> DataFrame:
+    """``counted_texts`` with an ``edits`` column, after the edits: edited text, its tree's leaves and ``COUNTS``.
+
+    Only the regions of the edits are encoded. The result keeps the other columns, loses ``edits`` and is the input of the next
+    batch of edits (counts of an earlier batch are replaced). The leaves belong to the text beside them; a row whose leaves are null or do not add up to
+    its text's length is counted anew, so new documents may come with null ones. A null text without edits stays null.
+    """
+    rows = _with_trees(counted.drop(*_COUNT_NAMES), tokenizer)
+    schema = StructType([f for f in rows.schema.fields if f.name != "edits"] + _COUNT_FIELDS)
+    return rows.mapInArrow(_edited(tokenizer, True), schema)
+
+
 def edited_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Token counts of ``docs(doc_id, text, edits)`` before and after the edits, which apply in order.
 
-    Columns: doc_id, n_tokens, n_chunks, n_edits, n_tokens_edited and chars_encoded_again (characters of the regions that
-    the edits made it encode anew). Nothing is shuffled.
+    Starts from the kept trees where ``docs`` comes from ``counted_texts``, else builds them. Columns: doc_id and ``COUNTS``;
+    chars_encoded_again counts the characters of the regions that the edits made it encode anew. Nothing is shuffled.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast(EDITS).alias("edits"))
-    schema = "doc_id long, n_tokens long, n_chunks long, n_edits long, n_tokens_edited long, chars_encoded_again long"
-    return rows.mapInArrow(_counted(tokenizer), schema)
+    known = [c for c in ("chunk_chars", "chunk_tokens") if c in docs.columns]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits", *(known if len(known) == 2 else []))
+    return _with_trees(rows, tokenizer).mapInArrow(_edited(tokenizer, False), f"doc_id long, {COUNTS}")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """``docs`` with the array of their ``edits(doc_id, seq, start, length, insert)`` in order of seq.
 
     All edits of a document are gathered, since each starts from what the one before left; edits of unknown
-    documents are dropped.
+    documents are dropped. A column ``edits`` of ``docs`` is replaced.
     """
     listed = edits.groupBy("doc_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("seq", "start", "length", "insert"))),

@@ -24,7 +24,7 @@ from faultline.llm import (
     token_codes,
 )
 from faultline.llm.runtime import prepared
-from faultline.llm.storage import new_path
+from faultline.llm.storage import new_path, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,7 +114,8 @@ def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.array(edit(F.floor(n / 4), 12, F.col("source")), edit(F.floor(n / 2), 40, F.lit("")),
                     edit(F.lit(2**62), 0, F.concat(F.lit(" "), n.cast("string"))))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
-    return edit_counts.edited_counts(docs, _tokenizer("byte_bpe_50k.json"))
+    path = _tokenizer("byte_bpe_50k.json")
+    return edit_counts.edited_counts(stored(edit_counts.counted_texts(docs, path), "edit-trees"), path)
 
 
 def op9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

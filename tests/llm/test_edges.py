@@ -398,6 +398,45 @@ def test_edits_of_a_table(spark, docs, none):
     assert edit_counts.edited_counts(edit_counts.with_edits(none, edits), path).count() == 0
 
 
+def test_kept_trees_take_batches_of_edits(spark, docs, none, tmp_path):
+    path, library = _tokenizer("byte_bpe_50k.json"), tokenizing.Encoder(_tokenizer("byte_bpe_50k.json"))
+    size = lambda text: len(library.encode_texts([text or ""])[0])
+    table = edit_counts.counted_texts(docs.select("doc_id", "text", "source", "label"), path)
+    table.write.parquet(str(tmp_path / "0"))
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id != 7}
+    for turn, batch in enumerate([[(5, 1, 10, 5, " new "), (6, 1, 4, 4, "\u3000"), (2, 1, 0, 0, "from nothing")],
+                                  [(5, 1, 200_000, 3, "xx"), (6, 1, 0, 0, "9 "), (8, 1, 0, 2, None), (4, 1, 0, 99, "")],
+                                  [(5, 1, 0, 0, "\u00a0"), (2, 1, 4, 1, "  ")], [(5, 1, 300_000, 4, "end"), (4, 1, 0, 0, "again")]]):
+        edits = spark.createDataFrame(batch, "doc_id long, seq int, start long, length long, insert string")
+        kept = spark.read.parquet(str(tmp_path / str(turn)))
+        edit_counts.apply_edits(edit_counts.with_edits(kept, edits), path).write.parquet(str(tmp_path / str(turn + 1)))
+        got = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / str(turn + 1))).collect()}
+        for doc, _, start, length, insert in batch:
+            text = texts[doc] or ""
+            texts[doc] = text[:start] + (insert or "") + text[start + length:]
+        for doc, text in texts.items():
+            row = got[doc]
+            assert (row.text, row.n_tokens_edited) == (text, size(text)), (turn, doc)
+            assert sum(row.chunk_chars) == len(text or "") and sum(row.chunk_tokens) == row.n_tokens_edited
+            assert (row.n_edits > 0) == any(doc == e[0] for e in batch)
+        assert turn > 1 or 0 < got[5].chars_encoded_again < 200
+        assert got[5].source == "s" and got[9].chars_encoded_again == 0 and len(got) == len(set(ALL_IDS))
+    # white space that only the library cuts made the third batch, and from then on the text, one chunk
+    assert got[5].chars_encoded_again == len(got[5].text)
+    assert edit_counts.apply_edits(edit_counts.with_edits(none, edits), path).isEmpty()
+
+
+def test_trees_that_are_missing_or_of_another_text_are_built_anew(spark, docs):
+    path, library = _tokenizer("byte_bpe_50k.json"), tokenizing.Encoder(_tokenizer("byte_bpe_50k.json"))
+    rows = [(1, "some words of a text", None, None, [(0, 4, "more")]), (2, "other words", [3], [1], [(0, 0, "x")]),
+            (3, "words", [], [], None), (4, None, None, None, None), (5, "two words", [3, 6], [1], [None])]
+    df = spark.createDataFrame(rows,
+                               "doc_id long, text string, chunk_chars array<int>, chunk_tokens array<int>, edits " + edit_counts.EDITS)
+    got = {r.doc_id: r for r in edit_counts.apply_edits(df, path).collect()}
+    for doc, text in {1: "more words of a text", 2: "xother words", 3: "words", 4: None, 5: "two words"}.items():
+        assert (got[doc].text, got[doc].n_tokens_edited) == (text, len(library.encode_texts([text or ""])[0]))
+
+
 def test_containment(spark, docs, none):
     items = spark.createDataFrame([
         (1, "Word5 and 5 word6 and 6 word7, and 7"), (2, None), (3, ""), (4, "too few words"), (None, "the same words again AND again in"),
