@@ -115,7 +115,7 @@ def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     edit(F.lit(2**62), 0, F.concat(F.lit(" "), n.cast("string"))))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
     path = _tokenizer("byte_bpe_50k.json")
-    return edit_counts.edited_counts(stored(edit_counts.counted_texts(docs, path), "edit-trees"), path)
+    return edit_counts.edited_counts(stored(edit_counts.counted_texts(docs, path), "edit-trees", "zstd"), path)
 
 
 def op9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

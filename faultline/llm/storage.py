@@ -26,13 +26,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` written as Parquet to the shared folder and read back.
+def stored(rows: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """``rows`` written as Parquet to the shared folder and read back, by the session's codec or the one given.
 
     Lineage ends here: later steps read the result instead of computing it again, and a lost
     executor costs a re-read. The tables stay until the owner of the folder removes them.
     """
     spark = rows.sparkSession
     path = new_path(spark, name)
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return spark.read.schema(rows.schema).parquet(path)
