@@ -81,7 +81,7 @@ def presence(column: pa.Array) -> Iterator[Rows]:
 def _present(data: np.ndarray, offsets: np.ndarray, first: int) -> Iterator[Rows]:
     n = len(offsets) - 1
     letters = _INSIDE[data]
-    # one blank stands for a run of other characters, and before and after each text
+    # one blank stands for a run of other characters, at the ends of a text too
     keep = letters.copy()
     keep[1:] |= letters[:-1]
     keep[offsets[:-1][offsets[:-1] < len(data)]] = True

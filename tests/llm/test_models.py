@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -77,9 +78,7 @@ def test_landmark_machine_is_the_exact_one_when_all_words_are_landmarks():
 
 
 def _grams(text):
-    plain = " " + "".join(c if c.isalpha() else " " for c in text.lower())
-    plain = (" ".join(plain.split(" ")) if "  " not in plain else " " + " ".join(plain.split())) + " "
-    raw = plain.encode()
+    raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode())
     return {raw[i:i + n] for n in range(1, lk.SPECTRUM + 1) for i in range(len(raw) - n + 1)}
 
 
@@ -95,7 +94,7 @@ def _rows(texts):
 
 def test_presence_kernel_is_that_of_the_n_gram_sets(monkeypatch):
     monkeypatch.setattr(lk, "WIDTH", 1 << 20)
-    texts = _texts(random.Random(3), 30)
+    texts = _texts(random.Random(3), 30) + [(t, "aa") for t in ("  12, The thing!  ", "Über 3 Äpfel", "a", "the")]
     unit = lk._unit(_rows(texts))
     sets = [_grams(t) for t, _ in texts]
     truth = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
