@@ -65,13 +65,14 @@ def _read_fields() -> Column:
 
 
 def _missing_fields() -> Column:
-    return F.array_compact(F.array(*[
+    """Names of required fields without a value, as one text."""
+    return F.concat_ws(", ", *[
         F.when(doc.is_falsy(_value(name), _plain(name)), F.lit(name)) for name in fv.REQUIRED_FIELDS
-    ]))
+    ])
 
 
 def _wrong_types() -> Column:
-    """Names of text fields that hold something else (JSON null is fine if optional)."""
+    """Names of text fields that hold something else (JSON null is fine if optional), as one text."""
     def foreign(name: str) -> Column:
         return ~doc.is_string(_value(name), _plain(name))
 
@@ -81,20 +82,20 @@ def _wrong_types() -> Column:
     ]
     truthy = ~doc.is_falsy(_value("raw_ref"), _plain("raw_ref"))
     reference = F.when(truthy & foreign("raw_ref"), F.lit("raw_ref"))
-    return F.array_compact(F.array(*required, *optional, reference))
+    return F.concat_ws(", ", *required, *optional, reference)
 
 
 def _disposition(sources: Iterable[str]) -> tuple[Column, Column]:
     no_document = ~F.col("is_json")
     no_object = F.col("document").isNull()
-    missing = F.size("missing") > 0
+    missing = F.col("missing") != ""
     bad_severity = ~F.coalesce(
         doc.is_string(_value("severity"), _plain("severity"))
         & F.col("severity_text").isin(*fv.LOG_SEVERITIES), F.lit(False)
     )
     bad_time = F.col("event_ts").isNull()
     foreign = ~F.col("source").isin("local", *sources)
-    wrong = F.size("wrong") > 0
+    wrong = F.col("wrong") != ""
     status = (
         F.when(no_document, MALFORMED)
         .when(no_object | missing | bad_severity | bad_time, INVALID)
@@ -105,11 +106,11 @@ def _disposition(sources: Iterable[str]) -> tuple[Column, Column]:
     error = (
         F.when(no_document, "payload is not valid JSON")
         .when(no_object, "payload is not a JSON object")
-        .when(missing, F.concat(F.lit("missing required field(s): "), F.array_join("missing", ", ")))
+        .when(missing, F.concat(F.lit("missing required field(s): "), F.col("missing")))
         .when(bad_severity, F.concat(F.lit("invalid severity: "), _quoted(F.col("severity_text"))))
         .when(bad_time, F.concat(F.lit("invalid timestamp: "), _quoted(F.col("time_text"))))
         .when(foreign, F.concat(F.lit("unsupported source: "), F.col("source")))
-        .when(wrong, F.concat(F.lit("not a string: "), F.array_join("wrong", ", ")))
+        .when(wrong, F.concat(F.lit("not a string: "), F.col("wrong")))
     )
     return status, error
 
@@ -130,11 +131,19 @@ def parse(raw: DataFrame, layouts: Layouts = NO_LAYOUTS) -> DataFrame:
     ).drop("_document")
     if not layouts:
         return parsed
-    own = F.col("document")
-    for source, layout in layouts.items():
-        theirs = (F.col("source") == source) & F.col("document").isNotNull()
-        own = F.when(theirs, layout.document(F.col("document"))).otherwise(own)
-    return with_computed(parsed, own.alias("_own")).drop("document").withColumnRenamed("_own", "document")
+    # one step after the other: a step's columns are computed once, whatever the next one builds on them
+    steps = {"read": ("document",), "found": ("read",), "fields": ("read", "found"), "document": ("read", "fields")}
+    rows, made = parsed, []
+    for step, given in steps.items():
+        columns = []
+        for at, (source, layout) in enumerate(layouts.items()):
+            theirs = (F.col("source") == source) & F.col("document").isNotNull()
+            parts = [F.col(name if name == "document" else f"_{name}_{at}") for name in given]
+            columns.append(F.when(theirs, getattr(layout, step)(*parts)).alias(f"_{step}_{at}"))
+            made.append(f"_{step}_{at}")
+        rows = with_computed(rows, *columns)
+    own = F.coalesce(*[f"_document_{at}" for at in range(len(layouts))], "document")
+    return rows.withColumn("document", own).drop(*made)
 
 
 def validate(parsed: DataFrame, layouts: Layouts = NO_LAYOUTS) -> DataFrame:

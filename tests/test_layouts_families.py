@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators.families import incident_families
-from faultline.operators.ingest import ingest
+from faultline.operators.ingest import ingest, parse
 from faultline.sources.mappings import CLOUD_ENTRY, RecordLayout
 
 START = datetime(2024, 1, 1)
@@ -63,6 +63,27 @@ def test_a_layout_of_ones_own(spark):
     assert (row.status, row.severity, row.message, row.metadata) == ("ok", "WARNING", "text", '{"k":[1]}')
 
 
+def test_a_record_is_walked_once_for_its_fields(spark):
+    raw = spark.createDataFrame([], "seq long, payload string, source string")
+    plan = parse(raw, {"cloud": CLOUD_ENTRY})._jdf.queryExecution().optimizedPlan().toString()
+    # one read for all paths, some for the seal of the payload and the tested texts; not two and more a path
+    assert plan.count("variant_get(") < sum(map(len, CLOUD_ENTRY.paths.values()))
+
+
+def test_paths_that_one_walk_cannot_hold(spark):
+    layout = RecordLayout(
+        paths={"timestamp": ("$.t",), "severity": ("$.l[1]",), "service": ("$.S", "$.s"), "message": ("$.x.m", "$.m"),
+               "environment": ("$.m.e",), "version": ("$.y.v.w",), "request_id": ("$.y.v",)},
+        metadata=("$.x", "$.y", "$.z"))
+    record = {"t": "2024-01-01T00:00:00Z", "l": [0, "INFO"], "s": "a", "m": {"e": "test"},
+              "x": {"m": "text", "k": 1, "service": "no"}, "y": {"k": 2, "m": 3, "v": {"w": "v1"}, "n": None}, "z": "no object"}
+    raw = spark.createDataFrame([(1, json.dumps(record), "mine")], "seq long, payload string, source string")
+    row = parse(raw, {"mine": layout}).select(F.to_json("document").alias("document")).first()
+    assert json.loads(row.document) == {
+        "timestamp": "2024-01-01T00:00:00Z", "severity": "INFO", "service": "a", "message": "text", "environment": "test",
+        "version": "v1", "request_id": {"w": "v1"}, "k": 1, "m": 3, "n": None}
+
+
 def test_asked_columns_are_those_of_the_whole_ingest(spark):
     names = ["signature", "raw_ref", "endpoint", "http_status", "source", "message"]
     payloads = [json.dumps({
