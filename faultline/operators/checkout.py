@@ -128,9 +128,14 @@ def accepted_orders(requests: DataFrame, catalog: DataFrame, spread: int = SPREA
     into that stream through the greedy pass: their number is bounded by that quantity, not by stock or orders.
     ``block`` is a column that grows with ``seq``; for numbers and arrival orders there is one.
     """
-    valid = _with_catalog(requests.filter(is_valid_request()), catalog).filter("_known").select(
+    return _accepted(stored(_with_catalog(requests, catalog), "opened-requests", compression="zstd"), spread, block)
+
+
+def _accepted(opened: DataFrame, spread: int, block: Column | None) -> DataFrame:
+    """``accepted_orders`` of requests that have their product's catalog row beside them. ``opened`` is read twice."""
+    valid = opened.filter(is_valid_request() & F.col("_known")).select(
         "seq", "product_id", "unit_price", F.col("quantity").cast("long").alias("quantity"), F.col("stock").cast("long").alias("stock"))
-    ran = stored(_unbroken(valid, _order_block(requests) if block is None else block), "running-orders")
+    ran = stored(_unbroken(valid, _order_block(opened) if block is None else block), "running-orders", compression="zstd")
     # sums only rise, and a refused order is in the sum of every later one: the fitting ones are the first
     fits = _fits(F.col("quantity"), F.col("stock") - F.col("before"))
     first = ran.filter(fits).select("seq", "product_id", "unit_price", "quantity", (F.col("stock") - F.col("before")).alias("stock_before"))
@@ -152,10 +157,13 @@ def ledger(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD, block:
     A refused small order is a server error exactly while the stock equals its
     quantity (the price then divides by zero), else a conflict. Each stock level
     of a product lasts one interval of ``seq``, so that is an equi-join on
-    (product, level) with a table the catalog bounds.
+    (product, level) with a table the catalog bounds. No level is above the
+    opening stock, so an order of more than that is a conflict without a join.
     """
+    # Read four times below; the catalog is joined once.
+    opened = stored(_with_catalog(requests, catalog), "opened-requests", compression="zstd")
     # Read three times below, and no larger than the catalog's stock.
-    orders = stored(accepted_orders(requests, catalog, spread, block), "accepted-orders")
+    orders = stored(_accepted(opened, spread, block), "accepted-orders", compression="zstd")
     by_order = Window.partitionBy("product_id").orderBy("seq")
     reached = orders.select(
         "product_id", F.col("stock_after").alias("quantity"), F.col("seq").alias("level_from"),
@@ -168,21 +176,23 @@ def ledger(requests: DataFrame, catalog: DataFrame, spread: int = SPREAD, block:
     )
     levels = reached.unionByName(opening).withColumn("_level", F.lit(True))
     priced = orders.select("seq", "total_price", F.lit(True).alias("_accepted"))
+    reachable = F.coalesce(F.col("quantity") <= F.col("stock"), F.lit(False))
     joined = (
-        _with_catalog(requests, catalog)
+        opened.filter(reachable)
         .join(priced, "seq", "left")
         .join(levels, ["product_id", "quantity"], "left")
     )
+    beyond = opened.filter(~reachable)
     at_level = (
         F.col("_level").isNotNull()
         & (F.col("level_from").isNull() | (F.col("seq") > F.col("level_from")))
         & (F.col("level_to").isNull() | (F.col("seq") < F.col("level_to")))
     )
+    refused = F.when(~is_valid_request(), UNPROCESSABLE).when(F.col("_known").isNull(), NOT_FOUND)
     status = (
-        F.when(~is_valid_request(), UNPROCESSABLE)
-        .when(F.col("_known").isNull(), NOT_FOUND)
-        .when(F.col("_accepted").isNotNull(), OK)
+        refused.when(F.col("_accepted").isNotNull(), OK)
         .when(at_level & (F.col("quantity") < fv.BULK_QUANTITY), SERVER_ERROR)
         .otherwise(CONFLICT)
     )
-    return joined.select(*requests.columns, status.alias("status"), "total_price")
+    return joined.select(*requests.columns, status.alias("status"), "total_price").unionByName(
+        beyond.select(*requests.columns, refused.otherwise(CONFLICT).alias("status"), F.lit(None).cast("double").alias("total_price")))

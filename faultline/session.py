@@ -62,16 +62,16 @@ def shared_folder(spark: SparkSession) -> str | None:
     return named.rstrip("/") if named else None
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
+def stored(rows: DataFrame, name: str, **options: str) -> DataFrame:
     """``rows`` written to the shared folder and read back; ``rows`` itself where no folder is named.
 
     For results that several later steps read: they are computed once, lineage
     ends here, and a lost executor costs a re-read instead of a recomputation.
-    The tables stay until the owner of the folder removes them.
+    The tables stay until the owner of the folder removes them. ``options`` are those of the writer.
     """
     folder = shared_folder(rows.sparkSession)
     if folder is None:
         return rows
     path = f"{folder}/{name}-{uuid.uuid4()}"
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

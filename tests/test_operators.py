@@ -308,6 +308,17 @@ def test_ledger_in_blocks(spark, block):
     assert {r.seq: r.status for r in got} == _ledger_by_hand(orders, stock)
 
 
+def test_ledger_joins_only_orders_within_the_stock(spark):
+    orders = [(i, "p", 1 + i * 5 % 40) for i in range(200)]
+    requests = spark.createDataFrame([(i, "u", p, q) for i, p, q in orders], "seq long, user_id string, product_id string, quantity int")
+    catalog = spark.createDataFrame([("p", 1.0, 9)], "product_id string, unit_price double, stock int")
+    out = checkout.ledger(requests, catalog)
+    assert {r.seq: r.status for r in out.collect()} == _ledger_by_hand(orders, {"p": 9})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # two joins of orders and one of the catalog: its join with the orders was stored, those beyond the stock have none
+    assert plan.count("Join ") == 3 and plan.startswith("Union")
+
+
 def test_ledger_of_one_product_with_most_orders(spark):
     """Stock above a million: nearly all orders are settled by running sums, and few reach the greedy pass."""
     n, stock = 300_000, 1_200_000
